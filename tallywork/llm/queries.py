@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, fingerprints, mixing, packing, sstable
 
 QUERIES = {
+    "op1_hilbert_packing": packing.op1_hilbert_packing,
+    "op3_sstable_shards": sstable.op3_sstable_shards,
     "op5_curriculum_mix": mixing.op5_curriculum_mix,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op9_fingerprints": fingerprints.op9_fingerprints,
 }
 
 SQL = {
