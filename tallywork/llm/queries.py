@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, mixing, packing, sstable
+from . import exact_dedup, fingerprints, mixing, packing, quality, sstable
 
 QUERIES = {
     "op1_hilbert_packing": packing.op1_hilbert_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_curriculum_mix": mixing.op5_curriculum_mix,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op9_fingerprints": fingerprints.op9_fingerprints,
+    "op10_quality_classifier": quality.op10_quality_classifier,
 }
 
 SQL = {
