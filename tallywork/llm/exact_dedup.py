@@ -113,8 +113,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 def combined(batches):
     """The distinct texts of each batch: owner, sha, text, smallest doc_id, rows."""
     for pdf in batches:
-        ids = pdf["doc_id"].fillna(MAX_ID).astype("int64") if pdf["doc_id"].isna().any() else pdf["doc_id"]
-        g = pd.DataFrame({"sha": pdf["sha"], "norm": pdf["norm"], "doc_id": ids}).groupby(["sha", "norm"], sort=False)["doc_id"].agg(["min", "size"]).reset_index()
+        g = pdf.groupby(["sha", "norm"], sort=False)["doc_id"].agg(["min", "size"]).reset_index()
         owner = g["sha"].str[: OWNER_BITS // 4].map(lambda x: int(x, 16))
         yield pd.DataFrame({"owner": owner.astype("int32"), "sha": g["sha"], "norm": g["norm"], "doc_id": g["min"], "n": g["size"].astype("int64")})
 
@@ -122,7 +121,7 @@ def combined(batches):
 def build_index(docs: DataFrame, place: str) -> DataFrame:
     """Write the index and heap files of all owners below place; a row (index, heap) for each."""
     owners = max(1, parts(docs.sparkSession))
-    rows = keyed(docs).mapInPandas(combined, "owner int, sha string, norm string, doc_id long, n long")
+    rows = keyed(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(MAX_ID))).mapInPandas(combined, "owner int, sha string, norm string, doc_id long, n long")
     # Contiguous ranges of the leading hash bits, one a task.
     ranged = rows.withColumn("owner", F.floor(F.col("owner") * owners / (1 << OWNER_BITS)).cast("int"))
 
@@ -147,10 +146,10 @@ def read_index(files: DataFrame) -> DataFrame:
         for pdf in batches:
             for path in pdf["index"]:
                 e = entries_of(local_view(path))
-                keep = pd.array([None if x[1] == MAX_ID else x[1] for x in e], dtype="Int64")
-                yield pd.DataFrame({"sha": [x[5].hex() for x in e], "keep_id": keep, "group_size": [x[2] for x in e]})
+                yield pd.DataFrame({"sha": [x[5].hex() for x in e], "keep_id": [x[1] for x in e], "group_size": [x[2] for x in e]})
 
-    return files.mapInPandas(read, "sha string, keep_id long, group_size long")
+    read_all = files.mapInPandas(read, "sha string, keep_id long, group_size long")
+    return read_all.withColumn("keep_id", F.when(F.col("keep_id") != MAX_ID, F.col("keep_id")))
 
 
 def resolve(docs: DataFrame) -> DataFrame:

@@ -79,10 +79,11 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
             raw = [x + end for x in enc.encode(list(pdf["text"]))]
             ids = [np.frombuffer(x, enc.dtype) for x in raw]
             keys = curve_keys(ids, enc.size) if ids else np.zeros(0, np.int64)
-            yield pd.DataFrame({"rid": pdf["rid"], "doc_id": pdf["doc_id"].astype("Int64"), "key": keys, "n_tokens": np.array([len(x) for x in ids], np.int64), "ids": raw})
+            yield pd.DataFrame({"rid": pdf["rid"], "doc_id": pdf["doc_id"], "key": keys, "n_tokens": np.array([len(x) for x in ids], np.int64), "ids": raw})
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "rid long, doc_id long, key long, n_tokens long, ids binary")
+    # doc_id travels as text: a column of integers with nulls would reach pandas as floats.
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInPandas(run, "rid long, doc_id string, key long, n_tokens long, ids binary").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def starts(rows: DataFrame, place: str) -> DataFrame:
@@ -116,12 +117,12 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID,
     spark = docs.sparkSession
     place = run_dir(spark, "pack")
     rows = materialize(tokenised(docs, path, end_id), f"{place}/ids")
-    placed = rows.select("rid", "doc_id", "n_tokens", "ids").join(starts(rows, place), "rid")
+    placed = rows.select("rid", F.col("doc_id").cast("string").alias("doc_id"), "n_tokens", "ids").join(starts(rows, place), "rid")
 
     def cut(batches):
         for pdf in batches:
             out = []
-            for d, n, raw, at in zip(pdf["doc_id"].astype("Int64"), pdf["n_tokens"], pdf["ids"], pdf["at"], strict=True):
+            for d, n, raw, at in zip(pdf["doc_id"], pdf["n_tokens"], pdf["ids"], pdf["at"], strict=True):
                 ids = np.frombuffer(raw, f"<u{len(raw) // n}").astype("<u4")
                 p = 0
                 while p < n:
@@ -132,9 +133,10 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID,
                     p += size
             cols = list(zip(*out, strict=True)) or [[]] * 8
             made = dict(zip(("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"), (np.array(x, np.int64) for x in cols[1:7]), strict=True))
-            yield pd.DataFrame({"doc_id": pd.array(list(cols[0]), "Int64")} | made | {"ids": list(cols[7])})
+            yield pd.DataFrame({"doc_id": list(cols[0])} | made | {"ids": list(cols[7])})
 
-    pieces = placed.mapInPandas(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    pieces = placed.mapInPandas(cut, "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    pieces = pieces.withColumn("doc_id", F.col("doc_id").cast("long"))
     return pieces if with_ids else pieces.drop("ids")
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, mixing, packing, quality, sstable
+from . import exact_dedup, fingerprints, jaccard_join, mixing, packing, quality, sstable, warc
 
 QUERIES = {
     "op1_hilbert_packing": packing.op1_hilbert_packing,
     "op3_sstable_shards": sstable.op3_sstable_shards,
     "op5_curriculum_mix": mixing.op5_curriculum_mix,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_warc_derivatives": warc.op7_warc_derivatives,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_quality_classifier": quality.op10_quality_classifier,
 }

@@ -161,12 +161,14 @@ def write_shards(docs: DataFrame, path: str, place: str, end_id: int = END_ID) -
     n = max(1, parts(docs.sparkSession))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, "doc_id")
     rows = rows.sortWithinPartitions("doc_id", F.xxhash64("text")).withColumn("shard", F.spark_partition_id())
+    # As text: a column of integers with nulls would reach pandas as floats.
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))
 
     def write(batches):
         enc, out, shard, first = encoder(path), None, None, None
         end = np.array([end_id], enc.dtype).tobytes()
         for pdf in batches:
-            ids = [None if x else int(d) for d, x in zip(pdf["doc_id"], pdf["doc_id"].isna(), strict=True)]
+            ids = [None if d is None else int(d) for d in pdf["doc_id"]]
             if out is None and ids:
                 out, shard, first = ShardWriter(enc.dtype.itemsize), int(pdf["shard"].iloc[0]), ids[0]
             for d, v in zip(ids, enc.encode(list(pdf["text"])), strict=True):
@@ -174,9 +176,9 @@ def write_shards(docs: DataFrame, path: str, place: str, end_id: int = END_ID) -
         if out is not None:
             file = f"{place}/{shard:06d}.sst"
             write_whole(file, out.finish())
-            yield pd.DataFrame({"shard": [shard], "file": [file], "first": pd.array([first], "Int64"), "n_docs": [len(out.keys)], "n_ids": [out.n_ids]})
+            yield pd.DataFrame({"shard": [shard], "file": [file], "first": [None if first is None else str(first)], "n_docs": [len(out.keys)], "n_ids": [out.n_ids]})
 
-    return rows.mapInPandas(write, "shard int, file string, first long, n_docs long, n_ids long")
+    return rows.mapInPandas(write, "shard int, file string, first string, n_docs long, n_ids long").withColumn("first", F.col("first").cast("long"))
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -206,9 +208,9 @@ def read_shards(shards: DataFrame) -> DataFrame:
 
     def frame(rows):
         cols = list(zip(*rows, strict=True))
-        return pd.DataFrame({"doc_id": pd.array(cols[0], "Int64"), "start": cols[1], "n_tokens": cols[2], "ids_crc32": cols[3]})
+        return pd.DataFrame({"doc_id": [None if x is None else str(x) for x in cols[0]], "start": cols[1], "n_tokens": cols[2], "ids_crc32": cols[3]})
 
-    return placed.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInPandas(read, "doc_id string, start long, n_tokens long, ids_crc32 long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op3_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
