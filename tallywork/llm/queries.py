@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, jaccard_join, mixing, packing, quality, sstable, warc
+from . import exact_dedup, fingerprints, jaccard_join, mixing, ngram_lm, packing, quality, sstable, warc
 
 QUERIES = {
     "op1_hilbert_packing": packing.op1_hilbert_packing,
     "op3_sstable_shards": sstable.op3_sstable_shards,
+    "op4_ngram_lm": ngram_lm.op4_ngram_lm,
     "op5_curriculum_mix": mixing.op5_curriculum_mix,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_warc_derivatives": warc.op7_warc_derivatives,
