@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, jaccard_join, mixing, ngram_lm, packing, quality, sstable, warc
+from . import exact_dedup, fingerprints, jaccard_join, mixing, ngram_lm, packing, quality, sstable, toxicity, warc
 
 QUERIES = {
     "op1_hilbert_packing": packing.op1_hilbert_packing,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_sstable_shards": sstable.op3_sstable_shards,
     "op4_ngram_lm": ngram_lm.op4_ngram_lm,
     "op5_curriculum_mix": mixing.op5_curriculum_mix,
