@@ -13,8 +13,8 @@ import re
 
 import numpy as np
 
-#: Pieces kept in a worker.
-STORE = 400_000
+#: Pieces kept in a worker: two generations of so many. Characters that are looked at together.
+STORE, CHARS = 150_000, 3_000_000
 #: Letters with nothing to normalise, and marks at a word's end that make one more piece.
 PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,!?;:]*)")
 
@@ -43,7 +43,8 @@ class Encoder:
         self.mark = np.zeros(self.size, bool)
         for x, i in vocab.items():
             self.mark[i] = x.endswith("</w>") if self.word_ends else x.startswith("Ġ")
-        self.store: dict[str, bytes | None] = {}
+        self.young: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
@@ -59,8 +60,8 @@ class Encoder:
                 joined.append(w)
             else:
                 single.append(w)
-        for at in range(0, len(joined), 4000):
-            some = joined[at : at + 4000]
+        for at in range(0, len(joined), 200):
+            some = joined[at : at + 200]
             (e,) = self.t.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)
             ids = np.array(e.ids, self.dtype)
             marks = np.flatnonzero(self.mark[ids])
@@ -84,18 +85,36 @@ class Encoder:
             out.update(zip(some, self.ids([" " + w for w in some]), strict=True))
         return out
 
+    def known(self, words: set[str]) -> dict[str, bytes | None]:
+        """Ids of these words; those of the last generations are not encoded again."""
+        if len(self.young) > STORE:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        missing = words.difference(young)
+        if old:
+            back = {w: old[w] for w in missing if w in old}
+            young.update(back)
+            missing.difference_update(back)
+        young.update(self.learn(list(missing)))
+        return young
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        some, size = [], 0
+        for t in texts:
+            some.append(t)
+            size += len(t)
+            if size > CHARS:
+                out += self.encode_some(some)
+                some, size = [], 0
+        return out + self.encode_some(some) if some else out
+
+    def encode_some(self, texts: list[str]) -> list[bytes]:
         cut = [t.split(" ") for t in texts]
         seen: set[str] = set()
         for w in cut:
             seen.update(w[1:])
-        store = self.store
-        new = self.learn([w for w in seen if w not in store])
-        if len(store) + len(new) <= STORE:
-            store.update(new)
-            known = store
-        else:
-            known = {w: store[w] if w in store else new[w] for w in seen}
+        known = self.known(seen)
         firsts = self.ids([w[0] for w in cut])
         out, whole = [], []
         for i, w in enumerate(cut):
