@@ -2,5 +2,357 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import scalar as S
+from .operators import aggregate as A
+from .operators import categorize as C
+from .operators import ledger as L
+from .operators import recurring as R
+from .operators import timeseries as W
+from .operators import transfer as X
+from .sources import adapter
+
+D = dt.date
+YEAR = (D(1998, 1, 1), D(1998, 12, 31))
+BEFORE = (D(1997, 7, 1), D(1998, 6, 30))
+AS_OF = D(2001, 8, 1)
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function of the adapter's tables (named by its parameters) as a query."""
+
+    def put(f):
+        wanted = f.__code__.co_varnames[: f.__code__.co_argcount]
+        makers = {"txn": adapter.transactions, "accounts": adapter.accounts, "connections": adapter.connections, "rules": adapter.rules}
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(*(makers[w](spark, sf_dir) if w in makers else {"spark": spark, "sf_dir": sf_dir}[w] for w in wanted))
+
+        run.__name__, run.__doc__ = name, f.__doc__
+        QUERIES[name] = run
+        if sql:
+            SQL[name] = adapter.sql(sql)
+        return f
+
+    return put
+
+
+CASH = "CAST(coalesce(sum(CASE WHEN amount < 0 THEN -amount ELSE 0 END), 0) AS BIGINT) AS income, CAST(coalesce(sum(CASE WHEN amount > 0 THEN amount ELSE 0 END), 0) AS BIGINT) AS expenses"
+IN_YEAR = "date BETWEEN DATE '1998-01-01' AND DATE '1998-12-31'"
+
+
+@query("spending_by_category", f" SELECT user_id, category_value AS category, CAST(sum(amount) AS BIGINT) AS total FROM txn WHERE included AND amount > 0 AND {IN_YEAR} GROUP BY 1, 2")
+def _(txn):
+    return A.spending(txn, *YEAR)
+
+
+@query("income_by_category", f" SELECT user_id, category_value AS category, CAST(sum(-amount) AS BIGINT) AS total FROM txn WHERE included AND amount < 0 AND {IN_YEAR} GROUP BY 1, 2")
+def _(txn):
+    return A.spending(txn, *YEAR, income=True)
+
+
+@query(
+    "spending_compared",
+    f""" SELECT 'current' AS facet, user_id, category_value AS category, CAST(sum(amount) AS BIGINT) AS total FROM txn WHERE included AND amount > 0 AND {IN_YEAR} GROUP BY 2, 3
+UNION ALL SELECT 'compare', user_id, category_value, CAST(sum(amount) AS BIGINT) FROM txn WHERE included AND amount > 0 AND date BETWEEN DATE '1997-07-01' AND DATE '1998-06-30' GROUP BY 2, 3""",
+)
+def _(txn):
+    return A.spending_compared(txn, YEAR, BEFORE)
+
+
+@query("transaction_totals", f" SELECT {CASH} FROM txn WHERE included")
+def _(txn):
+    return A.totals(txn)
+
+
+@query("totals_of_account", f" SELECT {CASH} FROM txn WHERE included AND user_id = 3 AND account_id = -1")
+def _(txn):
+    return A.totals(txn, user_id=3, account_id=-1)
+
+
+@query("monthly_rollup", f" SELECT user_id, CAST(date_trunc('month', date) AS DATE) AS month, {CASH} FROM txn WHERE included GROUP BY 1, 2")
+def _(txn):
+    return A.monthly_rollup(txn)
+
+
+MONTHS = f"""SELECT u.user_id, m.month, coalesce(r.income, 0) AS income, coalesce(r.expenses, 0) AS expenses
+FROM (SELECT DISTINCT user_id FROM txn WHERE included) u CROSS JOIN (SELECT CAST(unnest(generate_series(TIMESTAMP '1997-12-01', TIMESTAMP '2002-03-01', INTERVAL 1 MONTH)) AS DATE) AS month) m
+LEFT JOIN (SELECT user_id, CAST(date_trunc('month', date) AS DATE) AS month, {CASH} FROM txn WHERE included GROUP BY 1, 2) r ON r.user_id = u.user_id AND r.month = m.month"""
+
+
+@query("cash_flow_series", " " + MONTHS)
+def _(txn):
+    return W.fill_cash_flow(A.monthly_rollup(txn), D(1997, 12, 15), D(2002, 3, 5))
+
+
+@query("cash_flow_net", f" SELECT user_id, CAST(sum(income - expenses) AS BIGINT) AS net, max(greatest(income, expenses)) AS highest FROM ({MONTHS}) GROUP BY 1")
+def _(txn):
+    return W.net_of_series(W.fill_cash_flow(A.monthly_rollup(txn), D(1997, 12, 15), D(2002, 3, 5)))
+
+
+@query("account_deltas", " SELECT account_id, CAST(sum(amount) AS BIGINT) AS delta FROM txn WHERE NOT is_removed AND NOT pending AND date > DATE '1999-06-30' GROUP BY 1")
+def _(txn):
+    return A.account_deltas(txn, D(1999, 6, 30))
+
+
+@query("day_groups", " SELECT user_id, date, CAST(-sum(amount) AS BIGINT) AS net, count(*) AS n_items FROM txn GROUP BY 1, 2")
+def _(txn):
+    return A.day_groups(txn).select("user_id", "date", "net", F.size("items").cast("long").alias("n_items"))
+
+
+TOTALS = "SELECT user_id, provider_category AS category, CAST(sum(amount) AS BIGINT) AS total FROM txn WHERE included AND amount > 0 GROUP BY 1, 2"
+
+
+@query(
+    "top_categories",
+    f""", t AS ({TOTALS}), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY total DESC, category) AS rank FROM t),
+g AS (SELECT user_id, least(rank, 4) AS rank, CASE WHEN rank <= 3 THEN category ELSE 'Other' END AS category, CAST(sum(total) AS BIGINT) AS total FROM r GROUP BY 1, 2, 3)
+SELECT user_id, rank, category, total, CAST(sum(total) OVER (PARTITION BY user_id) AS BIGINT) AS grand, CAST(coalesce(sum(total) OVER (PARTITION BY user_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before,
+CAST(floor(100 * total / sum(total) OVER (PARTITION BY user_id) + 0.5) AS BIGINT) AS percent FROM g""",
+)
+def _(txn):
+    rows = txn.filter(A.included() & (F.col("amount") > 0)).groupBy("user_id", F.col("provider_category").alias("category")).agg(F.sum("amount").alias("total"))
+    return A.top_categories(rows, 3).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("diagnostics", " SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(CASE WHEN merchant_name IS NOT NULL THEN n ELSE 0 END) AS DOUBLE) / sum(n) AS filled, count(merchant_name) AS n_keys, count(CASE WHEN merchant_name IS NOT NULL AND n > 1 THEN 1 END) AS n_repeated FROM (SELECT merchant_name, count(*) AS n FROM txn GROUP BY 1)")
+def _(txn):
+    return A.diagnostics(txn, "merchant_name")
+
+
+@query("top_merchants", " SELECT merchant_norm, count(*) AS n FROM txn GROUP BY 1 ORDER BY n DESC, merchant_norm LIMIT 10")
+def _(txn):
+    return A.top_keys(txn, "merchant_norm")
+
+
+@query("touched_buckets", " SELECT DISTINCT user_id, date AS day, CAST(date_trunc('month', date) AS DATE) AS month FROM txn WHERE pending")
+def _(txn):
+    return A.touched_buckets(txn.filter("pending"))
+
+
+BALANCES = """, d AS (SELECT account_id, date AS day, CAST(sum(amount) AS BIGINT) AS delta FROM txn WHERE NOT is_removed AND NOT pending GROUP BY 1, 2),
+days AS (SELECT DISTINCT user_id, CAST(date_trunc('month', date) AS DATE) AS day FROM txn),
+bal AS (SELECT a.user_id, a.account_id, a.type, days.day, a.current_balance + CAST(coalesce(sum(d.delta), 0) AS BIGINT) AS balance
+  FROM days JOIN account a USING (user_id) LEFT JOIN d ON d.account_id = a.account_id AND d.day > days.day WHERE a.linked_at <= days.day GROUP BY 1, 2, 3, 4, a.current_balance),
+snap AS (SELECT user_id, day AS date, CAST(sum(CASE WHEN type IN ('credit', 'loan') THEN 0 ELSE balance END) AS BIGINT) AS assets, CAST(sum(CASE WHEN type IN ('credit', 'loan') THEN balance ELSE 0 END) AS BIGINT) AS liabilities, count(*) AS n FROM bal GROUP BY 1, 2),
+net AS (SELECT *, assets - liabilities AS net_worth FROM snap)"""
+
+
+def month_days(txn: DataFrame) -> DataFrame:
+    return txn.select("user_id", S.month_start(F.col("date")).alias("day")).distinct()
+
+
+def snaps(txn: DataFrame, accounts: DataFrame) -> DataFrame:
+    return W.snapshots(W.balances(txn, accounts, month_days(txn)))
+
+
+@query("account_balances", BALANCES + " SELECT * FROM bal")
+def _(txn, accounts):
+    return W.balances(txn, accounts, month_days(txn))
+
+
+@query("balance_snapshots", BALANCES + " SELECT user_id, date, assets, liabilities, net_worth, n AS n_accounts FROM net")
+def _(txn, accounts):
+    return snaps(txn, accounts).select("user_id", "date", "assets", "liabilities", "net_worth", F.size("accounts").cast("long").alias("n_accounts"))
+
+
+@query("net_worth_series", BALANCES + """ SELECT n.user_id, c.date, n.net_worth, n.assets, n.liabilities FROM (SELECT CAST(unnest(generate_series(TIMESTAMP '1998-01-10', TIMESTAMP '1998-04-20', INTERVAL 1 DAY)) AS DATE) AS date) c
+JOIN net n ON n.date = (SELECT max(m.date) FROM net m WHERE m.user_id = n.user_id AND m.date <= c.date)""")
+def _(txn, accounts):
+    return W.fill_net_worth(snaps(txn, accounts), D(1998, 1, 10), D(1998, 4, 20))
+
+
+@query("latest_before", BALANCES + " SELECT user_id, max(date) AS date, arg_max(net_worth, date) AS net_worth FROM net WHERE date <= DATE '1999-05-05' GROUP BY 1")
+def _(txn, accounts):
+    return W.latest_before(snaps(txn, accounts), D(1999, 5, 5))
+
+
+@query("net_worth_by_week", BALANCES + " SELECT user_id, CAST(date_trunc('week', date) AS DATE) AS bucket, max(date) AS date, arg_max(net_worth, date) AS net_worth FROM net GROUP BY 1, 2")
+def _(txn, accounts):
+    return W.downsample(snaps(txn, accounts).select("user_id", "date", "net_worth"), "week")
+
+
+FLAGGED = BALANCES + ", f AS (SELECT *, n < max(n) OVER (PARTITION BY user_id) AS partial FROM net)"
+
+
+@query("partial_coverage", FLAGGED + " SELECT user_id, date, partial FROM f")
+def _(txn, accounts):
+    return W.flag_partial(snaps(txn, accounts)).select("user_id", "date", "partial")
+
+
+@query("coverage_segments", FLAGGED + """, t AS (SELECT *, CASE WHEN partial <> lag(partial) OVER w THEN 1 ELSE 0 END AS turn FROM f WINDOW w AS (PARTITION BY user_id ORDER BY date)),
+s AS (SELECT *, CAST(sum(turn) OVER (PARTITION BY user_id ORDER BY date) AS BIGINT) AS segment FROM t)
+SELECT user_id, segment, partial, date, net_worth FROM s UNION ALL SELECT user_id, segment - 1, NOT partial, date, net_worth FROM s WHERE turn = 1""")
+def _(txn, accounts):
+    return W.segments(W.flag_partial(snaps(txn, accounts)))
+
+
+@query("axis_domain", BALANCES + """ SELECT user_id, lo - pad AS low, hi + pad AS high FROM (SELECT user_id, min(net_worth) AS lo, max(net_worth) AS hi,
+CASE WHEN min(net_worth) = max(net_worth) THEN greatest(abs(max(net_worth)) * CAST(0.1 AS DOUBLE), 1.0) ELSE (max(net_worth) - min(net_worth)) * CAST(0.1 AS DOUBLE) END AS pad FROM net GROUP BY 1)""")
+def _(txn, accounts):
+    return W.axis_domain(snaps(txn, accounts))
+
+
+@query("latest_point", BALANCES + " SELECT user_id, max(date) AS date, arg_max(net_worth, date) AS net_worth FROM net GROUP BY 1")
+def _(txn, accounts):
+    return W.latest_point(snaps(txn, accounts))
+
+
+RECURRING = """, c AS (SELECT user_id, tx_id, merchant_norm, coalesce(merchant_name, merchant_norm) AS merchant_name, amount, date FROM txn WHERE included AND NOT pending AND amount > 0 AND length(merchant_norm) > 0),
+gaps AS (SELECT *, date_diff('day', lag(date) OVER w, date) AS gap FROM c WINDOW w AS (PARTITION BY user_id, merchant_norm ORDER BY date, tx_id)),
+g AS (SELECT user_id, merchant_norm, count(*) AS n, median(amount) AS med, min(amount) AS lo, max(amount) AS hi, avg(gap) AS gap, stddev_pop(gap) AS dev,
+  arg_max(merchant_name, date * 1) AS merchant_name, max(date) AS last_date, arg_max(amount, date_diff('day', DATE '1970-01-01', date) * 10000000000000 + tx_id) AS amount FROM (SELECT *, date_diff('day', DATE '1970-01-01', date) AS dn FROM gaps) GROUP BY 1, 2),
+sub AS (SELECT *, CASE WHEN abs(gap - 30) <= 5 THEN 'monthly' WHEN abs(gap - 365) <= 20 THEN 'annual' END AS frequency FROM g
+  WHERE n >= 3 AND med - lo <= CAST(0.15 AS DOUBLE) * med AND hi - med <= CAST(0.15 AS DOUBLE) * med AND dev <= 5)""".replace("arg_max(merchant_name, date * 1)", "max(merchant_name)")
+
+
+@query("recurring_charges", RECURRING + " SELECT user_id, merchant_norm, amount, CAST(floor(gap + 0.5) AS INT) AS interval_days, frequency, last_date, last_date + CAST(floor(gap + 0.5) AS INT) AS next_date, n AS n_charges FROM sub WHERE frequency IS NOT NULL")
+def _(txn):
+    return R.recurring(R.candidates(txn)).select("user_id", "merchant_norm", "amount", "interval_days", "frequency", "last_date", "next_date", F.size("tx_ids").cast("long").alias("n_charges"))
+
+
+@query("lapsed_subscriptions", RECURRING + " SELECT DISTINCT user_id, merchant_norm FROM c ANTI JOIN (SELECT user_id, merchant_norm FROM sub WHERE frequency IS NOT NULL) s USING (user_id, merchant_norm)")
+def _(txn):
+    rows = R.candidates(txn)
+    stored = rows.select("user_id", "merchant_norm").distinct().withColumn("active", F.lit(True))
+    return R.lapsed(R.recurring(rows), stored).select("user_id", "merchant_norm")
+
+
+EDGES = """, p AS (SELECT user_id, tx_id, account_id, amount, date, coalesce(starts_with(provider_category, 'TRANSFER_') OR provider_category = 'LOAN_PAYMENTS_CREDIT_CARD_PAYMENT', false) AS signal FROM txn WHERE NOT is_removed AND NOT pending AND amount <> 0),
+e AS (SELECT a.user_id, a.tx_id AS anchor, b.tx_id AS other, abs(date_diff('day', a.date, b.date)) AS date_diff, abs(abs(a.amount) - abs(b.amount)) AS amount_diff, a.signal OR b.signal AS signal
+  FROM p a JOIN p b ON a.user_id = b.user_id AND a.account_id <> b.account_id AND sign(a.amount) = -sign(b.amount) AND abs(abs(a.amount) - abs(b.amount)) <= 100 AND abs(date_diff('day', a.date, b.date)) <= 3)"""
+
+
+@query("transfer_edges", EDGES + " SELECT user_id, anchor, other, CAST(date_diff AS INT) AS date_diff, amount_diff FROM e WHERE signal")
+def _(txn):
+    return X.edges(X.unmatched(txn)).drop("ad")
+
+
+@query("transfer_matches")
+def _(txn):
+    return X.greedy(X.edges(X.unmatched(txn)))
+
+
+@query("transfer_suggestions", EDGES + " SELECT user_id, anchor, rank, other, CAST(date_diff AS INT) AS date_diff, amount_diff FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id, anchor ORDER BY date_diff, amount_diff, other) AS INT) AS rank FROM e) WHERE rank <= 10")
+def _(txn):
+    pool = X.unmatched(txn)
+    return X.suggestions(pool, pool)
+
+
+@query("transfer_aging")
+def _(txn):
+    return X.aging(txn, X.greedy(X.edges(X.unmatched(txn))), AS_OF)
+
+
+@query("transfer_links")
+def _(txn):
+    return X.link(txn, X.greedy(X.edges(X.unmatched(txn)))).filter("transfer_group_id is not null").select("user_id", "tx_id", "transfer_group_id")
+
+
+TIERS = """, o AS (SELECT user_id, tx_id, merchant_norm, description FROM txn WHERE category_tier = 4 AND category_value = 'Uncategorized' AND category_status = 'needs_review'),
+t1 AS (SELECT user_id, pattern AS merchant_norm, arg_max(category, ordinal) AS tier1 FROM rule WHERE match_type = 'exact' GROUP BY 1, 2),
+t2 AS (SELECT d.user_id, d.description, arg_min(r.category, r.priority * 1000 + r.ordinal) AS tier2 FROM (SELECT DISTINCT user_id, description FROM o) d JOIN (SELECT * FROM rule WHERE match_type = 'regex' AND pattern <> 'store (') r ON r.user_id = d.user_id AND regexp_matches(d.description, r.pattern, 'i') GROUP BY 1, 2),
+cm AS (SELECT user_id, merchant_norm AS m, arg_min(category_value, tx_id) AS category, min(tx_id) AS ordinal FROM txn WHERE category_tier = 4 AND category_status = 'confirmed' AND length(merchant_norm) > 0 GROUP BY 1, 2),
+fz AS (SELECT user_id, merchant_norm, category AS fuzzy FROM (SELECT k.user_id, k.merchant_norm, cm.category, row_number() OVER (PARTITION BY k.user_id, k.merchant_norm ORDER BY 1 - levenshtein(k.merchant_norm, cm.m) / CAST(greatest(length(k.merchant_norm), length(cm.m)) AS DOUBLE) DESC, cm.ordinal) AS rn
+  FROM (SELECT DISTINCT user_id, merchant_norm FROM o) k JOIN cm ON cm.user_id = k.user_id AND 5 * levenshtein(k.merchant_norm, cm.m) <= greatest(length(k.merchant_norm), length(cm.m))) WHERE rn = 1)"""
+
+
+@query("categorized", TIERS + " SELECT o.user_id, o.tx_id, CASE WHEN tier1 IS NOT NULL THEN 1 WHEN coalesce(tier2, fuzzy) IS NOT NULL THEN 2 END AS tier, coalesce(tier1, tier2, fuzzy) AS category FROM o LEFT JOIN t1 ON t1.user_id = o.user_id AND t1.merchant_norm = o.merchant_norm LEFT JOIN t2 ON t2.user_id = o.user_id AND t2.description = o.description LEFT JOIN fz ON fz.user_id = o.user_id AND fz.merchant_norm = o.merchant_norm")
+def _(txn, rules):
+    return C.resolve(txn, rules, C.corrected_merchants(txn))
+
+
+def stub_model(batch: list[dict]) -> list[dict]:
+    """A deterministic stand-in for a model."""
+    return [{"tx_id": r["tx_id"], "category": "Dining" if r["tx_id"] % 20 else "", "confidence": (r["tx_id"] // 10 % 100) / 100, "uncertain": r["tx_id"] // 10 % 5 == 0} for r in batch]
+
+
+@query("model_tier", """ SELECT tx_id, CASE WHEN tx_id % 20 > 0 THEN 'Dining' ELSE 'Uncategorized' END AS category, CASE WHEN tx_id % 20 > 0 THEN CAST(CAST(tx_id AS BIGINT) // 10 % 100 AS DOUBLE) / 100 ELSE 0 END AS confidence, tx_id % 20 = 0 OR tx_id // 10 % 5 = 0 AS uncertain,
+CASE WHEN tx_id % 20 = 0 OR tx_id // 10 % 5 = 0 OR CAST(tx_id // 10 % 100 AS DOUBLE) / 100 < CAST(0.7 AS DOUBLE) THEN 'needs_review' ELSE 'confirmed' END AS status FROM txn WHERE category_status = 'needs_review'""")
+def _(txn):
+    rows = txn.filter("category.status = 'needs_review'").select("tx_id", "merchant_norm", "description", "amount")
+    return C.model_tier(rows, stub_model, ["Dining", "Uncategorized"])
+
+
+@query("rule_write_back", " SELECT user_id, 1 AS tier, 'exact' AS match_type, merchant_norm AS pattern, arg_max(category_value, tx_id) AS category, 0 AS priority, 'llm' AS source FROM txn WHERE category_status = 'confirmed' AND length(merchant_norm) > 0 GROUP BY 1, 4")
+def _(txn):
+    return C.write_back(txn.select("user_id", "merchant_norm", F.col("category.value").alias("category"), F.col("category.status").alias("status"), F.col("tx_id").alias("ordinal")), "llm")
+
+
+@query("prompts")
+def _(txn):
+    return C.prompt_lines(txn.filter("category.status = 'needs_review'"))
+
+
+@query("ledger_view", """ SELECT t.user_id, tx_id, date, amount, coalesce(merchant_override, merchant_name, merchant_norm) AS merchant, description, pending, category_value AS category, category_status AS status, category_tier AS tier, false AS is_transfer,
+CASE WHEN a.account_id IS NULL THEN 'Unknown account' ELSE coalesce(nickname, official_name, institution_name) END AS account_name, coalesce(a.type, '') AS account_type FROM txn t LEFT JOIN account a USING (account_id)""")
+def _(txn, accounts):
+    return L.ledger_view(txn, accounts)
+
+
+@query("ledger_page", " SELECT tx_id, date, amount FROM txn WHERE user_id = 3 AND NOT is_removed AND category_status = 'confirmed' AND date >= DATE '1996-01-01' ORDER BY date DESC, tx_id LIMIT 25 OFFSET 50")
+def _(txn):
+    return L.page(txn, 3, 3, 25, status="confirmed", start=D(1996, 1, 1))[0].select("tx_id", "date", "amount")
+
+
+@query("review_queue", " SELECT user_id, tx_id, amount FROM txn WHERE NOT is_removed AND category_status = 'needs_review'")
+def _(txn):
+    return L.needs_review(txn).select("user_id", "tx_id", "amount")
+
+
+@query("account_list", " SELECT account_id, institution_name, subtype, coalesce(status, 'error') AS status, last_synced_at FROM account LEFT JOIN connection USING (connection_id) WHERE NOT coalesce(archived, false)")
+def _(accounts, connections):
+    return L.account_list(accounts, connections).select("account_id", "institution_name", "subtype", "status", "last_synced_at")
+
+
+@query("wallets", f", m AS (SELECT user_id, {CASH} FROM txn WHERE included AND {IN_YEAR} GROUP BY 1) SELECT user_id, CAST(sum(current_balance) AS BIGINT) AS balance, CAST(coalesce(max(m.income - m.expenses), 0) AS BIGINT) AS change FROM account LEFT JOIN m USING (user_id) GROUP BY 1")
+def _(txn, accounts):
+    cash = txn.filter(A.included() & A.in_range(*YEAR)).groupBy("user_id").agg(*A.income_expenses())
+    return L.wallet(accounts, cash)
+
+
+@query("money_labels", """ SELECT tx_id, CASE WHEN amount < 0 AND floor(abs(amount) / 100 + 0.5) > 0 THEN '-' ELSE '' END || '$' || format('{:,}', CAST(floor(abs(amount) / 100 + 0.5) AS BIGINT)) AS label, strftime(date, '%b %-d') AS day_label, strftime(date, '%b %y') AS month_label,
+CAST(date_trunc('week', date) AS DATE) AS week, last_day(date) AS month_end FROM txn""")
+def _(txn):
+    d = F.col("date")
+    return txn.select("tx_id", S.dollars(F.col("amount")).alias("label"), S.day_label(d).alias("day_label"), S.month_label(d).alias("month_label"), S.week_start(d).alias("week"), S.month_end(d).alias("month_end"))
+
+
+@query("cents", " SELECT o_orderkey AS k, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS cents FROM orders")
+def _(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), S.to_cents(F.col("o_totalprice")).alias("cents"))
+
+
+@query("erased", " SELECT user_id, count(*) AS n FROM txn WHERE user_id <> 3 GROUP BY 1")
+def _(txn):
+    return L.erase_user({"txn": txn}, 3)["txn"].groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("trigger_events", " SELECT event_type AS key, ts AS at FROM (SELECT *, date_diff('second', lag(ts) OVER (PARTITION BY event_type ORDER BY ts), ts) AS gap FROM events) WHERE gap IS NULL OR gap > 600")
+def _(spark, sf_dir):
+    from .streaming.changefeed import queue_view
+
+    return queue_view(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("key"), F.col("ts").alias("at")))
+
+
+@query("feed_applied", """, f AS (SELECT *, tx_id // 10 % 3 AS page FROM txn0 WHERE tx_id < 1000000000000)
+SELECT CAST(tx_id AS VARCHAR) AS provider_tx_id, user_id, CASE WHEN tx_id % 50 = 0 THEN amount + 1 ELSE amount END AS amount, tx_id % 70 = 0 AS is_removed FROM f WHERE account_id % 11 <> 0""")
+def _(txn, accounts):
+    """Added rows, later modified and removed ones, of which rows of unknown accounts change nothing."""
+    from .streaming.changefeed import LEDGER, apply_feed
+
+    rows = txn.filter("tx_id < 1000000000000")
+    base = [F.col("tx_id").alias("idx"), F.col("tx_id").cast("string").alias("provider_tx_id"), F.lit(None).cast("string").alias("pending_tx_id"), F.col("account_id").cast("string").alias("provider_account_id"), "date"]
+    rest = [F.lit("USD").alias("currency"), "merchant_name", "description", F.lit(False).alias("pending"), "provider_category"]
+    added = rows.select(F.lit(1).alias("page"), F.lit("added").alias("op"), *base, "amount", *rest)
+    modified = rows.filter("tx_id % 50 = 0").select(F.lit(1).alias("page"), F.lit("modified").alias("op"), *base, (F.col("amount") + 1).alias("amount"), *rest)
+    removed = rows.filter("tx_id % 70 = 0").select(F.lit(2).alias("page"), F.lit("removed").alias("op"), *base, "amount", *rest)
+    known = accounts.filter("account_id % 11 != 0").select(F.col("account_id").cast("string").alias("provider_account_id"), "account_id", "user_id")
+    ledger, _, _ = apply_feed(txn.sparkSession.createDataFrame([], LEDGER), added.union(modified).union(removed), known)
+    return ledger.select("provider_tx_id", "user_id", "amount", "is_removed")
