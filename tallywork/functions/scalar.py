@@ -93,7 +93,8 @@ def json_payload(content: Column) -> Column:
     """The text of a fenced block, else from the first [ to the last ], else the whole, trimmed."""
     fenced = F.regexp_extract(content, r"(?s)```(?:json)?\s*(.*?)```", 1)
     outer = F.regexp_extract(content, r"(?s)(\[.*\])", 1)
-    return F.trim(F.when(content.rlike(r"(?s)```(?:json)?\s*.*?```"), fenced).when(outer != "", outer).otherwise(content))
+    found = F.when(content.rlike(r"(?s)```(?:json)?\s*.*?```"), fenced).when(outer != "", outer).otherwise(content)
+    return F.regexp_replace(found, r"^\s+|\s+$", "")
 
 
 def webhook_kind(body: Column) -> Column:
@@ -122,8 +123,8 @@ def error_kind(status: Column, code: Column) -> Column:
 
 
 def retry_after_ms(seconds: Column) -> Column:
-    value = F.expr("try_cast(0 as double)") if seconds is None else F.try_to_number(F.regexp_extract(seconds, r"^\s*(\d+)\s*$", 1), F.lit("9999999999"))
-    return (value * 1000).cast("long")
+    value = seconds.try_cast("double")
+    return F.when(value >= 0, value * 1000).cast("long")
 
 
 def days_requested(x: Column) -> Column:

@@ -22,18 +22,6 @@ class Provider:
         raise NotImplementedError
 
 
-#: Providers by name, for the option "provider".
-PROVIDERS: dict[str, type[Provider]] = {}
-
-
-def register(name: str):
-    def put(cls):
-        PROVIDERS[name] = cls
-        return cls
-
-    return put
-
-
 class Reader(SimpleDataSourceStreamReader):
     def __init__(self, provider: Provider, pages_at_once: int):
         self.provider, self.at_once = provider, pages_at_once
@@ -42,8 +30,8 @@ class Reader(SimpleDataSourceStreamReader):
         return {"page": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        end = min(self.provider.pages(), start["page"] + self.at_once)
-        return iter([r for i in range(start["page"], end) for r in self.provider.page(i)]), {"page": max(end, start["page"])}
+        end = max(start["page"], min(self.provider.pages(), start["page"] + self.at_once))
+        return self.readBetweenOffsets(start, {"page": end}), {"page": end}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         return iter([r for i in range(start["page"], end["page"]) for r in self.provider.page(i)])
@@ -52,18 +40,18 @@ class Reader(SimpleDataSourceStreamReader):
         pass
 
 
-class ChangeFeedSource(DataSource):
-    """spark.readStream.format("changefeed").option("provider", name)"""
-
-    @classmethod
-    def name(cls) -> str:
-        return "changefeed"
+def source(provider: type[Provider], short_name: str = "changefeed") -> type[DataSource]:
+    """A data source class over provider, for spark.dataSource.register; option pagesAtOnce limits a batch."""
 
-    def schema(self) -> str:
-        return FEED
+    class ChangeFeedSource(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return short_name
 
-    def simpleStreamReader(self, schema) -> Reader:
-        return Reader(PROVIDERS[self.options["provider"]](), int(self.options.get("pagesAtOnce", "5")))
+        def schema(self) -> str:
+            return FEED
 
+        def simpleStreamReader(self, schema) -> Reader:
+            return Reader(provider(), int(self.options.get("pagesAtOnce", "5")))
 
-__all__ = ["PROVIDERS", "ChangeFeedSource", "Provider", "register"]
+    return ChangeFeedSource
