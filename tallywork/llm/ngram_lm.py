@@ -347,7 +347,7 @@ def model_word_counts(model: Model, ranks: np.ndarray) -> np.ndarray:
     """Counts of words by rank, as contexts (the beginning of texts: documents)."""
     out = np.zeros(len(ranks), np.int64)
     bases = [(b, s) for s, b in enumerate(model.rank_base) if b >= 0]
-    for (b, s), (after, _) in zip(bases, [*bases[1:], (model.kept, 0)], strict=True):
+    for (b, s), (after, _) in zip(bases, [*bases, (model.kept, 0)][1:], strict=True):
         i, j = np.searchsorted(ranks, [b, after])
         if i < j:
             f = files(f"{model.place}/words-{s:05d}")
