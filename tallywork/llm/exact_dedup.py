@@ -163,7 +163,7 @@ def resolve(docs: DataFrame) -> DataFrame:
     build_index(docs, place).write.parquet(f"{place}/files")
     groups = read_index(spark.read.parquet(f"{place}/files").repartition(max(1, parts(spark)), "index"))
     rows = keyed(docs).select("doc_id", F.col("sha").alias("text_sha256"))
-    out = rows.join(groups, rows["text_sha256"] == groups["sha"])
+    out = rows.join(groups.hint("merge"), rows["text_sha256"] == groups["sha"])
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 

@@ -11,10 +11,11 @@ band below. A set with no more than d parts filled also goes to the tiles of its
 two linked sets have no part in common both do so, and they share one of those. No linked pair is missed.
 
 Tests. A set's bitmap has the parity of its hashes in each of 1024 bits. Bits that differ need hashes that differ, so
-their number bounds the overlap from above; pairs past that are intersected as sorted arrays. First each class is tested
-against one class of its tiles, and components are formed; then every pair in a tile whose classes are still in
-different components is tested, a tile with many of them in blocks. So a group of n near copies costs about n tests, and
-no tile is cut off.
+their number bounds the overlap from above; pairs past that are intersected as sorted arrays. In each of `ROUNDS` rounds
+every tile whose classes lie in several components names a leader; bitmaps compare each class with the leaders of its
+tiles in other components, and the nearest is tested; then components are formed anew. In the end every pair in a tile
+whose classes are still in different components is tested, a tile with many of them in blocks. So a group of n near
+copies costs a few times n tests, and no tile is cut off.
 
 Shingles and sets are told apart by 64-bit hashes. Rows without a doc_id count as larger than any; rows that share a
 doc_id are documents of their own.
@@ -36,6 +37,7 @@ from .components import components
 WIDTH = 5
 #: Bytes of a parity bitmap; classes of a tile that one task compares with as many others; rows that may be broadcast.
 BITMAP, BLOCK, SMALL = 128, 1024, 1 << 20
+ROUNDS = 4
 #: Odd 64-bit multipliers, and what is added for raw hashes.
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 RAW = np.uint64(0x5851F42D4C957F2D)
@@ -183,8 +185,8 @@ def grouped(rows: DataFrame) -> DataFrame:
     return rows.repartition(n, "bucket").mapInPandas(run, "doc_id string, sid long, n long, bits binary, tile long, leader long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, place: str) -> DataFrame:
-    """The pairs (a, b) of classes that are linked: bound by bitmaps, then by the arrays of their smallest documents."""
+def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """pairs (sid, a, b) that sizes and bitmaps allow, with the number of bits that differ."""
     side = classes.select("sid", "n", "bits")
     both = pairs.join(side.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")).hint("merge"), "a")
     both = both.join(side.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")).hint("merge"), "b")
@@ -193,13 +195,21 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, place: str)
         for pdf in batches:
             if len(pdf):
                 differ = np.bitwise_count(rows_of(pdf["ba"]) ^ rows_of(pdf["bb"])).sum(axis=1, dtype=np.int64)
-                yield pdf.loc[may_link(pdf["na"].to_numpy(), pdf["nb"].to_numpy(), differ), ["a", "b"]]
+                keep = may_link(pdf["na"].to_numpy(), pdf["nb"].to_numpy(), differ)
+                yield pdf.loc[keep, ["sid", "a", "b"]].assign(differ=differ[keep])
 
-    left = materialize(both.mapInPandas(bound, "a long, b long"), f"{place}/bound")
+    return both.select("sid", "a", "b", "na", "nb", "ba", "bb").mapInPandas(bound, "sid long, a long, b long, differ long")
+
+
+def verified(left: DataFrame, classes: DataFrame, docs: DataFrame, place: str) -> DataFrame:
+    """The pairs (a, b) of classes that are linked, by the arrays of their smallest documents."""
     needed = left.select(F.col("a").alias("sid")).union(left.select(F.col("b").alias("sid"))).distinct().join(classes.select("sid", "rep").hint("merge"), "sid")
     needed = materialize(needed.select(F.col("sid").alias("__sid"), F.col("rep").alias("__rep")), f"{place}/needed")
+    n_needed = needed.count()
+    if not n_needed:
+        return left
     # 16 bytes a row: up to 16 MB travel to the texts, otherwise texts and names meet in a merge join.
-    few = F.broadcast(needed) if needed.count() <= SMALL else needed.hint("merge")
+    few = F.broadcast(needed) if n_needed <= SMALL else needed.hint("merge")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(few, F.col("doc_id").eqNullSafe(F.col("__rep")))
     texts = materialize(texts.select(F.col("__sid").alias("sid"), "text"), f"{place}/texts")
     rows = left.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
@@ -221,40 +231,45 @@ def rows_of(bits: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), BITMAP // 8)
 
 
-def apart(tiles: DataFrame, roots: DataFrame, classes: DataFrame, tested: DataFrame, place: str) -> DataFrame:
+def opened(members: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
+    """Members (tile, sid, root, size, lead, lead_root) of the tiles with several components. A tile's lead is its class with the smallest hash, another one each turn."""
+    m = members.select("tile", "sid")
+    if roots is None:
+        m = m.withColumn("root", F.col("sid"))
+    else:
+        m = m.join(roots.select(F.col("node").alias("sid"), "root").hint("merge"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    lead = F.min_by(F.struct("sid", "root"), F.struct(F.xxhash64("sid", F.lit(turn)), "sid"))
+    tiles = m.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"), lead.alias("l")).filter("lo != hi")
+    return m.join(tiles.select("tile", "size", F.col("l.sid").alias("lead"), F.col("l.root").alias("lead_root")).hint("merge"), "tile")
+
+
+def proposed(members: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """sid, a, b: each class (sid) with the leads of its tiles in other components, without pairs (a, b) that are tested."""
+    pairs = members.filter("root != lead_root").select("sid", F.least("sid", "lead").alias("a"), F.greatest("sid", "lead").alias("b")).distinct()
+    return pairs if tested is None else pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
+
+
+def apart(members: DataFrame, classes: DataFrame, tested: DataFrame, place: str) -> DataFrame:
     """Pairs (a, b) of classes in one tile and different components that size and bitmap allow, without those tested."""
-    root = roots.select(F.col("node"), "root").hint("merge")
-    r = tiles.join(root.select(F.col("node").alias("leader"), F.col("root").alias("rl")), "leader", "left")
-    r = r.join(root.select(F.col("node").alias("sid"), F.col("root").alias("rs")), "sid", "left")
-    r = r.withColumn("split", F.coalesce("rl", "leader") != F.coalesce("rs", "sid"))
-    open_tiles = r.groupBy("tile").agg(F.max("split").alias("open"), (F.count("*") + 1).alias("size"), F.min("leader").alias("leader")).filter("open")
-    open_tiles = materialize(open_tiles.select("tile", "size", "leader"), f"{place}/open")
-    members = tiles.select("tile", "sid").join(open_tiles.select("tile", "size").hint("merge"), "tile").union(open_tiles.select("tile", F.col("leader").alias("sid"), "size"))
-    members = members.join(roots.select(F.col("node").alias("sid"), "root").hint("merge"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    members = members.join(classes.select("sid", "n", "bits").hint("merge"), "sid")
+    members = members.select("tile", "sid", "root", "size").join(classes.select("sid", "n", "bits").hint("merge"), "sid")
     # Blocks of a tile meet two by two.
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("sid", F.lit(1)), blocks).cast("int")
     members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     members = members.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-    members = members.repartition(max(1, parts(tiles.sparkSession)), "tile", "lo", "hi").sortWithinPartitions("tile", "lo", "hi")
+    members = members.repartition(max(1, parts(members.sparkSession)), "tile", "lo", "hi").sortWithinPartitions("tile", "lo", "hi")
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf[pdf["own"] == pdf["lo"]]
-        right = pdf[pdf["own"] == pdf["hi"]]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        la, ra = left["sid"].to_numpy(), right["sid"].to_numpy()
-        lr, rr = left["root"].to_numpy(), right["root"].to_numpy()
-        ln, rn = left["n"].to_numpy(), right["n"].to_numpy()
-        lb, rb = rows_of(left["bits"]), rows_of(right["bits"])
+        sid, root, n, bits = pdf["sid"].to_numpy(), pdf["root"].to_numpy(), pdf["n"].to_numpy(), rows_of(pdf["bits"])
+        names, of = np.unique(root, return_inverse=True)
         a, b = [], []
-        for i in range(len(la)):
-            k = np.flatnonzero((rr != lr[i]) & (5 * np.minimum(rn, ln[i]) >= 4 * np.maximum(rn, ln[i])))
+        # Of two classes in different components, one at least is outside the commonest.
+        for i in np.flatnonzero(of != np.bincount(of).argmax()) if len(names) > 1 else ():
+            k = np.flatnonzero((root != root[i]) & (5 * np.minimum(n, n[i]) >= 4 * np.maximum(n, n[i])))
             if len(k):
-                k = k[may_link(ln[i], rn[k], np.bitwise_count(rb[k] ^ lb[i]).sum(axis=1, dtype=np.int64))]
-                a.append(np.full(len(k), la[i]))
-                b.append(ra[k])
+                k = k[may_link(n[i], n[k], np.bitwise_count(bits[k] ^ bits[i]).sum(axis=1, dtype=np.int64))]
+                a.append(np.full(len(k), sid[i]))
+                b.append(sid[k])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
@@ -274,8 +289,8 @@ def apart(tiles: DataFrame, roots: DataFrame, classes: DataFrame, tested: DataFr
             found = [pairs(g) for _, g in pdf.groupby(["tile", "lo", "hi"], sort=False)]
             yield pd.concat(found, ignore_index=True).drop_duplicates()
 
-    out = members.select("tile", "lo", "hi", "own", "sid", "root", "n", "bits").mapInPandas(run, "a long, b long").distinct()
-    return materialize(out.join(tested.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), f"{place}/apart")
+    out = members.select("tile", "lo", "hi", "sid", "root", "n", "bits").mapInPandas(run, "a long, b long").distinct()
+    return materialize(out.join(tested.hint("merge"), ["a", "b"], "left_anti"), f"{place}/apart")
 
 
 def join_components(docs: DataFrame) -> DataFrame:
@@ -287,14 +302,22 @@ def join_components(docs: DataFrame) -> DataFrame:
     tiles = rows.filter("n < 0").select("tile", "leader", "sid")
     classes = members.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits"))
     classes = materialize(classes, f"{place}/classes")
-    first = tiles.groupBy("sid").agg(F.min("leader").alias("leader")).select(F.col("leader").alias("a"), F.col("sid").alias("b"))
-    first = materialize(first, f"{place}/first")
-    links = verified(first, classes, docs, f"{place}/1")
-    roots = materialize(components(links, f"{place}/c1"), f"{place}/roots1")
-    more = apart(tiles, roots, classes, first, place)
-    links2 = verified(more, classes, docs, f"{place}/2")
-    # What the first round joined is a star already.
-    roots = materialize(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links2), f"{place}/c2"), f"{place}/roots2")
+    in_tiles, roots, tested = tiles.select("tile", "sid").union(tiles.select("tile", F.col("leader").alias("sid")).distinct()), None, None
+    for turn in range(ROUNDS + 1):
+        here = f"{place}/{turn}"
+        in_tiles = materialize(opened(in_tiles, roots, turn), f"{here}/members")
+        if turn < ROUNDS:
+            pairs = materialize(proposed(in_tiles, tested), f"{here}/pairs")
+            near = materialize(bounded(pairs, classes), f"{here}/near")
+            left = materialize(near.groupBy("sid").agg(F.min_by(F.struct("a", "b"), F.struct("differ", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), f"{here}/nearest")
+            done = pairs.select("a", "b").join(near.select("a", "b").hint("merge"), ["a", "b"], "left_anti").union(left).distinct()
+            tested = materialize(done if tested is None else tested.union(done), f"{here}/tested")
+        else:
+            left = apart(in_tiles, classes, tested, here)
+        links = verified(left, classes, docs, here)
+        # What earlier rounds joined is a star by now.
+        joined = links if roots is None else links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = materialize(components(joined, f"{here}/stars"), f"{here}/roots")
     at = classes.select("sid", "rep").join(roots.select(F.col("node").alias("sid"), "root").hint("merge"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = at.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = at.join(least.hint("merge"), "root").select("sid", "component_id")
