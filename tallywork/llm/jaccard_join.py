@@ -37,7 +37,7 @@ from .components import components
 WIDTH = 5
 #: Bytes of a parity bitmap; classes of a tile that one task compares with as many others; rows that may be broadcast.
 BITMAP, BLOCK, SMALL = 128, 1024, 1 << 20
-ROUNDS = 4
+ROUNDS = 2
 #: Odd 64-bit multipliers, and what is added for raw hashes.
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 RAW = np.uint64(0x5851F42D4C957F2D)
@@ -244,7 +244,7 @@ def opened(members: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
 
 
 def proposed(members: DataFrame, tested: DataFrame | None) -> DataFrame:
-    """sid, a, b: each class (sid) with the leads of its tiles in other components, without pairs (a, b) that are tested."""
+    """sid, a, b: each class (sid) with the leads of its tiles in other components, without pairs (a, b) whose arrays were compared."""
     pairs = members.filter("root != lead_root").select("sid", F.least("sid", "lead").alias("a"), F.greatest("sid", "lead").alias("b")).distinct()
     return pairs if tested is None else pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
 
@@ -307,11 +307,9 @@ def join_components(docs: DataFrame) -> DataFrame:
         here = f"{place}/{turn}"
         in_tiles = materialize(opened(in_tiles, roots, turn), f"{here}/members")
         if turn < ROUNDS:
-            pairs = materialize(proposed(in_tiles, tested), f"{here}/pairs")
-            near = materialize(bounded(pairs, classes), f"{here}/near")
+            near = bounded(proposed(in_tiles, tested), classes)
             left = materialize(near.groupBy("sid").agg(F.min_by(F.struct("a", "b"), F.struct("differ", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), f"{here}/nearest")
-            done = pairs.select("a", "b").join(near.select("a", "b").hint("merge"), ["a", "b"], "left_anti").union(left).distinct()
-            tested = materialize(done if tested is None else tested.union(done), f"{here}/tested")
+            tested = left if tested is None else tested.union(left)
         else:
             left = apart(in_tiles, classes, tested, here)
         links = verified(left, classes, docs, here)
