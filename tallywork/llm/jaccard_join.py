@@ -37,6 +37,8 @@ from .components import components
 WIDTH = 5
 #: Bytes of a parity bitmap; classes of a tile that one task compares with as many others; rows that may be broadcast.
 BITMAP, BLOCK, SMALL = 128, 1024, 1 << 20
+#: Smallest tiles of a class that its rows carry, and what fills up shorter lists.
+FEW, NO_TILE = 8, (1 << 63) - 1
 ROUNDS = 2
 #: Odd 64-bit multipliers, and what is added for raw hashes.
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -250,8 +252,15 @@ def proposed(members: DataFrame, tested: DataFrame | None) -> DataFrame:
 
 
 def apart(members: DataFrame, classes: DataFrame, tested: DataFrame, place: str) -> DataFrame:
-    """Pairs (a, b) of classes in one tile and different components that size and bitmap allow, without those tested."""
-    members = members.select("tile", "sid", "root", "size").join(classes.select("sid", "n", "bits").hint("merge"), "sid")
+    """Pairs (a, b) of classes in one tile and different components that size and bitmap allow, without those tested.
+
+    Near copies share most of their tiles: a pair is left to a smaller tile where the lists of both have it. Of the tiles
+    that a pair shares, the smallest always names it.
+    """
+    members = members.select("tile", "sid", "root", "size")
+    few = F.slice(F.concat(F.sort_array(F.collect_set("tile")), F.array_repeat(F.lit(NO_TILE), FEW)), 1, FEW)
+    side = classes.select("sid", "n", "bits").join(members.groupBy("sid").agg(few.alias("few")).hint("merge"), "sid")
+    members = members.join(side.hint("merge"), "sid")
     # Blocks of a tile meet two by two.
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("sid", F.lit(1)), blocks).cast("int")
@@ -261,6 +270,7 @@ def apart(members: DataFrame, classes: DataFrame, tested: DataFrame, place: str)
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         sid, root, n, bits = pdf["sid"].to_numpy(), pdf["root"].to_numpy(), pdf["n"].to_numpy(), rows_of(pdf["bits"])
+        few, tile = np.stack(pdf["few"].to_numpy()), pdf["tile"].iloc[0]
         names, of = np.unique(root, return_inverse=True)
         a, b = [], []
         # Of two classes in different components, one at least is outside the commonest.
@@ -268,6 +278,7 @@ def apart(members: DataFrame, classes: DataFrame, tested: DataFrame, place: str)
             k = np.flatnonzero((root != root[i]) & (5 * np.minimum(n, n[i]) >= 4 * np.maximum(n, n[i])))
             if len(k):
                 k = k[may_link(n[i], n[k], np.bitwise_count(bits[k] ^ bits[i]).sum(axis=1, dtype=np.int64))]
+                k = k[~np.isin(few[k], few[i][few[i] < tile]).any(axis=1)]
                 a.append(np.full(len(k), sid[i]))
                 b.append(sid[k])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
@@ -289,7 +300,7 @@ def apart(members: DataFrame, classes: DataFrame, tested: DataFrame, place: str)
             found = [pairs(g) for _, g in pdf.groupby(["tile", "lo", "hi"], sort=False)]
             yield pd.concat(found, ignore_index=True).drop_duplicates()
 
-    out = members.select("tile", "lo", "hi", "sid", "root", "n", "bits").mapInPandas(run, "a long, b long").distinct()
+    out = members.select("tile", "lo", "hi", "sid", "root", "n", "bits", "few").mapInPandas(run, "a long, b long").distinct()
     return materialize(out.join(tested.hint("merge"), ["a", "b"], "left_anti"), f"{place}/apart")
 
 
