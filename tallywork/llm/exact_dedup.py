@@ -169,8 +169,9 @@ def resolve(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs without the rows whose text another row with a smaller doc_id has."""
-    gone = resolve(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    gone = resolve(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__sha")).distinct()
+    own = F.sha2(F.encode(F.regexp_replace(F.coalesce(docs["text"], F.lit("")), WS, " "), "UTF-8"), 256)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]) & (own == gone["__sha"]), "left_anti")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -341,6 +341,12 @@ def test_exact(request, which):
     assert kept.columns == df.columns and collections.Counter(r["doc_id"] for r in kept.collect()) == collections.Counter(w[0] for w in want.elements() if w[3])
 
 
+def test_copies_go_by_text(spark):
+    rows = [(1, "a b", 0), (2, "a  b", 0), (2, "other", 0), (None, None, 0), (3, "", 0), (None, "a b", 0)]
+    left = exact_dedup.drop_copies(spark.createDataFrame(rows, "doc_id long, text string, sha int"))
+    assert sorted(map(tuple, left.collect())) == [(1, "a b", 0), (2, "other", 0), (3, "", 0)]
+
+
 def test_index_splits_and_chains():
     rng, index, ref = np.random.default_rng(1), exact_dedup.HashIndex(4), {}
     hash_of = lambda t: int.from_bytes(hashlib.sha256(t[:3]).digest()[:8], "big")  # noqa: E731  collides
