@@ -97,8 +97,8 @@ def lower_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def prefix_sums(df: DataFrame, key: str, order: str, size: str, out: str) -> DataFrame:
-    """Add out: the sum of size over the rows of the same key that come before by md5 of order's text, then size.
+def prefix_sums(df: DataFrame, key: str, order: str, size: str, out: str, tie: str) -> DataFrame:
+    """Add out: the sum of size over the rows of the same key that come before by md5 of order's text, then size, then tie.
 
     No group is summed in one task: rows are dealt by (key, the digest's first three hex digits), each pair is summed
     where it lies, and only the pairs' totals (4096 rows a key at most) are summed along the key.
@@ -110,7 +110,7 @@ def prefix_sums(df: DataFrame, key: str, order: str, size: str, out: str) -> Dat
     totals = at.groupBy(key, "__b").agg(F.sum(size).alias("__t"))
     base = totals.withColumn("__base", F.sum("__t").over(Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)))
     base = base.select(F.col(key).alias("__k"), F.col("__b").alias("__bb"), F.coalesce("__base", F.lit(0)).alias("__base"))
-    w = Window.partitionBy(key, "__b").orderBy("__o", size).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(key, "__b").orderBy("__o", size, tie).rowsBetween(Window.unboundedPreceding, -1)
     within = at.withColumn("__in", F.coalesce(F.sum(size).over(w), F.lit(0)))
     joined = within.join(base, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__b") == F.col("__bb")))
     return joined.withColumn(out, F.col("__base") + F.col("__in")).drop("__o", "__b", "__k", "__bb", "__base", "__in")

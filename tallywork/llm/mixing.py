@@ -9,7 +9,7 @@ Sizes count words; a null text has size 0. A null source is a source of its own,
 `budget` (default: all words) by weight, stop at `cap` times the source's size, and the excess goes to the others by
 weight until none is above. A source takes whole passes over its documents (at most `cap`) and then documents in a
 fixed hashed order until its target is met; the last one is cut. A source without words takes nothing. Rows with the
-same doc_id are taken each on its own, in an order that their sizes settle.
+same doc_id are taken each on its own, in an order that their sizes and then their row numbers settle.
 """
 
 from __future__ import annotations
@@ -26,9 +26,9 @@ SLOPES = (-0.5, 0.0, 0.5)
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size (words) of each document."""
+    """row (a number of each row, which stays once this is written), doc_id, source and size (words) of each document."""
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(NOT_WS)).cast("long")
-    return docs.select("doc_id", "source", words.alias("size"))
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", words.alias("size"))
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, slopes=SLOPES, cap: float = 3.0) -> DataFrame:
@@ -52,7 +52,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, slopes=SLOPES, cap: float
 
 def take(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """sizes with source_size, target, slope, before (words ahead of the document in its source's stream) and taken."""
-    streamed = prefix_sums(sizes, "source", "doc_id", "size", "before")
+    streamed = prefix_sums(sizes, "source", "doc_id", "size", "before", "row")
     t = targets.select(F.col("source").alias("__s"), "source_size", "target", "slope")
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     left = F.floor(F.col("target")) - full * F.col("source_size")
@@ -68,13 +68,14 @@ def position(words_before, target, slope):
 
 
 def curriculum(taken: DataFrame) -> DataFrame:
-    """One row per copy that the mix takes: doc_id, source, pass_no, words, position; range-sorted by position."""
+    """One row per copy that the mix takes: row, doc_id, source, pass_no, words, position; range-sorted by position."""
     copies = F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)
     rows = taken.filter("taken > 0").withColumn("pass_no", F.explode(copies))
     words = F.least(F.col("size"), F.col("taken") - F.col("pass_no") * F.col("size"))
     at = position(F.col("pass_no") * F.col("source_size") + F.col("before"), F.col("target"), F.col("slope"))
-    rows = rows.select("doc_id", "source", "pass_no", words.alias("words"), at.alias("position"))
-    return rows.repartitionByRange("position", "source", "doc_id", "pass_no").sortWithinPartitions("position", "source", "doc_id", "pass_no")
+    rows = rows.select("row", "doc_id", "source", "pass_no", words.alias("words"), at.alias("position"))
+    by = ("position", "source", "doc_id", "pass_no", "row")
+    return rows.repartitionByRange(*by).sortWithinPartitions(*by)
 
 
 def plan(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, cap: float = 3.0) -> DataFrame:
@@ -105,8 +106,18 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, cap: float =
     return rows.select(*docs.columns)
 
 
+def scheduled(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, cap: float = 3.0) -> DataFrame:
+    """Each document with what the schedule's copies hold of it: taken (words), first_position, passes. The schedule is written whole, in its order."""
+    place = run_dir(docs.sparkSession, "schedule")
+    planned = materialize(plan(docs, weights, slopes, cap).drop("first_position"), f"{place}/plan")
+    copies = materialize(curriculum(planned), f"{place}/copies")
+    per = copies.groupBy("row").agg(F.sum("words").alias("taken"), F.min("position").alias("first_position"), F.count("*").alias("passes"))
+    out = planned.drop("taken").join(per, "row", "left")
+    return out.withColumns({"taken": F.coalesce("taken", F.lit(0).cast("long")), "passes": F.coalesce("passes", F.lit(0).cast("long"))})
+
+
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = plan(read_table(spark, sf_dir, "documents"))
+    out = scheduled(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 

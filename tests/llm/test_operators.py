@@ -306,6 +306,23 @@ def test_schedule_inverts():
         assert (np.diff(d) > 0).all()
 
 
+@pytest.mark.parametrize("which", ["docs", "odd"])
+def test_schedule_gives_rows(request, which):
+    df = request.getfixturevalue(which)
+    got = mixing.scheduled(df).collect()
+    planned = mixing.plan(df).collect()
+    key = lambda r: (r["doc_id"] or 0, r["size"], r["taken"], r["first_position"] or 0)
+    assert sorted(map(key, got)) == sorted(map(key, planned))
+    assert all(r["passes"] == (math.ceil(r["taken"] / r["size"]) if r["size"] else 0) for r in got)
+
+
+def test_mix_query_runs_the_schedule(spark, sf, monkeypatch):
+    whole = mixing.curriculum
+    monkeypatch.setattr(mixing, "curriculum", lambda taken: whole(taken).filter("pass_no = 0"))
+    rows = mixing.op5_curriculum_mix(spark, sf).collect()
+    assert any(r["taken"] for r in rows) and all(r["taken"] <= r["size"] for r in rows)
+
+
 def test_mixing_nothing(none):
     assert mixing.plan(none).count() == 0 and mixing.mix_documents(none).count() == 0
 
