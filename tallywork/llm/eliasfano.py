@@ -91,8 +91,8 @@ class Sequence:
         at = block * BLOCK + w * 64 + b * 8 + SELECT[left, tail[rows, b]]
         return ((at - i).astype(U64) << U64(self.bits)) | self.low_of(i)
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """Index of each x, or -1: the successor of x in the run of elements with its high part, by bisection."""
+    def find(self, x: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+        """Index of each x, or -1: the successor of x in the run of elements with its high part, by bisection. With begin and end, only among those indices."""
         out = np.full(len(x), -1, np.int64)
         if not self.n or not len(x):
             return out
@@ -100,13 +100,15 @@ class Sequence:
         inside = np.flatnonzero(high <= self.zeros[-1] - 2)
         high, low = high[inside], x[inside] & U64((1 << self.bits) - 1)
         lo, hi = self.first_with_high(high), self.first_with_high(high + 1)
-        end = hi.copy()
+        if begin is not None:
+            lo, hi = np.maximum(lo, begin[inside]), np.minimum(hi, end[inside])
+        stop = hi.copy()
         while len(open_ := np.flatnonzero(lo < hi)):
             mid = (lo[open_] + hi[open_]) >> 1
             less = self.low_of(mid) < low[open_]
             lo[open_] = np.where(less, mid + 1, lo[open_])
             hi[open_] = np.where(less, hi[open_], mid)
-        at = np.flatnonzero(lo < end)
+        at = np.flatnonzero(lo < stop)
         hit = at[self.low_of(lo[at]) == low[at]]
         out[inside[hit]] = lo[hit]
         return out

@@ -10,7 +10,8 @@ very frequent words spread over several shards. A shard is a few memory-mapped a
 - for each node its discounted probability and, as a context, its back-off weight, both quantised to 16 bits.
 
 A lookup is relative to its context: from the context's node it searches the successor of the word among the context's
-run. Grams seen less than min_count times are not kept; their mass goes to the shorter context, so
+run, whose ends the pointers give. op4 keeps every gram (min_count 1); with a larger min_count, grams seen less often are
+not kept and their mass goes to the shorter context, so
 
     P(w | u v) = max(0, c(u v w) - d3) / c(u v) + b(u v) P(w | v),   b = 1 - the first term's sum,
     P(w | v)   = max(0, c(v w) - d2) / c(v) + b(v) P(w),             P(w) = (c(w) + 1) / (N + V + 1).
@@ -376,6 +377,12 @@ def train(docs: DataFrame, min_count: int = 2, d2: float = 0.8, d3: float = 0.9)
     return model
 
 
+def run_of(next_: Sequence, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of next words of sorted context nodes begin and end."""
+    own, back = np.unique(nodes, return_inverse=True)
+    return next_.get(own).astype(np.int64)[back], next_.get(own + 1).astype(np.int64)[back]
+
+
 def token_log10(model: Model, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each token: its count, log10 of its add-one probability, log10 of the model's probability."""
     counts, rank, before = model.grams(hashes, first)
@@ -399,7 +406,7 @@ def token_log10(model: Model, hashes: np.ndarray, first: np.ndarray) -> tuple[np
             low, word = int(f("low", "<i8")[0]), (pair[i:j] >> U64(32)).astype(np.int64)
             inside = np.flatnonzero((word >= low) & (word - low < len(f("mass1", "<u2"))))
             x = (word[inside] - low).astype(U64) * span + (pair[i:j][inside] & U64(0xFFFFFFFF))
-            found = f.sequence("words2").find(x)
+            found = f.sequence("words2").find(x, *run_of(f.sequence("next1"), word[inside] - low))
             hit = found >= 0
             k = i + inside[hit]
             node[k] = found[hit]
@@ -425,7 +432,7 @@ def token_log10(model: Model, hashes: np.ndarray, first: np.ndarray) -> tuple[np
         if a < b:
             f = files(f"{model.place}/trie-{s:05d}")
             keys, back = np.unique(x[a:b], return_inverse=True)
-            found = f.sequence("words3").find(keys)
+            found = f.sequence("words3").find(keys, *run_of(f.sequence("next2"), (keys // span).astype(np.int64)))
             q = np.where(found >= 0, LEVELS[f("prob3", "<u2")[np.maximum(found, 0)]], 0.0) if f("prob3", "<u2").size else np.zeros(len(keys))
             p[i[a:b]] += q[back]
     return counts, np.log10(p1), np.log10(np.maximum(p, 1e-300))
@@ -452,5 +459,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def op4_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held = id_bucket("doc_id", 7) == 2
-    out = score(docs, train(docs.filter(~held)))
+    out = score(docs, train(docs.filter(~held), min_count=1))
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

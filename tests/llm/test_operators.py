@@ -248,6 +248,46 @@ def test_language_model(request, which):
         assert r["base_score"] == pytest.approx(base, rel=1e-9, abs=1e-9) and r["score"] == pytest.approx(own, abs=2e-3 * len(s))
 
 
+def test_language_model_keeps_grams_seen_once(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    held = [d for d in range(200) if zlib.crc32(str(d).encode()) % 7 == 2]
+    texts = {d: " ".join(rng.choice(WORDS, 40)) + f" only{d}" for d in range(200)}
+    source = next(d for d in range(200) if d not in held)
+    texts[held[0]] = texts[source]
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c1, c2, c3 = collections.Counter(), collections.Counter(), collections.Counter()
+    grams = {d: ["\r", *t.split(), "\n"] for d, t in texts.items()}
+    for d, s in grams.items():
+        if d not in held:
+            c1.update(s)
+            c2.update(zip(s, s[1:], strict=False))
+            c3.update(zip(s, s[1:], s[2:], strict=False))
+    tokens_n, kinds = sum(c1.values()) - c1["\r"], len(c1) - 1
+    m1, m2 = collections.Counter(), collections.Counter()
+    for (u, _), c in c2.items():
+        m1[u] += (c - 0.8) / c1[u]
+    for (u, w, _), c in c3.items():
+        m2[u, w] += (c - 0.9) / c2[u, w]
+    got = {r["doc_id"]: r for r in ngram_lm.op4_ngram_lm(spark, str(tmp_path)).collect()}
+    for d, s in grams.items():
+        own = 0.0
+        for j in range(1, len(s)):
+            u, w = s[j - 1], s[j]
+            p = (1 - m1[u]) * (c1[w] + 1) / (tokens_n + kinds + 1) + (c2.get((u, w), 0.8) - 0.8) / max(1, c1[u])
+            if j > 1 and (s[j - 2], u) in c2:
+                p = (1 - m2[s[j - 2], u]) * p + (c3.get((s[j - 2], u, w), 0.9) - 0.9) / c2[s[j - 2], u]
+            own += math.log10(p)
+        assert got[d]["held_out"] == (d in held) and got[d]["score"] == pytest.approx(own, abs=2e-3 * len(s))
+    assert got[held[0]]["score"] == got[source]["score"]
+
+
+def test_elias_fano_within_a_run():
+    v = np.array([1, 5, 5, 9, 200, 201, 90_000], np.uint64)
+    s = eliasfano.Sequence(*eliasfano.encode(v, 100_000))
+    q = np.array([9, 9, 200, 90_000, 1], np.uint64)
+    assert s.find(q, np.array([0, 4, 3, 6, 1]), np.array([4, 7, 4, 7, 7])).tolist() == [3, -1, -1, 6, -1]
+
+
 def test_language_model_of_nothing(none, odd):
     model = ngram_lm.train(none)
     assert {(r["score"], r["n_known"]) for r in ngram_lm.score(odd, model).collect()} == {(0.0, 0)}
