@@ -7,8 +7,9 @@ text's score is a logistic function of its highest window logits and of its numb
 that the network was not fitted to.
 
 The network is fitted in one task to a bounded sample: up to `SAMPLE` labelled texts of each class, by a hash of doc_id,
-and up to `WINDOWS` windows of each, drawn by a fixed rule. A label says that a text is toxic somewhere, so a toxic text's
-windows are weighted by how toxic the network takes them to be. Scoring reads every window of every text.
+with every window of each. A label says that a text is toxic somewhere, so a toxic text's windows are weighted by how
+toxic the network takes them to be. The final function is fitted to features of whole texts too, and scoring reads every
+window of every text.
 
 A null text counts as empty. A text without words has the score of no windows, which is low. Null labels are no labels;
 without labels of both classes all scores are 0.25.
@@ -27,11 +28,13 @@ from pyspark.sql import functions as F
 from .common import id_bucket, lower_words, read_table
 
 STEPS, STRIDE = 32, 24
-SAMPLE, WINDOWS, EPOCHS, BATCH = 1200, 20, 6, 256
+SAMPLE, EPOCHS, BATCH = 1200, 6, 64
 WORD_BITS, GRAM_BITS, EMBED, HIDDEN = 13, 14, 16, 12
 #: Bytes of a word that are looked at together; a longer word is cut so that each 4-gram is in one piece.
 PIECE = 24
 TOKENS = 200_000
+#: Windows whose states are held at once where no gradient is needed.
+SLICE = 8192
 f32 = np.float32
 
 
@@ -113,6 +116,11 @@ class Network:
         logits = pooled @ self.p["o"] + self.p["c"]
         return (logits, s, attention, pooled, saved) if keep else logits
 
+    def logits(self, codes, idx: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """forward() of any number of windows, SLICE at a time."""
+        gates = self.gates(self.inputs(codes))
+        return np.concatenate([self.forward(gates, idx[i : i + SLICE], mask[i : i + SLICE]) for i in range(0, len(idx), SLICE)]) if len(idx) else np.zeros(0, f32)
+
     def gates(self, x: np.ndarray) -> np.ndarray:
         return np.vstack([x @ self.p["w"] + self.p["b"], np.zeros((1, 6 * HIDDEN), f32)])
 
@@ -209,7 +217,7 @@ def text_features(logits: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
 
 def features(net: Network, texts: list[list[bytes]]) -> np.ndarray:
     words, idx, mask, of = windows(texts)
-    logits = net.forward(net.gates(net.inputs(word_codes(words))), idx, mask) if len(idx) else np.zeros(0)
+    logits = net.logits(word_codes(words), idx, mask)
     return text_features(logits.astype(float), of, len(texts))
 
 
@@ -227,8 +235,8 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
     return w
 
 
-def sample(docs: DataFrame, labels: DataFrame, held_out=None, column: str = "toxic", most: int = SAMPLE, windows_each: int = WINDOWS) -> DataFrame:
-    """doc_id, words, label, share of the bounded sample; long texts as windows_each spread windows.
+def sample(docs: DataFrame, labels: DataFrame, held_out=None, column: str = "toxic", most: int = SAMPLE) -> DataFrame:
+    """doc_id, words, label, share of the bounded sample; texts are whole.
 
     share: labelled texts of the class for each one in the sample.
     """
@@ -244,18 +252,12 @@ def sample(docs: DataFrame, labels: DataFrame, held_out=None, column: str = "tox
     # At most two times `most` rows.
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__id"))
 
-    def cut(batches):
+    def worded(batches):
         for pdf in batches:
-            out = []
-            for d, t, y in zip(pdf["doc_id"], pdf["text"], pdf["label"], strict=True):
-                w = lower_words(t)
-                first = starts_of(len(w))
-                if len(first) > windows_each:
-                    w = [x for s in first[np.linspace(0, len(first) - 1, windows_each).astype(int)] for x in w[s : s + STRIDE]]
-                out.append((d, b" ".join(w), y))
+            out = [(d, b" ".join(lower_words(t)), y) for d, t, y in zip(pdf["doc_id"], pdf["text"], pdf["label"], strict=True)]
             yield pd.DataFrame(out, columns=["doc_id", "words", "label"]).assign(share=pdf["share"].to_numpy())
 
-    return rows.mapInPandas(cut, "doc_id long, words binary, label int, share double")
+    return rows.mapInPandas(worded, "doc_id long, words binary, label int, share double")
 
 
 def fit_sample(rows: DataFrame, **options) -> Network | None:
@@ -279,14 +281,13 @@ def fit(texts: list[list[bytes]], y: np.ndarray, fold: np.ndarray, share: np.nda
     net, rng = Network(seed), np.random.default_rng(seed)
     words, idx, mask, of = windows([t for t, k in zip(texts, own, strict=True) if k])
     label, codes = y[own][of], word_codes(words)
-    epochs = max(epochs, min(40, 60_000 // max(1, len(idx))))
     begin = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
     size = np.diff(np.append(begin, len(of)))
     many = np.sqrt(np.repeat(size, size))  # a text of many windows weighs more, but not as much as they
     weight = 1 / many
     for epoch in range(epochs):
         if epoch:
-            logits = net.forward(net.gates(net.inputs(codes)), idx, mask)
+            logits = net.logits(codes, idx, mask)
             e = np.exp(2 * (logits - np.repeat(np.maximum.reduceat(logits, begin), size)))
             part = e / np.repeat(np.add.reduceat(e, begin), size)
             weight = np.where(label > 0, part * many, 1 / many)
@@ -301,7 +302,7 @@ def fit(texts: list[list[bytes]], y: np.ndarray, fold: np.ndarray, share: np.nda
             some = sub_codes(codes, inside)
             net.learn(net.inputs(some), some, local, mask[k], label[k].astype(f32), weight[k].astype(f32), 0.12)
     del net.speed
-    x = features(net, [t for t, k in zip(texts, apart, strict=True) if k])
+    x = np.concatenate([features(net, group) for group in groups(t for t, k in zip(texts, apart, strict=True) if k)])
     net.final = logistic(x, y[apart], share[apart])
     return net
 
@@ -316,16 +317,23 @@ def sub_codes(codes, words: np.ndarray):
     return bucket[words], place[owner[k]], grams[k]
 
 
+def groups(texts):
+    """Lists of whole texts that together have about TOKENS words."""
+    held, size = [], 0
+    for words in texts:
+        held.append(words)
+        size += len(words)
+        if size >= TOKENS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def score_texts(net: Network | None, texts: list[str | None]) -> np.ndarray:
     if net is None:
         return np.full(len(texts), 0.25)
-    out, held, size = [], [], 0
-    for i, t in enumerate(texts):
-        held.append(lower_words(t))
-        size += len(held[-1])
-        if size >= TOKENS or i == len(texts) - 1:
-            out.append(sigmoid(features(net, held) @ net.final))
-            held, size = [], 0
+    out = [sigmoid(features(net, held) @ net.final) for held in groups(map(lower_words, texts))]
     return np.concatenate(out) if out else np.zeros(0)
 
 

@@ -159,6 +159,26 @@ def test_toxicity_learns(spark, odd, none):
     assert {r["score"] for r in toxicity.score(odd, None).collect()} == {0.25}
 
 
+def test_toxicity_sample_is_whole(spark):
+    rows = [(1, " ".join(f"W{i}" for i in range(20_000)), 1), (2, "a  b", 0), (3, None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r["doc_id"]: bytes(r["words"]).split() for r in toxicity.sample(df.drop("toxic"), df.drop("text")).collect()}
+    assert got == {d: words_of(t) for d, t, _ in rows}
+
+
+def test_toxicity_epochs_are_fixed(monkeypatch):
+    steps = []
+    learn = toxicity.Network.learn
+    monkeypatch.setattr(toxicity.Network, "learn", lambda self, *a: (steps.append(1), learn(self, *a))[1])
+    texts, y = [words_of(WORDS[i % 9] + " bad" * (i % 2)) for i in range(20)], np.arange(20) % 2.0
+    assert toxicity.fit(texts, y, np.ones(20, int), np.ones(20), epochs=3) is not None and len(steps) == 3
+    # In slices of windows the features are the same.
+    net = toxicity.Network()
+    whole = toxicity.features(net, texts)
+    monkeypatch.setattr(toxicity, "SLICE", 7)
+    assert np.allclose(toxicity.features(net, texts), whole)
+
+
 # 3 sorted-string tables
 
 
