@@ -46,6 +46,11 @@ def materialize(df: DataFrame, place: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with __row, a number of each row, written and read back so that every later read has the same numbers."""
+    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), run_dir(docs.sparkSession, name))
+
+
 def file_system(place: str):
     """(file system, path) of a URI for plain reads and writes inside tasks."""
     from pyarrow import fs

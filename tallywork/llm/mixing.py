@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_WS, materialize, prefix_sums, read_table, run_dir
+from .common import NOT_WS, materialize, numbered, prefix_sums, read_table, run_dir
 
 #: Weights by rank of the source, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -28,7 +28,8 @@ SLOPES = (-0.5, 0.0, 0.5)
 def sized(docs: DataFrame) -> DataFrame:
     """row (a number of each row, which stays once this is written), doc_id, source and size (words) of each document."""
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(NOT_WS)).cast("long")
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", words.alias("size"))
+    row = F.col("__row") if "__row" in docs.columns else F.monotonically_increasing_id()
+    return docs.select(row.alias("row"), "doc_id", "source", words.alias("size"))
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, slopes=SLOPES, cap: float = 3.0) -> DataFrame:
@@ -89,11 +90,12 @@ def plan(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, cap: float = 3.0) -> D
 def mix_documents(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, cap: float = 3.0) -> DataFrame:
     """The mixed corpus with docs' columns: a row for each copy, texts cut where the last copy is cut, sorted by position.
 
-    Only copies are joined to texts; documents of which nothing is taken go.
+    Rows are numbered first, and copies are joined to texts by that number; documents of which nothing is taken go.
     """
-    copies = curriculum(plan(docs, weights, slopes, cap)).select(F.col("doc_id").alias("__d"), "words", "position", "pass_no")
+    rows = numbered(docs, "mixed")
+    copies = curriculum(plan(rows, weights, slopes, cap)).select(F.col("row").alias("__r"), "words", "position", "pass_no")
     copies = copies.withColumnsRenamed({"words": "__words", "position": "__position", "pass_no": "__pass"})
-    rows = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__d")))
+    rows = rows.join(copies, F.col("__row") == F.col("__r"))
     have = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(NOT_WS))
     # Words with the white space behind each; what is ahead of the first counts as one more.
     pieces = F.split(F.col("text"), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
@@ -102,7 +104,8 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, cap: float =
     rows = rows.withColumn("text", F.when(have > F.col("__words"), cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    rows = rows.repartitionByRange("__position", "__d", "__pass").sortWithinPartitions("__position", "__d", "__pass")
+    by = ("__position", "doc_id", "__pass", "__row")
+    rows = rows.repartitionByRange(*by).sortWithinPartitions(*by)
     return rows.select(*docs.columns)
 
 

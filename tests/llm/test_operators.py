@@ -359,6 +359,23 @@ def test_mixing(request, which):
         assert sum(len(r["text"].encode().split()) for r in mixed.select("text").collect()) == sum(taken.values())
 
 
+def test_mixing_rows_that_share_an_id(spark):
+    rows = [(None if i % 3 == 0 else 1 if i % 3 == 1 else i, " ".join([f"t{i}"] * (3 + i % 5)), "abc"[i % 7 % 3]) for i in range(90)]
+    rows += rows[:5]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    planned, mixed = mixing.plan(df).collect(), mixing.mix_documents(df).collect()
+    words = collections.Counter()
+    for r in mixed:
+        assert (r["doc_id"], r["source"]) in {(d, s) for d, t, s in rows if t.split()[0] == r["text"].split()[0]}
+        words[r["text"].split()[0]] += len(r["text"].split())
+    assert sum(words.values()) == sum(r["taken"] for r in planned)
+    assert len(mixed) == sum(math.ceil(r["taken"] / r["size"]) for r in planned)
+    size = collections.Counter()
+    for _, t, _ in rows:
+        size[t.split()[0]] += len(t.split())
+    assert all(n <= 3 * size[t] for t, n in words.items())
+
+
 def test_schedule_inverts():
     t = np.linspace(0, 1, 11)
     for slope in mixing.SLOPES:
