@@ -7,8 +7,9 @@ that bucket was as deep as the directory. Entries of equal hash are chained in t
 the normalised bytes, which lie in the owner's heap file. Index and heap are written to the shared folder; results come
 from reading the indexes back.
 
-Every row counts in group_size, repeated rows too. The smallest doc_id of a group stays (null is larger than any); all
-rows with that doc_id and text stay, so repeated rows share one outcome. Empty texts form one group.
+Every row counts in group_size, repeated rows too. The smallest doc_id of a group stays (null is larger than any); in
+resolve() and drop_copies() all rows with that doc_id and text do, so repeated rows share one outcome. one_of_each()
+leaves one row of each group. Empty texts form one group.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, local_view, parts, read_table, run_dir, write_whole
+from .common import WS, local_view, numbered, parts, read_table, run_dir, write_whole
 
 #: Entries of a bucket page before it is split.
 PAGE = 64
@@ -104,10 +105,14 @@ def find(data, heap, h: int, text: bytes) -> tuple[int, int] | None:
     return None
 
 
+def row_of(docs: DataFrame) -> list[str]:
+    return [c for c in docs.columns if c == "__row"]
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, norm, sha (hex of its SHA-256) and h (its first 64 bits, signed) of each row."""
+    """doc_id, norm and sha (hex of its SHA-256) of each row, and __row where docs has it."""
     norm = F.regexp_replace(F.coalesce("text", F.lit("")), WS, " ")
-    return docs.select("doc_id", norm.alias("norm")).withColumn("sha", F.sha2(F.encode("norm", "UTF-8"), 256))
+    return docs.select("doc_id", *row_of(docs), norm.alias("norm")).withColumn("sha", F.sha2(F.encode("norm", "UTF-8"), 256))
 
 
 def combined(batches):
@@ -121,7 +126,7 @@ def combined(batches):
 def build_index(docs: DataFrame, place: str) -> DataFrame:
     """Write the index and heap files of all owners below place; a row (index, heap) for each."""
     owners = max(1, parts(docs.sparkSession))
-    rows = keyed(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(MAX_ID))).mapInPandas(combined, "owner int, sha string, norm string, doc_id long, n long")
+    rows = keyed(docs).drop("__row").withColumn("doc_id", F.coalesce("doc_id", F.lit(MAX_ID))).mapInPandas(combined, "owner int, sha string, norm string, doc_id long, n long")
     # Contiguous ranges of the leading hash bits, one a task.
     ranged = rows.withColumn("owner", F.floor(F.col("owner") * owners / (1 << OWNER_BITS)).cast("int"))
 
@@ -153,7 +158,7 @@ def read_index(files: DataFrame) -> DataFrame:
 
 
 def resolve(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, and __row where docs has it.
 
     Rows meet their group's entry in a sort-merge join on the digest; adaptive execution splits the partition of a text
     with very many copies, since each entry is a single row.
@@ -162,9 +167,9 @@ def resolve(docs: DataFrame) -> DataFrame:
     place = run_dir(spark, "exact")
     build_index(docs, place).write.parquet(f"{place}/files")
     groups = read_index(spark.read.parquet(f"{place}/files").repartition(max(1, parts(spark)), "index"))
-    rows = keyed(docs).select("doc_id", F.col("sha").alias("text_sha256"))
+    rows = keyed(docs).select("doc_id", *row_of(docs), F.col("sha").alias("text_sha256"))
     out = rows.join(groups.hint("merge"), rows["text_sha256"] == groups["sha"])
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", *row_of(docs))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
@@ -174,6 +179,14 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]) & (own == gone["__sha"]), "left_anti")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with one row of each text: that of the smallest doc_id (null is larger than any) and, of those, the first by number."""
+    rows = numbered(docs, "exact-rows")
+    first = F.min(F.struct(~F.col("kept"), F.col("doc_id").isNull(), "doc_id", "__row"))["__row"]
+    stay = resolve(rows).groupBy("text_sha256").agg(first.alias("__stay"))
+    return rows.join(stay, F.col("__row") == F.col("__stay"), "left_semi").select(*docs.columns)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve(read_table(spark, sf_dir, "documents"))
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_words, materialize, parts, read_table, run_dir
+from .common import lower_words, materialize, numbered, parts, read_table, run_dir
 from .components import components
 
 WIDTH = 5
@@ -123,7 +123,7 @@ def may_link(na, nb, differ) -> np.ndarray:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, sid, n (shingles), bits; per batch and bucket, with n = -1: tiles and their sids, packed.
+    """Per row: doc_id, row (its number, -1 if docs has no __row), sid, n (shingles), bits; per batch and bucket, with n = -1: tiles and their sids, packed.
 
     doc_id travels as text, since a column of integers with nulls would reach pandas as floats.
     """
@@ -132,7 +132,7 @@ def signed(docs: DataFrame) -> DataFrame:
     def run(batches):
         for pdf in batches:
             rows, done, tiles, owners = [], {}, [], []
-            for d, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            for d, k, text in zip(pdf["doc_id"], pdf["row"], pdf["text"], strict=True):
                 s = shingles(text)
                 sid = set_id(s) if len(s) else 0
                 if len(s) and sid not in done:
@@ -140,11 +140,11 @@ def signed(docs: DataFrame) -> DataFrame:
                     done[sid] = bitmap(s)
                     tiles.append(t)
                     owners.append(np.full(len(t), sid, np.int64))
-                rows.append((d, sid, len(s), done.get(sid)))
+                rows.append((d, k, sid, len(s), done.get(sid)))
             if not rows:
                 continue
-            ids, sids, n, bits = zip(*rows, strict=True)
-            yield pd.DataFrame({"bucket": np.arange(len(rows), dtype=np.int32) % buckets, "doc_id": ids, "sid": np.array(sids, np.int64), "n": n, "bits": bits, "tiles": None, "sids": None})
+            ids, numbers, sids, n, bits = zip(*rows, strict=True)
+            yield pd.DataFrame({"bucket": np.arange(len(rows), dtype=np.int32) % buckets, "doc_id": ids, "row": numbers, "sid": np.array(sids, np.int64), "n": n, "bits": bits, "tiles": None, "sids": None})
             if tiles:
                 t, o = np.concatenate(tiles), np.concatenate(owners)
                 bucket = (t >> np.uint64(40)) % np.uint64(buckets)
@@ -152,11 +152,12 @@ def signed(docs: DataFrame) -> DataFrame:
                 t, o, bucket = t[order], o[order], bucket[order]
                 at = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(t)]))
                 yield pd.DataFrame({
-                    "bucket": bucket[at[:-1]].astype(np.int32), "doc_id": None, "sid": 0, "n": -1, "bits": None,
+                    "bucket": bucket[at[:-1]].astype(np.int32), "doc_id": None, "row": -1, "sid": 0, "n": -1, "bits": None,
                     "tiles": [t[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], "sids": [o[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)],
                 })
 
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "bucket int, doc_id string, sid long, n long, bits binary, tiles binary, sids binary")
+    row = F.col("__row") if "__row" in docs.columns else F.lit(-1).cast("long")
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), row.alias("row"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "bucket int, doc_id string, row long, sid long, n long, bits binary, tiles binary, sids binary")
 
 
 def grouped(rows: DataFrame) -> DataFrame:
@@ -170,7 +171,7 @@ def grouped(rows: DataFrame) -> DataFrame:
             sids += [np.frombuffer(x, np.int64) for x in pdf["sids"][~of_docs]]
             docs = pdf[of_docs]
             if len(docs):
-                yield docs[["doc_id", "sid", "n", "bits"]].assign(tile=0, leader=0)
+                yield docs[["doc_id", "row", "sid", "n", "bits"]].assign(tile=0, leader=0)
         if tiles:
             t, s = np.concatenate(tiles), np.concatenate(sids)
             order = np.lexsort((s, t))
@@ -181,10 +182,10 @@ def grouped(rows: DataFrame) -> DataFrame:
             at = np.flatnonzero(member)
             for i in range(0, len(at), 100_000):
                 k = at[i : i + 100_000]
-                yield pd.DataFrame({"doc_id": None, "sid": s[k], "n": -1, "bits": None, "tile": t[k], "leader": s[first[k]]})
+                yield pd.DataFrame({"doc_id": None, "row": -1, "sid": s[k], "n": -1, "bits": None, "tile": t[k], "leader": s[first[k]]})
 
     n = max(1, parts(rows.sparkSession))
-    return rows.repartition(n, "bucket").mapInPandas(run, "doc_id string, sid long, n long, bits binary, tile long, leader long").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return rows.repartition(n, "bucket").mapInPandas(run, "doc_id string, row long, sid long, n long, bits binary, tile long, leader long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -205,14 +206,15 @@ def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def verified(left: DataFrame, classes: DataFrame, docs: DataFrame, place: str) -> DataFrame:
     """The pairs (a, b) of classes that are linked, by the arrays of their smallest documents."""
-    needed = left.select(F.col("a").alias("sid")).union(left.select(F.col("b").alias("sid"))).distinct().join(classes.select("sid", "rep").hint("merge"), "sid")
-    needed = materialize(needed.select(F.col("sid").alias("__sid"), F.col("rep").alias("__rep")), f"{place}/needed")
+    needed = left.select(F.col("a").alias("sid")).union(left.select(F.col("b").alias("sid"))).distinct().join(classes.select("sid", "at").hint("merge"), "sid")
+    needed = materialize(needed.select(F.col("sid").alias("__sid"), F.col("at").alias("__at")), f"{place}/needed")
     n_needed = needed.count()
     if not n_needed:
         return left
     # 16 bytes a row: up to 16 MB travel to the texts, otherwise texts and names meet in a merge join.
     few = F.broadcast(needed) if n_needed <= SMALL else needed.hint("merge")
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(few, F.col("doc_id").eqNullSafe(F.col("__rep")))
+    own = "__row" if "__row" in docs.columns else "doc_id"
+    texts = docs.select(F.col(own).alias("__own"), F.coalesce("text", F.lit("")).alias("text")).join(few, F.col("__own").eqNullSafe(F.col("__at")))
     texts = materialize(texts.select(F.col("__sid").alias("sid"), "text"), f"{place}/texts")
     rows = left.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
     rows = rows.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
@@ -304,14 +306,17 @@ def apart(members: DataFrame, classes: DataFrame, tested: DataFrame, place: str)
     return materialize(out.join(tested.hint("merge"), ["a", "b"], "left_anti"), f"{place}/apart")
 
 
-def join_components(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, sid (its class; 0 without shingles), component_id."""
+def settled(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, row, n_shingles, sid (its class; 0 without shingles), root (null without shingles), component_id.
+
+    With __row in docs, classes find their texts by it instead of by doc_id.
+    """
     spark = docs.sparkSession
     place = run_dir(spark, "jaccard")
     rows = materialize(grouped(signed(docs)), f"{place}/rows")
-    members = rows.filter("n >= 0").select("doc_id", "sid", "n", "bits")
+    members = rows.filter("n >= 0").select("doc_id", "row", "sid", "n", "bits")
     tiles = rows.filter("n < 0").select("tile", "leader", "sid")
-    classes = members.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits"))
+    classes = members.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("row" if "__row" in docs.columns else "doc_id").alias("at"), F.max("n").alias("n"), F.max("bits").alias("bits"))
     classes = materialize(classes, f"{place}/classes")
     in_tiles, roots, tested = tiles.select("tile", "sid").union(tiles.select("tile", F.col("leader").alias("sid")).distinct()), None, None
     for turn in range(ROUNDS + 1):
@@ -329,15 +334,24 @@ def join_components(docs: DataFrame) -> DataFrame:
         roots = materialize(components(joined, f"{here}/stars"), f"{here}/roots")
     at = classes.select("sid", "rep").join(roots.select(F.col("node").alias("sid"), "root").hint("merge"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = at.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = at.join(least.hint("merge"), "root").select("sid", "component_id")
-    out = members.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(named.hint("merge"), "sid", "left")
-    return out.select("doc_id", "n_shingles", "sid", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = at.join(least.hint("merge"), "root").select("sid", "root", "component_id")
+    out = members.select("doc_id", "row", F.col("n").alias("n_shingles"), "sid").join(named.hint("merge"), "sid", "left")
+    return out.select("doc_id", "row", "n_shingles", "sid", "root", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def join_components(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, sid (its class; 0 without shingles), component_id."""
+    return settled(docs).select("doc_id", "n_shingles", "sid", "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component, that of the smallest doc_id."""
-    gone = join_components(docs).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    """docs with one row of each component: that of the smallest doc_id (null is larger than any) and, of those, the first by number."""
+    rows = numbered(docs, "near-rows")
+    # Rows without shingles are each on their own.
+    found = settled(rows).withColumn("alone", F.when(F.col("root").isNull(), F.col("row")))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"]
+    stay = found.groupBy("root", "alone").agg(first.alias("__stay"))
+    return rows.join(stay.select("__stay"), F.col("__row") == F.col("__stay"), "left_semi").select(*docs.columns)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

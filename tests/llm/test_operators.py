@@ -441,6 +441,21 @@ def test_copies_go_by_text(spark):
     assert sorted(map(tuple, left.collect())) == [(1, "a b", 0), (2, "other", 0), (3, "", 0)]
 
 
+def test_one_row_of_each_text_stays(spark):
+    rows = [(1, "a b"), (1, "a b"), (1, "c"), (None, "d e"), (None, "d  e"), (None, "f"), (3, "f"), ((1 << 63) - 1, "g"), (None, None), (5, "")]
+    kept = exact_dedup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(kept) == 6 and {(r["doc_id"], r["text"]) for r in kept} - {(None, "d e"), (None, "d  e")} == {(1, "a b"), (1, "c"), (3, "f"), ((1 << 63) - 1, "g"), (5, "")}
+
+
+def test_one_row_of_each_component_stays(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (2, a + " end"), (2, b), (None, c), (None, c + " end"), (None, "alone here"), (7, "x y"), (7, "x y"), (8, None), (8, "")]
+    kept = jaccard_join.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = collections.Counter((r["doc_id"], r["text"]) for r in kept)
+    assert sum(n for (_, t), n in got.items() if t and t.startswith("c0")) == 1
+    assert {k: n for k, n in got.items() if not (k[1] or "").startswith("c0")} == {(1, a): 1, (2, b): 1, (None, "alone here"): 1, (7, "x y"): 1, (8, None): 1, (8, ""): 1}
+
+
 def test_index_splits_and_chains():
     rng, index, ref = np.random.default_rng(1), exact_dedup.HashIndex(4), {}
     hash_of = lambda t: int.from_bytes(hashlib.sha256(t[:3]).digest()[:8], "big")  # noqa: E731  collides
