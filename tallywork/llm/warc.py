@@ -27,7 +27,9 @@ from .common import file_system, read_table, run_dir, write_whole
 #: The date that responses without one of their own are given.
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
-HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
+OPENING = re.compile(r"<!--|<(script|style|noscript|template|svg)\b", re.I)
+CLOSING = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "template", "svg")}
+EMPTY_SVG = re.compile(r"<svg\b[^<>]*/>", re.I)
 TITLE = re.compile(r"<title\b[^<>]*>(.*?)</title\s*>", re.S | re.I)
 LANG = re.compile(r"<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
 LINK = re.compile(r"<a\b[^<>]*?\bhref\s*=\s*(?:\"([^\"<>]*)\"|'([^'<>]*)'|([^\s\"'<>]+))", re.I)
@@ -36,16 +38,39 @@ TAG = re.compile(r"<[A-Za-z/!?][^<>]*>")
 SPACE = re.compile(r"[^\S\n]+")
 
 
+def shown(page: str) -> str:
+    """A page without its hidden parts. Unclosed, only comments, scripts and styles run to the page's end; of a self-closed svg, the tag goes."""
+    out, at, k, unclosed = [], 0, 0, set()
+    while m := OPENING.search(page, k):
+        name = (m[1] or "").lower()
+        if name == "svg" and (own := EMPTY_SVG.match(page, m.start())):
+            end = own.end()
+        elif not name:
+            end = page.find("-->", m.end()) + 3
+            end = len(page) if end == 2 else end
+        elif name not in unclosed and (own := CLOSING[name].search(page, m.end())):
+            end = own.end()
+        elif name in ("script", "style"):
+            end = len(page)
+        else:
+            unclosed.add(name)  # nor does a later one have an end tag
+            k = m.end()
+            continue
+        out += [page[at : m.start()], " "]
+        at = k = end
+    return "".join([*out, page[at:]])
+
+
 def text_of(page: str) -> str:
     """A page's text: hidden parts go, block tags end lines, entities are resolved, white space is collapsed."""
-    t = html.unescape(TAG.sub("", BLOCK.sub("\n", HIDDEN.sub(" ", page))))
+    t = html.unescape(TAG.sub("", BLOCK.sub("\n", shown(page))))
     lines = (SPACE.sub(" ", x).strip() for x in t.split("\n"))
     return "\n".join(x for x in lines if x)
 
 
 def fields_of(page: str) -> str:
     """title, language and outlinks of a page as warc-fields lines."""
-    seen = HIDDEN.sub(" ", page)
+    seen = shown(page)
     out = []
     if m := TITLE.search(seen):
         out.append("title: " + " ".join(html.unescape(TAG.sub("", m[1])).split()))

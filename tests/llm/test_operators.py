@@ -491,6 +491,17 @@ def test_warc(spark, sf):
     assert back == {(r["headers"], r["block"]) for r in rows if r["page_id"] >= 0}
 
 
+def test_warc_hidden_parts_end():
+    page = "<p>a</p><svg viewBox='0 0 1 1'/><p>b <a href='/x'>l</a></p><SVG><title>no</title></SVG><p>c</p>"
+    assert warc.text_of(page) == "a\nb l\nc" and "outlink: /x" in warc.fields_of(page)
+    for name in ("noscript", "template", "svg"):
+        page = f"<p>a</p><{name} class=k><p>b <a href='/y'>l</a></p><{name}><p>c</p>"
+        assert warc.text_of(page) == "a\nb l\nc" and "outlink: /y" in warc.fields_of(page)
+    for hidden in ("<script>b", "<style>b", "<!-- b", "<script>x</script><style>b</p>", "<!-->b"):
+        assert warc.text_of(f"<p>a</p>{hidden}<p>c</p>") == "a"
+    assert warc.text_of("a<noscript>b</noscript>c<script>d</script >e<!-- f -->g") == "a c e g"
+
+
 # 8 Jaccard join
 
 
