@@ -4,19 +4,22 @@ Each document's token ids are counted in `WIDTH` hashed dimensions, the square r
 one and projected to `DIMS` dimensions by fixed random signs, and each coordinate is squashed and cut to `BITS` bits. The
 Hilbert index of that cell is the document's key. Documents are range-sorted by (key, doc_id), their ids with the end id
 are laid one after another, and this stream is cut every `length` ids. So a sequence holds neighbours on the curve, and
-only the last one can need padding.
+only the last one can need padding. With `window`, a column of docs, documents are sorted by it before the key: so an order
+that docs have already, such as a curriculum's, holds among windows and the curve orders each of them.
 
 Null texts are empty: such a document is its end id alone. Rows with the same doc_id are documents of their own. Copies
-of one text share a key; doc_id parts them, so no range is larger for it.
+of one text share a key; doc_id parts them, so no range is larger for it. An empty table gives no pieces; further columns of
+docs are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import END_ID, materialize, parts, read_table, run_dir
@@ -54,12 +57,18 @@ def hilbert_index(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def curve_keys(ids: list[np.ndarray], vocab: int, seed: int = 7) -> np.ndarray:
-    """The Hilbert key of each array of token ids."""
+@functools.cache
+def projection(vocab: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed dimension of each id, and the signs that project them."""
     rng = np.random.default_rng(seed)
     dim_of = rng.integers(0, WIDTH, vocab)
     signs = rng.choice([-1.0, 1.0], (WIDTH, DIMS))
-    signs -= signs.mean(axis=0)
+    return dim_of, signs - signs.mean(axis=0)
+
+
+def curve_keys(ids: list[np.ndarray], vocab: int) -> np.ndarray:
+    """The Hilbert key of each array of token ids."""
+    dim_of, signs = projection(vocab)
     v = np.zeros((len(ids), WIDTH))
     for i, x in enumerate(ids):
         v[i] = np.bincount(dim_of[x], minlength=WIDTH)
@@ -69,8 +78,8 @@ def curve_keys(ids: list[np.ndarray], vocab: int, seed: int = 7) -> np.ndarray:
     return hilbert_index(np.clip(cells, 0, (1 << BITS) - 1))
 
 
-def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """rid (a number of the row), doc_id, key, n_tokens and ids (little-endian, two bytes where the vocabulary allows)."""
+def tokenised(docs: DataFrame, path: str, end_id: int = END_ID, window: Column | None = None) -> DataFrame:
+    """rid (a number of the row), window (as text), doc_id, key, n_tokens and ids (little-endian, two bytes where the vocabulary allows)."""
 
     def run(batches):
         enc = encoder(path)
@@ -79,21 +88,22 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
             raw = [x + end for x in enc.encode(list(pdf["text"]))]
             ids = [np.frombuffer(x, enc.dtype) for x in raw]
             keys = curve_keys(ids, enc.size) if ids else np.zeros(0, np.int64)
-            yield pd.DataFrame({"rid": pdf["rid"], "doc_id": pdf["doc_id"], "key": keys, "n_tokens": np.array([len(x) for x in ids], np.int64), "ids": raw})
+            yield pd.DataFrame({"rid": pdf["rid"], "window": pdf["window"], "doc_id": pdf["doc_id"], "key": keys, "n_tokens": np.array([len(x) for x in ids], np.int64), "ids": raw})
 
     # doc_id travels as text: a column of integers with nulls would reach pandas as floats.
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "rid long, doc_id string, key long, n_tokens long, ids binary").withColumn("doc_id", F.col("doc_id").cast("long"))
+    at = (F.lit("") if window is None else window.cast("string")).alias("window")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), at, F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInPandas(run, "rid long, window string, doc_id string, key long, n_tokens long, ids binary").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def starts(rows: DataFrame, place: str) -> DataFrame:
-    """rid and at (ids before the document in the whole stream) by (key, doc_id).
+    """rid and at (ids before the document in the whole stream) by (window, key, doc_id).
 
     Only keys and lengths are range-sorted. Each range sums its own lengths; one total a range is summed across ranges.
     """
     n = max(1, parts(rows.sparkSession))
-    ranged = rows.select("rid", "key", "doc_id", "n_tokens").repartitionByRange(n, "key", "doc_id", "rid")
-    ranged = ranged.sortWithinPartitions("key", "doc_id", "rid").withColumn("part", F.spark_partition_id()).select("rid", "n_tokens", "part")
+    by = ("window", "key", "doc_id", "rid")
+    ranged = rows.select(*by, "n_tokens").repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("part", F.spark_partition_id()).select("rid", "n_tokens", "part")
 
     def run(batches):
         at = 0
@@ -109,14 +119,14 @@ def starts(rows: DataFrame, place: str) -> DataFrame:
     return placed.join(F.broadcast(base), "part").select("rid", (F.col("base") + F.col("inside")).alias("at"))
 
 
-def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = True, window: Column | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids where wanted.
 
     ids holds the piece's token ids as little-endian unsigned 32-bit integers.
     """
     spark = docs.sparkSession
     place = run_dir(spark, "pack")
-    rows = materialize(tokenised(docs, path, end_id), f"{place}/ids")
+    rows = materialize(tokenised(docs, path, end_id, window), f"{place}/ids")
     placed = rows.select("rid", F.col("doc_id").cast("string").alias("doc_id"), "n_tokens", "ids").join(starts(rows, place), "rid")
 
     def cut(batches):

@@ -3,7 +3,8 @@
 A text is cut before each space that follows a character other than white space. No token of the two kinds of public
 vocabulary here crosses such a place, so the ids of the pieces, one after another, are the ids of the text. Pieces are
 looked up in a bounded store of encoded ones; new pieces are encoded many at a time. A text where a space follows other
-white space goes through the library whole.
+white space, or that may name one of the vocabulary's special tokens, goes through the library whole, as it is loaded: the
+name of a special token inside a text is that token.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ import re
 
 import numpy as np
 
-#: Pieces kept in a worker: two generations of so many. Characters that are looked at together.
-STORE, CHARS = 150_000, 3_000_000
+#: Pieces kept in a worker: two generations of so many, about 200 bytes each. Characters that are looked at together.
+STORE, CHARS = 400_000, 3_000_000
 #: Letters with nothing to normalise, and marks at a word's end that make one more piece.
 PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,!?;:]*)")
 
@@ -22,9 +23,7 @@ PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,!?;:]*)")
 def tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # a special token's name inside a text is ordinary text
-    return t
+    return Tokenizer.from_file(path)
 
 
 class Encoder:
@@ -43,6 +42,8 @@ class Encoder:
         self.mark = np.zeros(self.size, bool)
         for x, i in vocab.items():
             self.mark[i] = x.endswith("</w>") if self.word_ends else x.startswith("Ġ")
+        # How the names of special tokens begin.
+        self.special = sorted({x.content[:2] for x in self.t.get_added_tokens_decoder().values() if x.special})
         self.young: dict[str, bytes | None] = {}
         self.old: dict[str, bytes | None] = {}
 
@@ -60,8 +61,8 @@ class Encoder:
                 joined.append(w)
             else:
                 single.append(w)
-        for at in range(0, len(joined), 200):
-            some = joined[at : at + 200]
+        for at in range(0, len(joined), 500):
+            some = joined[at : at + 500]
             (e,) = self.t.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)
             ids = np.array(e.ids, self.dtype)
             marks = np.flatnonzero(self.mark[ids])
@@ -110,7 +111,8 @@ class Encoder:
         return out + self.encode_some(some) if some else out
 
     def encode_some(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
+        # A text that goes whole has no pieces here.
+        cut = [[t] if any(x in t for x in self.special) else t.split(" ") for t in texts]
         seen: set[str] = set()
         for w in cut:
             seen.update(w[1:])
