@@ -6,7 +6,9 @@ Parquet and read again as the next one's docs. All but the last return the colum
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallywork.llm import exact_dedup, jaccard_join, mixing, packing, quality
 from tallywork.llm.common import materialize, read_table, run_dir
@@ -33,9 +35,19 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(docs)
 
 
+def position_window(docs: DataFrame) -> Column | None:
+    """The part file of each row. The stage before writes its range-sorted rows one range a file, so a file is a window of training positions."""
+    name = F.col("_metadata.file_name")
+    try:
+        docs.select(name)
+    except AnalysisException:  # rows that don't come from files have no order
+        return None
+    return name
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 token ids of neighbours on the Hilbert curve."""
-    return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
+    """Sequences of 2048 token ids: windows of training positions in their order, in each the neighbours on the Hilbert curve."""
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), window=position_window(docs))
 
 
 STAGES = [
