@@ -48,7 +48,7 @@ U64 = np.uint64
 #: No word holds white space, so this is nobody else's hash but by chance.
 END = U64(xxhash.xxh64_intdigest(b"\n"))
 #: Tokens that a task counts or scores at once; tokens of a shard.
-CHUNK, SHARD = 1_500_000, 4_000_000
+CHUNK, SHARD = 1_500_000, 2_000_000
 #: Quantised values: code c stands for 10 ** (-RANGE * c / 65535).
 RANGE = 12.0
 LEVELS = 10.0 ** (-RANGE * np.arange(65536) / 65535)
@@ -87,7 +87,6 @@ class Shard:
     def __getitem__(self, name: str) -> np.ndarray:
         return self.arrays[name]
 
-    @functools.lru_cache(4)  # noqa: B019  a shard has two
     def sequence(self, name: str) -> Sequence:
         return Sequence(*(self.arrays[f"{name}.{x}"] for x in ("head", "low", "upper", "ones")))
 
@@ -127,15 +126,20 @@ def packed(bucket: np.ndarray, keys: np.ndarray, nexts: np.ndarray, counts: np.n
 def by_bucket(batches):
     """(bucket, keys, nexts, counts) of each bucket of a task whose rows are sorted by bucket."""
     now, held = None, []
+
+    def whole():
+        got = [np.concatenate(x) for x in zip(*held, strict=True)]
+        held.clear()
+        return now, *got
+
     for pdf in batches:
         for b, k, n, c in zip(pdf["bucket"], pdf["keys"], pdf["nexts"], pdf["counts"], strict=True):
             if b != now and held:
-                yield now, *(np.concatenate(x) for x in zip(*held, strict=True))
-                held = []
+                yield whole()
             now = int(b)
-            held.append((np.cumsum(from_planes(k, "<u8"), dtype=U64), from_planes(n, "<u4"), from_planes(c, "<u4").astype(np.int64) + 1))
+            held.append((np.cumsum(from_planes(k, "<u8"), dtype=U64), from_planes(n, "<u4"), from_planes(c, "<u4") + np.uint32(1)))
     if held:
-        yield now, *(np.concatenate(x) for x in zip(*held, strict=True))
+        yield whole()
 
 
 def dealt(rows: DataFrame, n: int) -> DataFrame:
@@ -271,7 +275,7 @@ def count_words(docs: DataFrame, model: Model) -> None:
             order = np.argsort(keys)
             keys, counts = keys[order], counts[order]
             at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            keys, counts = keys[at], np.add.reduceat(counts, at)
+            keys, counts = keys[at], np.add.reduceat(counts, at, dtype=np.int64)
             save(f"{place}/words-{s:05d}", {"keys": keys, "counts": counts})
             follow = np.where(keys == END, 0, counts)  # an end is no context
             large = np.flatnonzero((follow * 64 >= follow.sum()) & (follow > 0))  # 64 at most
@@ -336,8 +340,10 @@ def build_trie(docs: DataFrame, model: Model) -> None:
             yield packed(model.shard_of(pair), pair, key[at] & LOW32, np.diff(np.append(at, len(key))))
 
     def merge(batches):
-        for s, keys, nexts, counts in by_bucket(batches):
-            yield write_shard(model, s, keys, nexts, counts)
+        for s, *grams in by_bucket(batches):
+            made = write_shard(model, s, *grams)
+            grams.clear()
+            yield made
 
     shape = "s int, low long, high long, low_n long, high_n long, low_of long, high_of long"
     done = dealt(docs.mapInPandas(count, PACKED), model.shards).mapInPandas(merge, shape)
@@ -355,10 +361,12 @@ def write_shard(model: Model, s: int, keys: np.ndarray, nexts: np.ndarray, count
     """Code and write one shard of the grams (key: word and next word, third word, count)."""
     pairs, back = np.unique(keys, return_inverse=True)
     key = back.astype(U64) << U64(32) | nexts.astype(U64)
+    del keys, nexts, back
     order = np.argsort(key)
     key, counts = key[order], counts[order]
     at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    key, counts = key[at], np.add.reduceat(counts, at) if len(at) else counts
+    key, counts = key[at], np.add.reduceat(counts, at, dtype=np.int64) if len(at) else counts
+    del order, at
     node, third = (key >> U64(32)).astype(np.int64), (key & LOW32).astype(np.int64)
     total = np.bincount(node, counts, len(pairs))  # exact below 2**53
     word, following = (pairs // model.span).astype(np.int64), pairs % model.span
