@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -23,11 +25,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; in a session without it, one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("spark.tallywork.shared", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Without one, a session on this machine alone gets a folder of its own; any other gets an error.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or spark.conf.get("spark.tallywork.shared", None)
     if not base:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="tallywork-")
         atexit.register(shutil.rmtree, own, True)
         base = f"file://{own}"
@@ -57,23 +63,24 @@ def file_system(place: str):
 
     if place.startswith("file:"):
         place = "/" + place[5:].lstrip("/")
+    place = re.sub("^s3[an]:", "s3:", place)
     return (fs.LocalFileSystem(), place) if place.startswith("/") else fs.FileSystem.from_uri(place)
 
 
-def write_whole(place: str, data: bytes) -> None:
-    """Write a file under another name and move it, so that a retried or doubled task leaves one whole file."""
+@contextlib.contextmanager
+def writing(place: str):
+    """A stream for a file, which gets its name once it is whole: a retried or doubled task leaves one whole file."""
     fs, path = file_system(place)
     fs.create_dir(os.path.dirname(path), recursive=True)
     part = f"{path}.{uuid.uuid4().hex[:8]}.part"
     with fs.open_output_stream(part) as out:
-        out.write(data)
+        yield out
     fs.move(part, path)
 
 
-def read_whole(place: str) -> bytes:
-    fs, path = file_system(place)
-    with fs.open_input_file(path) as f:
-        return f.read()
+def write_whole(place: str, data: bytes) -> None:
+    with writing(place) as out:
+        out.write(data)
 
 
 def local_view(place: str):
