@@ -7,8 +7,10 @@ holds up to `block` bytes of entries; an entry is: bytes shared with the key bef
 number of documents and ids, and a mark. A lookup reads the footer, the Bloom filter and the index, searches the index
 by bisection and scans one block (and the following ones, where a repeated key goes on).
 
-Repeated doc_ids stay as entries of their own, in order of their text's hash; null texts are empty and hold the end id
-alone.
+A writer holds one open block, the index and the keys; blocks go to the file as they close, and a range of documents goes
+on in a further file when one has `LIMIT` bytes. Repeated doc_ids stay as entries of their own, in order of their text's
+hash; null texts are empty and hold the end id alone. An empty table gives no files and no rows; further columns of docs
+are not read.
 """
 
 from __future__ import annotations
@@ -22,12 +24,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import END_ID, file_system, parts, read_table, run_dir, write_whole
+from .common import END_ID, file_system, parts, read_table, run_dir, writing
 from .tokens import encoder, vocabulary
 
-BLOCK = 1 << 16
+#: Bytes of a block and of a file.
+BLOCK, LIMIT = 1 << 16, 1 << 28
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 MARK = b"TWSST001"
+#: Bytes of a key.
+KEY = 9
 #: Places of index and Bloom filter, their lengths, documents, ids, bytes of an id, mark.
 FOOTER = struct.Struct("<QQQQQQQ8s")
 
@@ -65,15 +70,20 @@ def bloom_places(key: bytes, bits: int) -> list[int]:
 
 
 class ShardWriter:
-    def __init__(self, id_bytes: int, block: int = BLOCK):
-        self.id_bytes, self.block = id_bytes, block
-        self.out: list[bytes] = []
+    """Writes one shard to a stream."""
+
+    def __init__(self, out, id_bytes: int, block: int = BLOCK):
+        self.out, self.id_bytes, self.block = out, id_bytes, block
         self.at = self.n_ids = 0
         self.index: list[tuple[bytes, int, int]] = []
-        self.keys: list[bytes] = []
+        self.keys = bytearray()
         self.now: list[bytes] = []
         self.now_bytes, self.first, self.last = 0, b"", b""
 
+    @property
+    def n_docs(self) -> int:
+        return len(self.keys) // KEY
+
     def add(self, key: bytes, value: bytes) -> None:
         if not self.now:
             self.first, shared = key, 0
@@ -83,28 +93,27 @@ class ShardWriter:
         self.now.append(entry)
         self.now_bytes += len(entry)
         self.last = key
-        self.keys.append(key)
+        self.keys += key
         self.n_ids += len(value) // self.id_bytes
         if self.now_bytes >= self.block:
             self.close_block()
 
     def close_block(self) -> None:
         if self.now:
-            self.out.append(b"".join(self.now))
+            self.out.write(b"".join(self.now))
             self.index.append((self.first, self.at, self.now_bytes))
             self.at += self.now_bytes
             self.now, self.now_bytes = [], 0
 
-    def finish(self) -> bytes:
+    def finish(self) -> None:
         self.close_block()
         index = b"".join(k + struct.pack("<QQ", a, n) for k, a, n in self.index)
-        bits = max(64, BLOOM_BITS * len(self.keys))
+        bits = max(64, BLOOM_BITS * self.n_docs)
         bloom = np.zeros(bits, bool)
-        for k in self.keys:
-            bloom[bloom_places(k, bits)] = True
+        for i in range(0, len(self.keys), KEY):
+            bloom[bloom_places(bytes(self.keys[i : i + KEY]), bits)] = True
         packed = struct.pack("<Q", bits) + np.packbits(bloom).tobytes()
-        foot = FOOTER.pack(self.at, len(index), self.at + len(index), len(packed), len(self.keys), self.n_ids, self.id_bytes, MARK)
-        return b"".join([*self.out, index, packed, foot])
+        self.out.write(index + packed + FOOTER.pack(self.at, len(index), self.at + len(index), len(packed), self.n_docs, self.n_ids, self.id_bytes, MARK))
 
 
 class ShardReader:
@@ -156,40 +165,48 @@ class ShardReader:
         return found
 
 
-def write_shards(docs: DataFrame, path: str, place: str, end_id: int = END_ID) -> DataFrame:
-    """Write docs' token ids as shards below place. One row a shard: shard, file, first, n_docs, n_ids; shards ascend by key."""
+def write_shards(docs: DataFrame, path: str, place: str, end_id: int = END_ID, limit: int = LIMIT) -> DataFrame:
+    """Write docs' token ids as shards below place. One row a file: shard, piece, file, first, n_docs, n_ids; (shard, piece) ascend by key."""
     n = max(1, parts(docs.sparkSession))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, "doc_id")
     rows = rows.sortWithinPartitions("doc_id", F.xxhash64("text")).withColumn("shard", F.spark_partition_id())
     # As text: a column of integers with nulls would reach pandas as floats.
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))
 
-    def write(batches):
-        enc, out, shard, first = encoder(path), None, None, None
+    def entries(batches, enc):
+        """shard, doc_id and ids of each document."""
         end = np.array([end_id], enc.dtype).tobytes()
         for pdf in batches:
-            ids = [None if d is None else int(d) for d in pdf["doc_id"]]
-            if out is None and ids:
-                out, shard, first = ShardWriter(enc.dtype.itemsize), int(pdf["shard"].iloc[0]), ids[0]
-            for d, v in zip(ids, enc.encode(list(pdf["text"])), strict=True):
-                out.add(key_of(d), v + end)
-        if out is not None:
-            file = f"{place}/{shard:06d}.sst"
-            write_whole(file, out.finish())
-            yield pd.DataFrame({"shard": [shard], "file": [file], "first": [None if first is None else str(first)], "n_docs": [len(out.keys)], "n_ids": [out.n_ids]})
+            yield from zip(pdf["shard"], (None if d is None else int(d) for d in pdf["doc_id"]), (x + end for x in enc.encode(list(pdf["text"]))), strict=True)
 
-    return rows.mapInPandas(write, "shard int, file string, first string, n_docs long, n_ids long").withColumn("first", F.col("first").cast("long"))
+    def write(batches):
+        enc, piece = encoder(path), 0
+        got = entries(batches, enc)
+        held = next(got, None)
+        while held is not None:
+            shard, first = held[:2]
+            file = f"{place}/{shard:06d}-{piece:06d}.sst"
+            with writing(file) as stream:
+                out = ShardWriter(stream, enc.dtype.itemsize)
+                while held is not None and out.at < limit:
+                    out.add(key_of(held[1]), held[2])
+                    held = next(got, None)
+                out.finish()
+            yield pd.DataFrame({"shard": [shard], "piece": [piece], "file": [file], "first": [None if first is None else str(first)], "n_docs": [out.n_docs], "n_ids": [out.n_ids]})
+            piece += 1
+
+    return rows.mapInPandas(write, "shard int, piece int, file string, first string, n_docs long, n_ids long").withColumn("first", F.col("first").cast("long"))
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the shard files.
 
-    Where shards begin follows from sums over one row a shard.
+    Where files begin follows from sums over one row a file.
     """
     from pyspark.sql import Window
 
-    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = shards.withColumn("start", before).repartition(max(1, parts(shards.sparkSession)), "shard")
+    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard", "piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = shards.withColumn("start", before).repartition(max(1, parts(shards.sparkSession)), "file")
 
     def read(batches):
         for pdf in batches:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import io
 import math
 import zlib
 
@@ -204,11 +205,20 @@ def test_shards(request, spark, which):
 
 
 def test_blocks_share_keys():
-    w = sstable.ShardWriter(2, block=64)
+    out = io.BytesIO()
+    w = sstable.ShardWriter(out, 2, block=64)
     for i in range(500):
         w.add(sstable.key_of(i * 3), b"ab" * (i % 5))
-    data = w.finish()
-    assert len(w.index) > 10 and len(data) < 500 * 20
+    w.finish()
+    assert len(w.index) > 10 and len(out.getvalue()) < 500 * 20
+
+
+def test_shards_go_on_in_further_files(spark, docs):
+    path, place = tokens.vocabulary("word_bpe_49k.json"), run_dir(spark, "sst")
+    shards = materialize(sstable.write_shards(docs, path, place, limit=50_000), f"{place}/shards")
+    assert shards.agg(F.max("piece")).first()[0] > 0
+    whole = materialize(sstable.write_shards(docs, path, f"{place}-whole"), f"{place}-whole/shards")
+    assert sorted(map(tuple, sstable.read_shards(shards).collect())) == sorted(map(tuple, sstable.read_shards(whole).collect()))
 
 
 # 4 language model
@@ -478,17 +488,26 @@ def test_one_row_of_each_component_stays(spark):
     assert {k: n for k, n in got.items() if not (k[1] or "").startswith("c0")} == {(1, a): 1, (2, b): 1, (None, "alone here"): 1, (7, "x y"): 1, (8, None): 1, (8, ""): 1}
 
 
-def test_index_splits_and_chains():
+def test_index_splits_and_chains(tmp_path):
     rng, index, ref = np.random.default_rng(1), exact_dedup.HashIndex(4), {}
     hash_of = lambda t: int.from_bytes(hashlib.sha256(t[:3]).digest()[:8], "big")  # noqa: E731  collides
-    for i in range(3000):
-        t = str(rng.integers(0, 2000)).encode()
-        index.add(hash_of(t), bytes(32), t, i, 1)
-        a = ref.get(t, (i, 0))
-        ref[t] = (min(a[0], i), a[1] + 1)
-    data = index.to_bytes()
-    assert index.depth > 5 and all(exact_dedup.find(data, index.heap, hash_of(t), t) == v for t, v in ref.items()) and len(exact_dedup.entries_of(data)) == len(ref)
-    assert exact_dedup.find(data, index.heap, hash_of(b"nope"), b"nope") is None
+    sha_of = lambda t: hashlib.sha256(t).digest()
+    for i, t in enumerate(sorted((str(x).encode() for x in rng.integers(0, 2000, 3000)), key=hash_of)):
+        index.add(hash_of(t), sha_of(t), t, 5000 - i, 1)
+        a = ref.get(t, (5000 - i, 0))
+        ref[t] = (min(a[0], 5000 - i), a[1] + 1)
+    (tmp_path / "x.index").write_bytes(index.to_bytes())
+    file = exact_dedup.IndexFile(str(tmp_path / "x.index"))
+    assert index.depth > 5 and index.n == len(ref) and all(file.find(hash_of(t), sha_of(t)) == v for t, v in ref.items())
+    assert max(len(file.chained(hash_of(t))) for t in ref) == 11 and file.find(hash_of(b"nope"), sha_of(b"nope")) is None
+
+
+def test_index_goes_on_in_further_files(spark, docs, monkeypatch):
+    place = run_dir(spark, "exact")
+    whole = sorted(map(tuple, exact_dedup.resolve(docs).collect()))
+    monkeypatch.setattr(exact_dedup, "FILE", 10)
+    assert materialize(exact_dedup.build_index(docs, place), f"{place}/files").count() > 8
+    assert sorted(map(tuple, exact_dedup.resolve(docs).collect())) == whole
 
 
 # 7 WARC
