@@ -3,7 +3,9 @@
 A text's shingles are its runs of `width` lower-cased words (with fewer words: all of them as one; without words: none).
 Its sketch holds the k smallest distinct 64-bit hashes, ascending. Sketches of parts merge into the sketch of the whole.
 Two sketches estimate resemblance (Jaccard) and containment; one estimates the number of distinct shingles. Two empty
-sketches resemble each other fully. Null texts count as empty.
+sketches resemble each other fully. Null texts count as empty. Rows that share a doc_id follow one another in order of their
+text's hash, rows without one come first, and a table of one row follows itself. An empty table gives no rows; the query reads
+no further columns.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ whose classes are still in different components is tested, a tile with many of t
 copies costs a few times n tests, and no tile is cut off.
 
 Shingles and sets are told apart by 64-bit hashes. Rows without a doc_id count as larger than any; rows that share a
-doc_id are documents of their own.
+doc_id are documents of their own, told apart by a row number that is written first. An empty table gives no rows; further
+columns of docs are kept by drop_near_copies(), whatever their names.
 """
 
 from __future__ import annotations
@@ -123,7 +124,7 @@ def may_link(na, nb, differ) -> np.ndarray:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, row (its number, -1 if docs has no __row), sid, n (shingles), bits; per batch and bucket, with n = -1: tiles and their sids, packed.
+    """Per row: doc_id, row (its number), sid, n (shingles), bits; per batch and bucket, with n = -1: tiles and their sids, packed.
 
     doc_id travels as text, since a column of integers with nulls would reach pandas as floats.
     """
@@ -156,8 +157,7 @@ def signed(docs: DataFrame) -> DataFrame:
                     "tiles": [t[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], "sids": [o[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)],
                 })
 
-    row = F.col("__row") if "__row" in docs.columns else F.lit(-1).cast("long")
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), row.alias("row"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "bucket int, doc_id string, row long, sid long, n long, bits binary, tiles binary, sids binary")
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("__row").alias("row"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "bucket int, doc_id string, row long, sid long, n long, bits binary, tiles binary, sids binary")
 
 
 def grouped(rows: DataFrame) -> DataFrame:
@@ -205,7 +205,7 @@ def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def verified(left: DataFrame, classes: DataFrame, docs: DataFrame, place: str) -> DataFrame:
-    """The pairs (a, b) of classes that are linked, by the arrays of their smallest documents."""
+    """The pairs (a, b) of classes that are linked, by the arrays of one document of each."""
     needed = left.select(F.col("a").alias("sid")).union(left.select(F.col("b").alias("sid"))).distinct().join(classes.select("sid", "at").hint("merge"), "sid")
     needed = materialize(needed.select(F.col("sid").alias("__sid"), F.col("at").alias("__at")), f"{place}/needed")
     n_needed = needed.count()
@@ -213,19 +213,14 @@ def verified(left: DataFrame, classes: DataFrame, docs: DataFrame, place: str) -
         return left
     # 16 bytes a row: up to 16 MB travel to the texts, otherwise texts and names meet in a merge join.
     few = F.broadcast(needed) if n_needed <= SMALL else needed.hint("merge")
-    own = "__row" if "__row" in docs.columns else "doc_id"
-    texts = docs.select(F.col(own).alias("__own"), F.coalesce("text", F.lit("")).alias("text")).join(few, F.col("__own").eqNullSafe(F.col("__at")))
+    texts = docs.select("__row", F.coalesce("text", F.lit("")).alias("text")).join(few, F.col("__row") == F.col("__at"))
     texts = materialize(texts.select(F.col("__sid").alias("sid"), "text"), f"{place}/texts")
     rows = left.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
     rows = rows.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
 
     def exact(batches):
         for pdf in batches:
-            keep = []
-            for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"], strict=True):
-                sa, sb = shingles(ta), shingles(tb)
-                # Rows that share a doc_id may have another text than the class's.
-                keep.append(linked(sa, sb) and set_id(sa) == a and set_id(sb) == b)
+            keep = [linked(shingles(ta), shingles(tb)) for ta, tb in zip(pdf["ta"], pdf["tb"], strict=True)]
             yield pdf.loc[keep, ["a", "b"]]
 
     return materialize(rows.mapInPandas(exact, "a long, b long").distinct(), f"{place}/links")
@@ -307,16 +302,13 @@ def apart(members: DataFrame, classes: DataFrame, tested: DataFrame, place: str)
 
 
 def settled(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, row, n_shingles, sid (its class; 0 without shingles), root (null without shingles), component_id.
-
-    With __row in docs, classes find their texts by it instead of by doc_id.
-    """
+    """One row per row of docs, which have __row: doc_id, row, n_shingles, sid (its class; 0 without shingles), root (null without shingles), component_id."""
     spark = docs.sparkSession
     place = run_dir(spark, "jaccard")
     rows = materialize(grouped(signed(docs)), f"{place}/rows")
     members = rows.filter("n >= 0").select("doc_id", "row", "sid", "n", "bits")
     tiles = rows.filter("n < 0").select("tile", "leader", "sid")
-    classes = members.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("row" if "__row" in docs.columns else "doc_id").alias("at"), F.max("n").alias("n"), F.max("bits").alias("bits"))
+    classes = members.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("row").alias("at"), F.max("n").alias("n"), F.max("bits").alias("bits"))
     classes = materialize(classes, f"{place}/classes")
     in_tiles, roots, tested = tiles.select("tile", "sid").union(tiles.select("tile", F.col("leader").alias("sid")).distinct()), None, None
     for turn in range(ROUNDS + 1):
@@ -341,7 +333,7 @@ def settled(docs: DataFrame) -> DataFrame:
 
 def join_components(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, sid (its class; 0 without shingles), component_id."""
-    return settled(docs).select("doc_id", "n_shingles", "sid", "component_id")
+    return settled(numbered(docs.select("doc_id", "text"), "near-rows")).select("doc_id", "n_shingles", "sid", "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

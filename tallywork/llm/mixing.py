@@ -9,7 +9,8 @@ Sizes count words; a null text has size 0. A null source is a source of its own,
 `budget` (default: all words) by weight, stop at `cap` times the source's size, and the excess goes to the others by
 weight until none is above. A source takes whole passes over its documents (at most `cap`) and then documents in a
 fixed hashed order until its target is met; the last one is cut. A source without words takes nothing. Rows with the
-same doc_id are taken each on its own, in an order that their sizes and then their row numbers settle.
+same doc_id are taken each on its own, in an order that their sizes and then their row numbers settle. An empty table gives
+no rows; further columns of docs are kept by mix_documents(), whatever their names.
 """
 
 from __future__ import annotations
@@ -110,18 +111,18 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, cap: float =
 
 
 def scheduled(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, cap: float = 3.0) -> DataFrame:
-    """Each document with what the schedule's copies hold of it: taken (words), first_position, passes. The schedule is written whole, in its order."""
+    """Each document with what the schedule's copies hold of it: taken (words), passes, first_position, last_position. The schedule is written whole, in its order."""
     place = run_dir(docs.sparkSession, "schedule")
     planned = materialize(plan(docs, weights, slopes, cap).drop("first_position"), f"{place}/plan")
     copies = materialize(curriculum(planned), f"{place}/copies")
-    per = copies.groupBy("row").agg(F.sum("words").alias("taken"), F.min("position").alias("first_position"), F.count("*").alias("passes"))
+    per = copies.groupBy("row").agg(F.sum("words").alias("taken"), F.min("position").alias("first_position"), F.max("position").alias("last_position"), F.count("*").alias("passes"))
     out = planned.drop("taken").join(per, "row", "left")
     return out.withColumns({"taken": F.coalesce("taken", F.lit(0).cast("long")), "passes": F.coalesce("passes", F.lit(0).cast("long"))})
 
 
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scheduled(read_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "passes", "first_position", "last_position")
 
 
 OP5_SQL = r"""
@@ -131,12 +132,16 @@ weighed AS (SELECT *, CAST(CASE (row_number() OVER (ORDER BY source NULLS LAST)
 levels AS (SELECT most / w AS ratio, (sum(source_size) OVER () - coalesce(sum(most) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
   FROM weighed WINDOW b AS (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 lev AS (SELECT arg_min(level, ratio) AS level FROM levels WHERE level <= ratio),
-targets AS (SELECT source, source_size, coalesce(least(most, w * (SELECT level FROM lev)), most) AS target FROM weighed),
-streamed AS (SELECT d.doc_id, d.size, t.source_size, t.target,
+targets AS (SELECT source, source_size, coalesce(least(most, w * (SELECT level FROM lev)), most) AS target, CAST(CASE w WHEN 5 THEN -0.5 WHEN 2 THEN 0 ELSE 0.5 END AS DOUBLE) AS slope FROM weighed),
+streamed AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.slope,
     CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before,
-    CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) ELSE 0 END AS passes
-  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  CAST(passes * size + greatest(0, least(size, CAST(floor(target) AS BIGINT) - passes * source_size - before)) AS BIGINT) AS taken
-FROM streamed
+    CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) ELSE 0 END AS whole
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+mixed AS (SELECT *, CAST(whole * size + greatest(0, least(size, CAST(floor(target) AS BIGINT) - whole * source_size - before)) AS BIGINT) AS taken FROM streamed),
+passed AS (SELECT *, CASE WHEN taken > 0 THEN CAST((taken + size - 1) // size AS BIGINT) ELSE 0 END AS passes FROM mixed),
+demand AS (SELECT *, least(1.0::DOUBLE, before / target) AS q1, least(1.0::DOUBLE, ((passes - 1) * source_size + before) / target) AS q2 FROM passed)
+SELECT doc_id, size, source_size, target, taken, passes,
+  CASE WHEN taken = 0 THEN NULL WHEN slope = 0 THEN q1 ELSE (sqrt(greatest(0, (1 - slope) * (1 - slope) + 4 * slope * q1)) - (1 - slope)) / (2 * slope) END AS first_position,
+  CASE WHEN taken = 0 THEN NULL WHEN slope = 0 THEN q2 ELSE (sqrt(greatest(0, (1 - slope) * (1 - slope) + 4 * slope * q2)) - (1 - slope)) / (2 * slope) END AS last_position
+FROM demand
 """

@@ -6,7 +6,8 @@ Raw scores of labelled rows held apart from the fit are counted in `BINS` bins,
 bins gives the calibrated score.
 
 Labels enter the fit alone. A null text counts as empty and is scored like any other; a null label is no label; rows that
-share a doc_id share its labels, each label row counting once. Without any label all scores are 0.5.
+share a doc_id share its labels, each label row counting once. Without any label all scores are 0.5. An empty table gives no
+rows; keep_good() keeps further columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -59,14 +60,17 @@ def statistics(text: str | None) -> np.ndarray:
     ])
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and stats (array of double) of every document."""
-
+def statistics_column(text: str):
     @F.pandas_udf("array<double>")
     def stats(texts: pd.Series) -> pd.Series:
         return pd.Series([statistics(t) for t in texts])
 
-    return docs.select("doc_id", stats(F.coalesce("text", F.lit(""))).alias("stats"))
+    return stats(F.coalesce(text, F.lit("")))
+
+
+def with_statistics(docs: DataFrame) -> DataFrame:
+    """doc_id and stats (array of double) of every document."""
+    return docs.select("doc_id", statistics_column("text").alias("stats"))
 
 
 class Model:
@@ -158,11 +162,14 @@ def labelled_rows(stats: DataFrame, labels: DataFrame, column: str) -> DataFrame
 def train(docs: DataFrame, labels: DataFrame, held_out=None, column: str = "quality") -> tuple[Model, DataFrame]:
     """The model, and the statistics of all docs. held_out: a Column over doc_id; labels where it is true are not read."""
     stats = materialize(with_statistics(docs), f"{run_dir(docs.sparkSession, 'quality')}/stats")
+    return fit_labelled(stats, labels, held_out, column), stats
+
+
+def fit_labelled(stats: DataFrame, labels: DataFrame, held_out=None, column: str = "quality") -> Model:
     rows = labelled_rows(stats, labels, column)
     if held_out is not None:
         rows = rows.filter(~held_out)
-    rows = materialize(rows, f"{run_dir(docs.sparkSession, 'quality')}/labelled")
-    return fit(rows), stats
+    return fit(materialize(rows, f"{run_dir(stats.sparkSession, 'quality')}/labelled"))
 
 
 def score_column(model: Model, stats):
@@ -174,14 +181,10 @@ def score_column(model: Model, stats):
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs without those that score below threshold; fitted on all labels."""
-    model, _ = train(docs, labels)
-
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array([statistics(t) for t in texts]).reshape(len(texts), len(NAMES))))
-
-    return docs.withColumn("__score", score(F.coalesce("text", F.lit("")))).filter(F.col("__score") >= threshold).select(*docs.columns)
+    """docs without those that score below threshold; fitted on all labels. Statistics are worked out once and written with the rows."""
+    rows = materialize(docs.withColumn("__stats", statistics_column("text")), f"{run_dir(docs.sparkSession, 'quality')}/rows")
+    model = fit_labelled(rows.select("doc_id", F.col("__stats").alias("stats")), labels)
+    return rows.filter(score_column(model, F.col("__stats")) >= threshold).select(*docs.columns)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ toxic the network takes them to be. The final function is fitted to features of
 window of every text.
 
 A null text counts as empty. A text without words has the score of no windows, which is low. Null labels are no labels;
-without labels of both classes all scores are 0.25.
+without labels of both classes all scores are 0.25. Rows that share a doc_id share its labels, and each is scored by its own
+text; an empty table gives no rows, and further columns of docs are not read.
 """
 
 from __future__ import annotations
@@ -269,7 +270,8 @@ def fit_sample(rows: DataFrame, **options) -> Network | None:
         net = fit([bytes(x).split() for x in got["words"]], got["label"].to_numpy(float), fold, got["share"].to_numpy(float), **options)
         yield pd.DataFrame({"net": [pickle.dumps(net)]})
 
-    return pickle.loads(rows.coalesce(1).mapInPandas(run, "net binary").first()["net"])
+    # A shuffle, so that the scan of docs behind the sample stays in many tasks.
+    return pickle.loads(rows.repartition(1).mapInPandas(run, "net binary").first()["net"])
 
 
 def fit(texts: list[list[bytes]], y: np.ndarray, fold: np.ndarray, share: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> Network | None:

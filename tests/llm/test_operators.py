@@ -2,8 +2,11 @@
 
 import collections
 import hashlib
+import html.parser
 import io
 import math
+import re
+import time
 import zlib
 
 import duckdb
@@ -160,6 +163,37 @@ def test_toxicity_learns(spark, odd, none):
     assert {r["score"] for r in toxicity.score(odd, None).collect()} == {0.25}
 
 
+def test_forward_is_the_plain_network():
+    """Each gate, state and weight of each window by loops over single numbers."""
+    net = toxicity.Network(4)
+    texts = [[f"w{i % 7}".encode() for i in range(n)] for n in (1, 5, 40)] + [[b"x" * 60, b"y"]]
+    words, idx, mask, of = toxicity.windows(texts)
+    codes, p, h = toxicity.word_codes(words), {k: v.astype(float) for k, v in net.p.items()}, toxicity.HIDDEN
+    got = net.logits(codes, idx, mask)
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    bucket, owner, grams = codes
+    vector = []
+    for i in range(len(words)):
+        own = [p["gram"][g] for k in range(len(owner)) if owner[k] == i for g in grams[k] if g >= 0]
+        vector.append(p["word"][bucket[i]] + sum(own) / len(own))
+    for n in range(len(idx)):
+        places = [t for t in range(toxicity.STEPS) if mask[n, t]]
+        states = {t: [] for t in places}
+        for d, order in ((0, places), (1, places[::-1])):
+            now = [0.0] * h
+            for t in order:
+                gate = [sum(vector[idx[n, t]][e] * p["w"][e, 3 * h * d + k] for e in range(toxicity.EMBED)) + p["b"][3 * h * d + k] for k in range(3 * h)]
+                held = [sum(now[e] * p[f"u{d}"][e, k] for e in range(h)) for k in range(3 * h)]
+                z = [sig(gate[k] + held[k]) for k in range(h)]
+                r = [sig(gate[h + k] + held[h + k]) for k in range(h)]
+                c = [math.tanh(gate[2 * h + k] + r[k] * held[2 * h + k]) for k in range(h)]
+                now = [(1 - z[k]) * c[k] + z[k] * now[k] for k in range(h)]
+                states[t] = states[t] + now
+        e = {t: math.exp(sum(x * y for x, y in zip(states[t], p["a"], strict=True))) for t in places}
+        pooled = [sum(e[t] * states[t][k] for t in places) / sum(e.values()) for k in range(2 * h)]
+        assert got[n] == pytest.approx(sum(x * y for x, y in zip(pooled, p["o"], strict=True)) + p["c"][0], abs=1e-4)
+
+
 def test_toxicity_sample_is_whole(spark):
     rows = [(1, " ".join(f"W{i}" for i in range(20_000)), 1), (2, "a  b", 0), (3, None, 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
@@ -384,11 +418,11 @@ def test_mixing(request, which):
         taken[r["source"]] += r["taken"]
     assert all(abs(taken[s] - targets[s]) <= 1 for s in names)
     copies = mixing.curriculum(mixing.plan(df)).collect()
+    assert "rangepartitioning" in mixing.curriculum(mixing.plan(df))._jdf.queryExecution().toString()
     assert [r["position"] for r in copies] == sorted(r["position"] for r in copies) and sum(r["words"] for r in copies) == sum(taken.values())
     mixed = mixing.mix_documents(df)
     assert mixed.columns == df.columns
-    if which == "docs":  # unique identifiers
-        assert sum(len(r["text"].encode().split()) for r in mixed.select("text").collect()) == sum(taken.values())
+    assert sum(len(r["text"].encode().split()) for r in mixed.select("text").collect()) == sum(taken.values())
 
 
 def test_mixing_rows_that_share_an_id(spark):
@@ -408,11 +442,17 @@ def test_mixing_rows_that_share_an_id(spark):
     assert all(n <= 3 * size[t] for t, n in words.items())
 
 
-def test_schedule_inverts():
-    t = np.linspace(0, 1, 11)
+def test_schedule_inverts(spark):
+    """position() against the summed weight schedule."""
+    target, steps = 700.0, 200_000
+    t = (np.arange(steps) + 0.5) / steps
     for slope in mixing.SLOPES:
-        d = 100 * (t + slope * (t * t - t))
-        assert (np.diff(d) > 0).all()
+        demand = np.concatenate(([0.0], np.cumsum(target * (1 + slope * (2 * t - 1)) / steps)))
+        assert demand[-1] == pytest.approx(target)
+        words = [0, 1, 100, 350, 699, 700, 900]
+        got = spark.createDataFrame([(w,) for w in words], "w long").select(mixing.position(F.col("w"), F.lit(target), F.lit(slope)).alias("p")).collect()
+        want = [min(1.0, float(np.interp(w, demand, np.linspace(0, 1, steps + 1)))) for w in words]
+        assert [r["p"] for r in got] == pytest.approx(want, abs=1e-4)
 
 
 @pytest.mark.parametrize("which", ["docs", "odd"])
@@ -513,8 +553,12 @@ def test_index_goes_on_in_further_files(spark, docs, monkeypatch):
 # 7 WARC
 
 
+URI = "http://x/\r\nWARC-Type: request"
+
+
 def test_warc(spark, sf):
-    pages = spark.read.parquet(f"{sf}/pages.parquet").limit(20).union(spark.createDataFrame([(-1, None, None), (-2, "http://x/\r\nWARC-Type: request", "<a href='/y&amp;z'>t</a><script>var t='</p>';</script><p>1 &lt; 2<br>3<!-- x"), (-2, "http://x/\r\nWARC-Type: request", "")], "page_id long, url string, html string"))
+    own = [(-1, None, None), (-2, URI, "<a href='/y&amp;z'>t</a><script>var t='</p>';</script><p>1 &lt; 2<br>3<!-- x"), (-2, URI, ""), (None, "u", "<p>n")]
+    pages = spark.read.parquet(f"{sf}/pages.parquet").limit(20).union(spark.createDataFrame(own, "page_id long, url string, html string"))
     records = warc.derive(warc.responses(pages), keep=("page_id",))
     rows = records.collect()
     assert len(rows) == 2 * pages.count()
@@ -523,13 +567,76 @@ def test_warc(spark, sf):
         s = src[r["page_id"], r["source_digest"]]
         assert r["refers_to"] == s["record_id"] and r["source_digest"] == "sha256:" + hashlib.sha256(s["payload"].encode()).hexdigest()
         assert r["block_digest"] == "sha256:" + hashlib.sha256(r["block"].encode()).hexdigest() and r["content_length"] == len(r["block"].encode())
-        assert r["headers"].count("WARC-Type: ") == 1 or r["page_id"] == -2
+        assert r["headers"].count("WARC-Type: ") == 1 + 2 * (r["page_id"] == -2) and r["headers"].count("\nWARC-Type: ") == 1
+        assert all(re.fullmatch(r"[A-Za-z_-]+: [^\r\n]+", x) for x in r["headers"].split("\r\n")[1:-1])
     own = {r["warc_type"]: r["block"] for r in rows if r["page_id"] == -2 and "1 &lt;" in src[-2, r["source_digest"]]["payload"]}
     assert own["conversion"] == "t\n1 < 2\n3" and "outlink: /y&z\r\n" in own["metadata"] and "source-http: Content-Type: text/html" in own["metadata"]
+    assert {r["target_uri"] for r in rows if r["page_id"] == -2} == {"http://x/%0D%0AWARC-Type: request"}
     place = run_dir(spark, "warc")
-    files = materialize(warc.write_warc(records.filter("page_id >= 0"), place), f"{place}/files")
-    back = {(r["headers"], r["block"]) for r in warc.read_warc(files).collect()}
-    assert back == {(r["headers"], r["block"]) for r in rows if r["page_id"] >= 0}
+    files = materialize(warc.write_warc(records, place), f"{place}/files")
+    back = warc.fields(warc.read_warc(files), page_id="long")
+    assert collections.Counter(back.collect()) == collections.Counter(records.select(*back.columns).collect())
+
+
+def test_warc_query(spark, sf, tmp_path):
+    got = warc.op7_warc_derivatives(spark, sf)
+    want = warc.derive(warc.responses(spark.read.parquet(f"{sf}/pages.parquet")), keep=("page_id",))
+    assert collections.Counter(got.collect()) == collections.Counter(want.select(*got.columns).collect())
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert warc.op7_warc_derivatives(spark, str(tmp_path)).count() == 0
+    clash = spark.createDataFrame([(1, "u", "<p>a", "k", "b")], "page_id long, url string, html string, keep string, block string")
+    assert {r["block"] for r in warc.derive(warc.responses(clash)).select("block", "warc_type").filter("warc_type = 'conversion'").collect()} == {"a"}
+
+
+def parsed_page(page):
+    """Text, links and title by the standard library's parser, of well-formed pages."""
+
+    class Reader(html.parser.HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.links, self.title, self.hidden, self.inside = [], [], None, 0, False
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in ("script", "style", "noscript", "template", "svg")
+            self.inside = tag == "title"
+            if warc.BLOCK.fullmatch(f"<{tag}>"):
+                self.out.append("\n")
+            if tag == "a" and not self.hidden and dict(attrs).get("href"):
+                self.links.append(" ".join(dict(attrs)["href"].split()))
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in ("script", "style", "noscript", "template", "svg")
+            self.inside = False
+            if warc.BLOCK.fullmatch(f"</{tag}>"):
+                self.out.append("\n")
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.out.append(data)
+                if self.inside and self.title is None:
+                    self.title = " ".join(data.split())
+
+    r = Reader()
+    r.feed(page)
+    r.close()
+    text = "\n".join(x for x in (" ".join(y.split()) for y in "".join(r.out).split("\n")) if x)
+    return text, list(dict.fromkeys(r.links)), r.title
+
+
+def test_warc_extracts_what_a_parser_does(spark, sf):
+    same = n = 0
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        text, links, title = parsed_page(r["html"])
+        lines = warc.fields_of(r["html"]).split("\r\n")
+        n += 1
+        same += warc.text_of(r["html"]).split() == text.split() and [x[9:] for x in lines if x.startswith("outlink: ")] == links and (title is None or f"title: {title}" in lines)
+    assert n and same >= 0.95 * n
+
+
+def test_warc_titles_take_linear_time():
+    began = time.time()
+    assert "title" not in warc.fields_of("<title>" * 200_000)
+    assert time.time() - began < 5
 
 
 def test_warc_hidden_parts_end():
@@ -647,6 +754,18 @@ def test_sketches(request, spark, which):
     assert not error or np.mean(error) < 0.04
 
 
+def test_fingerprints_query(spark, tmp_path, odd, none):
+    for name, df in (("odd", odd), ("none", none), ("one", odd.limit(1))):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = fingerprints.op9_fingerprints(spark, f"{tmp_path}/{name}").collect()
+        assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(r["doc_id"] for r in df.collect())
+        assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+        same = collections.defaultdict(set)
+        for r in got:
+            same[r["doc_id"], r["n_chars"]].add(r["fingerprint"])
+        assert all(len(x) == 1 for x in same.values())
+
+
 def test_sketches_merge(spark):
     text = " ".join(f"w{i}" for i in range(2000))
     df = spark.createDataFrame([(1, text), (1, " ".join(f"w{i}" for i in range(1000, 3000))), (2, "")], "k int, text string").withColumn("fp", fingerprints.sketch(F.col("text")))
@@ -689,6 +808,83 @@ def test_quality(spark, docs, sf, odd, none):
     assert empty.score(np.zeros((2, len(quality.NAMES)))).tolist() == [0.5, 0.5]
 
 
+def test_quality_solves_the_normal_equations(spark):
+    rng = np.random.default_rng(8)
+    x = rng.random((300, len(quality.NAMES)))
+    y = (x[:, 0] + x[:, 20] > 1).astype(float)
+    fold = np.arange(300) % 5
+    rows = spark.createDataFrame([(a.tolist(), float(b), int(c)) for a, b, c in zip(x, y, fold, strict=True)], "stats array<double>, label double, fold int").repartition(3)
+    model = quality.fit(rows, ridge=1e-3, seed=11)
+    z = np.clip((x - x.mean(axis=0)) / x.std(axis=0), -4, 4)
+    r = np.random.default_rng(11)
+    w, b = r.standard_normal((z.shape[1], 256)) / np.sqrt(z.shape[1]), r.uniform(0, 2 * np.pi, 256)
+    phi = np.hstack([np.sqrt(2 / 256) * np.cos(z @ w + b), np.ones((300, 1))])
+    f = phi[fold != 0]
+    # Ridge as least squares over rows added for the penalty; the constant has none to speak of.
+    penalty = np.sqrt(np.append(np.full(256, 1e-3 * len(f) / 256 + 1e-6 + 1e-9), 1e-9))
+    want = np.linalg.lstsq(np.vstack([f, np.diag(penalty)]), np.append(y[fold != 0], np.zeros(257)), rcond=None)[0]
+    assert phi @ model.weights == pytest.approx(phi @ want, abs=1e-6)
+    # The features' products approximate the Gaussian kernel.
+    d = ((z[:40, None] - z[None, :40]) ** 2).sum(axis=2)
+    assert np.abs(phi[:40, :256] @ phi[:40, :256].T - np.exp(-d / 2 / z.shape[1])).mean() < 0.06
+
+
+CONTRACTS = {
+    "op1_hilbert_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset: bigint bigint bigint bigint bigint bigint bigint",
+    "op2_toxicity": "doc_id held_out score predicted: bigint boolean double int",
+    "op3_sstable_shards": "doc_id start n_tokens ids_crc32: bigint bigint bigint bigint",
+    "op4_ngram_lm": "doc_id held_out n_tokens n_known train_tokens base_score score: bigint boolean bigint bigint bigint double double",
+    "op5_curriculum_mix": "doc_id size source_size target taken: bigint bigint bigint double bigint",
+    "op6_exact_dedup": "doc_id keep_id group_size kept text_sha256: bigint bigint bigint boolean string",
+    "op8_jaccard_join": "doc_id n_shingles component_id: bigint bigint bigint",
+    "op9_fingerprints": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next: bigint bigint string string string double double",
+    "op10_quality_classifier": "doc_id held_out score predicted: bigint boolean double int",
+}
+
+
+@pytest.mark.parametrize("name", list(CONTRACTS))
+def test_contract(spark, sf, name):
+    """Columns, types, rows and held-out splits of the queries."""
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    from tallywork.llm import queries
+
+    df = queries.QUERIES[name](spark, sf)
+    names, types = (x.split() for x in CONTRACTS[name].split(":"))
+    assert df.dtypes[: len(names)] == list(zip(names, types, strict=True))
+    rows = df.collect()
+    texts = dict(texts_of(spark.read.parquet(f"{sf}/documents.parquet")))
+    ids = collections.Counter(r["doc_id"] for r in rows)
+    assert set(ids) == set(texts) and (name == "op1_hilbert_packing" or max(ids.values()) == 1)
+    split = {"op2_toxicity": (5, 0), "op4_ngram_lm": (7, 2), "op10_quality_classifier": (3, 1)}.get(name)
+    if split:
+        assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % split[0] == split[1]) for r in rows)
+    if "predicted" in df.columns:
+        assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+    if name in ("op1_hilbert_packing", "op3_sstable_shards"):
+        t = Tokenizer.from_file(path("byte_bpe_50k.json" if name[2] == "1" else "word_bpe_49k.json"))
+        tokens_of = {d: [*t.encode(x or "", add_special_tokens=False).ids, 1] for d, x in texts.items()}
+        at = 0
+        for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"]) if "offset" in df.columns else r["doc_id"]):
+            own = tokens_of[r["doc_id"]]
+            if name[2] == "1":
+                own = own[r["start"] : r["start"] + r["length"]]
+                assert r["doc_tokens"] == len(tokens_of[r["doc_id"]]) and r["sequence_id"] * 2048 + r["offset"] == at
+            else:
+                assert r["start"] == at and r["n_tokens"] == len(own)
+            assert r["ids_crc32"] == zlib.crc32(np.array(own, "<u4").tobytes())
+            at += len(own)
+
+
+def test_special_tokens_are_the_librarys():
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e = tokens.encoder(tokens.vocabulary(name))
+        texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z <|startoftext|>", "a <| b"]
+        assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode(texts)] == [e.t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert tokens.tokenizer(tokens.vocabulary("byte_bpe_50k.json")).encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
 @pytest.mark.parametrize("name", ["op5_curriculum_mix", "op6_exact_dedup"])
 def test_sql(spark, sf, name):
     from tallywork.llm import queries
