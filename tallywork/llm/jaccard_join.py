@@ -40,6 +40,8 @@ WIDTH = 5
 BITMAP, BLOCK, SMALL = 128, 1024, 1 << 20
 #: Smallest tiles of a class that its rows carry, and what fills up shorter lists.
 FEW, NO_TILE = 8, (1 << 63) - 1
+#: Classes of a tile up to which all its pairs are looked at in one go with other tiles'.
+FEW_CLASSES = 48
 ROUNDS = 2
 #: Odd 64-bit multipliers, and what is added for raw hashes.
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -248,6 +250,45 @@ def proposed(members: DataFrame, tested: DataFrame | None) -> DataFrame:
     return pairs if tested is None else pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
 
 
+def pairs_within(pdf: pd.DataFrame) -> pd.DataFrame:
+    """a and b of rows (tile, lo, hi, sid, root, n, bits, few; sorted) that share tile, lo and hi, have different roots and may link, named by the smallest tile of both."""
+    if not len(pdf):
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    tile, lo, hi, sid, root, n = (pdf[c].to_numpy() for c in ("tile", "lo", "hi", "sid", "root", "n"))
+    bits, few = rows_of(pdf["bits"]), np.stack(pdf["few"].to_numpy())
+    new = np.concatenate(([True], (tile[1:] != tile[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
+    at = np.flatnonzero(new)
+    size = np.diff(np.append(at, len(tile)))
+    group = np.repeat(np.arange(len(at)), size)
+    found = []
+
+    def test(x: np.ndarray, y: np.ndarray) -> None:
+        ok = np.flatnonzero((root[x] != root[y]) & (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y])))
+        x, y = x[ok], y[ok]
+        if len(x):
+            ok = np.flatnonzero(may_link(n[x], n[y], np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)))
+            x, y = x[ok], y[ok]
+            smaller = (few[x][:, :, None] == few[y][:, None, :]) & (few[x] < tile[x][:, None])[:, :, None]
+            ok = np.flatnonzero(~smaller.any(axis=(1, 2)))
+            found.append((sid[x[ok]], sid[y[ok]]))
+
+    # In small tiles each class meets the next one, the one after that, and so on, all tiles at once.
+    x, d = np.flatnonzero(size[group] <= FEW_CLASSES), 0
+    while len(x):
+        d += 1
+        x = x[x + d < len(tile)]
+        x = x[group[x + d] == group[x]]
+        test(x, x + d)
+    for g in np.flatnonzero(size > FEW_CLASSES).tolist():
+        k = np.arange(at[g], at[g] + size[g])
+        names, of = np.unique(root[k], return_inverse=True)
+        # Of two classes in different components, one at least is outside the commonest.
+        for i in k[of != np.bincount(of).argmax()] if len(names) > 1 else ():
+            test(np.full(len(k), i), k)
+    a, b = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+
 def apart(members: DataFrame, classes: DataFrame, tested: DataFrame, place: str) -> DataFrame:
     """Pairs (a, b) of classes in one tile and different components that size and bitmap allow, without those tested.
 
@@ -265,37 +306,16 @@ def apart(members: DataFrame, classes: DataFrame, tested: DataFrame, place: str)
     members = members.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
     members = members.repartition(max(1, parts(members.sparkSession)), "tile", "lo", "hi").sortWithinPartitions("tile", "lo", "hi")
 
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        sid, root, n, bits = pdf["sid"].to_numpy(), pdf["root"].to_numpy(), pdf["n"].to_numpy(), rows_of(pdf["bits"])
-        few, tile = np.stack(pdf["few"].to_numpy()), pdf["tile"].iloc[0]
-        names, of = np.unique(root, return_inverse=True)
-        a, b = [], []
-        # Of two classes in different components, one at least is outside the commonest.
-        for i in np.flatnonzero(of != np.bincount(of).argmax()) if len(names) > 1 else ():
-            k = np.flatnonzero((root != root[i]) & (5 * np.minimum(n, n[i]) >= 4 * np.maximum(n, n[i])))
-            if len(k):
-                k = k[may_link(n[i], n[k], np.bitwise_count(bits[k] ^ bits[i]).sum(axis=1, dtype=np.int64))]
-                k = k[~np.isin(few[k], few[i][few[i] < tile]).any(axis=1)]
-                a.append(np.full(len(k), sid[i]))
-                b.append(sid[k])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
     def run(batches):
         kept = None
         for pdf in batches:
             kept = pdf if kept is None else pd.concat([kept, pdf], ignore_index=True)
             last = kept.iloc[-1]
             same = (kept["tile"] == last["tile"]) & (kept["lo"] == last["lo"]) & (kept["hi"] == last["hi"])
-            yield from whole(kept[~same])
+            yield pairs_within(kept[~same])
             kept = kept[same]
         if kept is not None:
-            yield from whole(kept)
-
-    def whole(pdf):
-        if len(pdf):
-            found = [pairs(g) for _, g in pdf.groupby(["tile", "lo", "hi"], sort=False)]
-            yield pd.concat(found, ignore_index=True).drop_duplicates()
+            yield pairs_within(kept)
 
     out = members.select("tile", "lo", "hi", "sid", "root", "n", "bits", "few").mapInPandas(run, "a long, b long").distinct()
     return materialize(out.join(tested.hint("merge"), ["a", "b"], "left_anti"), f"{place}/apart")

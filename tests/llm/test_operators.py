@@ -712,6 +712,30 @@ def test_linked_sets_share_a_tile(n, only_a, only_b, seed):
         assert jaccard_join.may_link(len(a), len(b), int(differ))
 
 
+def test_pairs_of_small_and_large_tiles(monkeypatch):
+    rng = np.random.default_rng(6)
+    rows, sets = [], {}
+    for tile in range(40):
+        base = np.unique(rng.integers(0, 1 << 62, 40, dtype=np.uint64))
+        for i in range(int(rng.integers(1, 12))):
+            s = np.unique(np.concatenate([base[int(rng.integers(0, 6)) :], rng.integers(0, 1 << 62, int(rng.integers(0, 6)), dtype=np.uint64)]))
+            sid = tile * 100 + i
+            sets[sid] = s
+            few = np.sort(np.concatenate([rng.choice(40, 3, replace=False), np.full(5, jaccard_join.NO_TILE)]))
+            rows.append((tile, 0, 0, sid, sid if i % 3 else tile * 100, len(s), jaccard_join.bitmap(s), few))
+    pdf = jaccard_join.pd.DataFrame(rows, columns=["tile", "lo", "hi", "sid", "root", "n", "bits", "few"])
+    want = set()
+    for t, _, _, a, ra, na, ba, fa in rows:
+        for u, _, _, b, rb, nb, bb, fb in rows:
+            differ = int(np.bitwise_count(np.frombuffer(ba, np.uint8) ^ np.frombuffer(bb, np.uint8)).sum())
+            if t == u and a < b and ra != rb and 5 * min(na, nb) >= 4 * max(na, nb) and jaccard_join.may_link(na, nb, differ) and not {x for x in fa if x < t} & set(fb):
+                want.add((a, b))
+    assert len(want) > 50
+    for small in (48, 4, 0):
+        monkeypatch.setattr(jaccard_join, "FEW_CLASSES", small)
+        assert {tuple(map(int, r)) for r in jaccard_join.pairs_within(pdf).itertuples(index=False)} == want
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(i, i + 1) for i in range(200, 260)]
