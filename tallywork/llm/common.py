@@ -43,7 +43,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 def run_dir(spark: SparkSession, name: str) -> str:
     """A fresh place below the shared folder for one run of an operator."""
-    return f"{shared_dir(spark)}/tallywork/{name}-{uuid.uuid4().hex[:12]}"
+    place = f"{shared_dir(spark)}/tallywork/{name}-{uuid.uuid4().hex[:12]}"
+    for made in _recording:
+        made.append(place)
+    return place
+
+
+_recording: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded():
+    """The list of places that run_dir gives meanwhile."""
+    made: list[str] = []
+    _recording.append(made)
+    try:
+        yield made
+    finally:
+        _recording.remove(made)
+
+
+def remove(spark: SparkSession, places: list[str]) -> None:
+    """Delete places of run_dir that no result needs any more."""
+    for place in places:
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, place: str) -> DataFrame:
