@@ -6,30 +6,56 @@ Parquet and read again as the next one's docs. All but the last return the colum
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywork.llm import exact_dedup, jaccard_join, mixing, packing, quality
-from tallywork.llm.common import materialize, read_table, run_dir
+from tallywork.llm.common import materialize, read_table, recorded, remove, run_dir
 from tallywork.llm.tokens import vocabulary
 
 
+_left: list[str] = []
+
+
+def stage(f):
+    """f as a stage: intermediate tables of the stages before it go, as their results have been written, unless docs still reads them."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles()
+        done = [x for x in _left if not any(x.split(":", 1)[-1].lstrip("/") in y for y in read)]
+        remove(spark, done)
+        _left[:] = [x for x in _left if x not in done]
+        with recorded() as made:
+            out = f(spark, docs, sf_dir)
+        _left.extend(made)
+        return out
+
+    return run_stage
+
+
+@stage
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted to labels.quality, rejects go."""
     return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
+@stage
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays, that of the smallest doc_id."""
     return exact_dedup.one_of_each(docs)
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of Jaccard similarity 0.8 or more connect, one stays."""
     return jaccard_join.drop_near_copies(docs)
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are brought to their target words, documents repeated or left out, in the order of the curriculum."""
     return mixing.mix_documents(docs)
@@ -45,6 +71,7 @@ def position_window(docs: DataFrame) -> Column | None:
     return name
 
 
+@stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2048 token ids: windows of training positions in their order, in each the neighbours on the Hilbert curve."""
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"), window=position_window(docs))
@@ -65,6 +92,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs, place = read_table(spark, sf_dir, "documents"), run_dir(spark, "pipeline")
-    for i, (_, stage) in enumerate(STAGES[:-1]):
-        docs = materialize(stage(spark, docs, sf_dir), f"{place}/{i}")
+    for i, (_, apply) in enumerate(STAGES[:-1]):
+        docs = materialize(apply(spark, docs, sf_dir), f"{place}/{i}")
     return STAGES[-1][1](spark, docs, sf_dir)
