@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
 
     def put(f):
         wanted = f.__code__.co_varnames[: f.__code__.co_argcount]
-        makers = {"txn": adapter.transactions, "accounts": adapter.accounts, "connections": adapter.connections, "rules": adapter.rules}
+        makers = {"txn": adapter.transactions, "accounts": adapter.accounts, "connections": adapter.connections, "rules": adapter.rules, "categories": adapter.categories}
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return f(*(makers[w](spark, sf_dir) if w in makers else {"spark": spark, "sf_dir": sf_dir}[w] for w in wanted))
@@ -71,9 +71,9 @@ def _(txn):
     return A.totals(txn)
 
 
-@query("totals_of_account", f" SELECT {CASH} FROM txn WHERE included AND user_id = 3 AND account_id = -1")
+@query("totals_of_account", f" SELECT {CASH} FROM txn WHERE included AND account_id = 5")
 def _(txn):
-    return A.totals(txn, user_id=3, account_id=-1)
+    return A.totals(txn, account_id=5)
 
 
 @query("monthly_rollup", f" SELECT user_id, CAST(date_trunc('month', date) AS DATE) AS month, {CASH} FROM txn WHERE included GROUP BY 1, 2")
@@ -103,7 +103,7 @@ def _(txn):
 
 @query("day_groups", " SELECT user_id, date, CAST(-sum(amount) AS BIGINT) AS net, count(*) AS n_items FROM txn GROUP BY 1, 2")
 def _(txn):
-    return A.day_groups(txn).select("user_id", "date", "net", F.size("items").cast("long").alias("n_items"))
+    return A.day_groups(txn)
 
 
 TOTALS = "SELECT user_id, provider_category AS category, CAST(sum(amount) AS BIGINT) AS total FROM txn WHERE included AND amount > 0 GROUP BY 1, 2"
@@ -225,7 +225,7 @@ def _(txn):
 
 
 EDGES = """, p AS (SELECT user_id, tx_id, account_id, amount, date, coalesce(starts_with(provider_category, 'TRANSFER_') OR provider_category = 'LOAN_PAYMENTS_CREDIT_CARD_PAYMENT', false) AS signal FROM txn WHERE NOT is_removed AND NOT pending AND amount <> 0),
-e AS (SELECT a.user_id, a.tx_id AS anchor, b.tx_id AS other, abs(date_diff('day', a.date, b.date)) AS date_diff, abs(abs(a.amount) - abs(b.amount)) AS amount_diff, a.signal OR b.signal AS signal
+e AS (SELECT a.user_id, a.tx_id AS anchor, a.date AS ad, b.tx_id AS other, abs(date_diff('day', a.date, b.date)) AS date_diff, abs(abs(a.amount) - abs(b.amount)) AS amount_diff, a.signal OR b.signal AS signal
   FROM p a JOIN p b ON a.user_id = b.user_id AND a.account_id <> b.account_id AND sign(a.amount) = -sign(b.amount) AND abs(abs(a.amount) - abs(b.amount)) <= 100 AND abs(date_diff('day', a.date, b.date)) <= 3)"""
 
 
@@ -234,7 +234,17 @@ def _(txn):
     return X.edges(X.unmatched(txn)).drop("ad")
 
 
-@query("transfer_matches")
+MATCHES = EDGES + """, ordered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ad, anchor, date_diff, amount_diff, other) AS i FROM e WHERE signal),
+walk AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS anchor, CAST(NULL AS BIGINT) AS other FROM ordered
+  UNION ALL SELECT w.user_id, o.i, CASE WHEN list_contains(w.used, o.anchor) OR list_contains(w.used, o.other) THEN w.used ELSE list_concat(w.used, [o.anchor, o.other]) END,
+    CASE WHEN list_contains(w.used, o.anchor) OR list_contains(w.used, o.other) THEN NULL ELSE o.anchor END, CASE WHEN list_contains(w.used, o.anchor) OR list_contains(w.used, o.other) THEN NULL ELSE o.other END
+  FROM walk w JOIN ordered o ON o.user_id = w.user_id AND o.i = w.i + 1),
+m AS (SELECT user_id, anchor, other FROM walk WHERE anchor IS NOT NULL),
+aged AS (SELECT user_id, tx_id, 4 AS tier, category_value AS category, 'needs_review' AS status FROM txn WHERE NOT is_removed AND NOT pending AND (starts_with(provider_category, 'TRANSFER_') OR provider_category = 'LOAN_PAYMENTS_CREDIT_CARD_PAYMENT')
+  AND category_status = 'confirmed' AND date <= DATE '2001-07-29' AND tx_id NOT IN (SELECT anchor FROM m UNION ALL SELECT other FROM m))"""
+
+
+@query("transfer_matches", MATCHES + " SELECT * FROM m")
 def _(txn):
     return X.greedy(X.edges(X.unmatched(txn)))
 
@@ -245,12 +255,20 @@ def _(txn):
     return X.suggestions(pool, pool)
 
 
-@query("transfer_aging")
+@query("transfer_aging", MATCHES + " SELECT * FROM aged")
 def _(txn):
     return X.aging(txn, X.greedy(X.edges(X.unmatched(txn))), AS_OF)
 
 
-@query("transfer_links")
+@query("transfer_counts", MATCHES + """ SELECT user_id, count(*) AS candidates, coalesce(any_value(n_m), 0) AS matched, coalesce(any_value(n_a), 0) AS aged FROM txn LEFT JOIN (SELECT user_id, count(*) AS n_m FROM m GROUP BY 1) USING (user_id)
+LEFT JOIN (SELECT user_id, count(*) AS n_a FROM aged GROUP BY 1) USING (user_id) WHERE NOT is_removed AND NOT pending GROUP BY 1""")
+def _(txn):
+    pool = X.unmatched(txn)
+    pairs = X.greedy(X.edges(pool))
+    return X.run_counts(pool, pairs, X.aging(txn, pairs, AS_OF))
+
+
+@query("transfer_links", MATCHES + " SELECT user_id, anchor AS tx_id, 'g-' || anchor AS transfer_group_id FROM m UNION ALL SELECT user_id, other, 'g-' || anchor FROM m")
 def _(txn):
     return X.link(txn, X.greedy(X.edges(X.unmatched(txn)))).filter("transfer_group_id is not null").select("user_id", "tx_id", "transfer_group_id")
 
@@ -285,9 +303,128 @@ def _(txn):
     return C.write_back(txn.select("user_id", "merchant_norm", F.col("category.value").alias("category"), F.col("category.status").alias("status"), F.col("tx_id").alias("ordinal")), "llm")
 
 
-@query("prompts")
+@query("prompts", """ SELECT user_id, batch, 'Categories: Dining, Uncategorized' || chr(10) || string_agg(line, chr(10) ORDER BY tx_id) AS prompt FROM (SELECT user_id, tx_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY tx_id) - 1 AS BIGINT) // 30 AS batch,
+printf('%s | %s | %s | %.2f USD', CAST(tx_id AS VARCHAR), coalesce(merchant_name, ''), description, amount / 100.0) AS line FROM txn WHERE category_status = 'needs_review') GROUP BY 1, 2""")
+def _(txn):
+    return C.prompt_lines(txn.filter("category.status = 'needs_review'"), ["Dining", "Uncategorized"])
+
+
+@query("verdicts_merged", """ SELECT user_id, tx_id, CASE WHEN hit THEN 3 ELSE category_tier END AS tier, CASE WHEN hit THEN CASE WHEN tx_id % 20 > 0 THEN 'Dining' ELSE 'Uncategorized' END ELSE category_value END AS value,
+CASE WHEN hit THEN CASE WHEN tx_id % 20 = 0 OR tx_id // 10 % 5 = 0 OR CAST(tx_id // 10 % 100 AS DOUBLE) / 100 < CAST(0.7 AS DOUBLE) THEN 'needs_review' ELSE 'confirmed' END ELSE category_status END AS status
+FROM (SELECT *, category_status = 'needs_review' AND tx_id % 3 > 0 AS hit FROM txn)""")
+def _(txn):
+    """Verdicts for all rows that needed a review; of these, every third has been set by hand meanwhile."""
+    open_ = txn.filter("category.status = 'needs_review'").select("tx_id", "merchant_norm", "description", "amount")
+    verdicts = C.model_tier(open_, stub_model, ["Dining", "Uncategorized"])
+    by_hand = F.struct(F.col("category.tier"), F.col("category.value"), F.col("category.confidence"), F.lit("confirmed").alias("status"))
+    meanwhile = txn.withColumn("category", F.when((F.col("category.status") == "needs_review") & (F.col("tx_id") % 3 == 0), by_hand).otherwise(F.col("category")))
+    out = C.merge_verdicts(meanwhile, verdicts).select("user_id", "tx_id", "category.tier", "category.value", "category.status", F.col("tx_id") % 3 == 0)
+    # What was set by hand is shown as it was stored before.
+    back = txn.select("tx_id", F.col("category.status").alias("was"))
+    return out.join(back, "tx_id").select("user_id", "tx_id", "tier", "value", F.when((F.col("tx_id") % 3 == 0) & (F.col("was") == "needs_review"), F.col("was")).otherwise(F.col("status")).alias("status"))
+
+
+@query("categories_set", " SELECT user_id, tx_id, CASE WHEN tx_id % 4 = 0 THEN 4 ELSE category_tier END AS tier, CASE WHEN tx_id % 4 = 0 THEN 'Mine' ELSE category_value END AS value, CASE WHEN tx_id % 4 = 0 THEN 'confirmed' ELSE category_status END AS status FROM txn")
+def _(txn):
+    """Changes of own rows, and of rows of other users, which stay."""
+    own = txn.filter("tx_id % 4 = 0").select("user_id", "tx_id", F.lit("Mine").alias("value"))
+    others = txn.filter("tx_id % 4 = 1").select((F.col("user_id") + 1).alias("user_id"), "tx_id", F.lit("Not mine").alias("value"))
+    return C.set_category(txn, own.union(others)).select("user_id", "tx_id", "category.tier", "category.value", "category.status")
+
+
+@query("hard_fallbacks", " SELECT count(CASE WHEN tx_id % 20 = 0 THEN 1 END) AS n_fallbacks, count(*) AS n_results FROM txn WHERE category_status = 'needs_review'")
+def _(txn):
+    rows = txn.filter("category.status = 'needs_review'").select("tx_id", "merchant_norm", "description", "amount")
+    return A.hard_fallbacks(C.model_tier(rows, stub_model, ["Dining", "Uncategorized"]))
+
+
+@query("active_categories", " SELECT user_id, name, ordinal FROM cat WHERE NOT archived")
+def _(categories):
+    return L.active_categories(categories).select("user_id", "name", "ordinal")
+
+
+@query("category_sections", " SELECT user_id, name, CASE WHEN NOT is_default THEN 'custom' WHEN kind = 'income' THEN 'default-income' ELSE 'default-expense' END AS section FROM cat")
+def _(categories):
+    return L.category_groups(categories).select("user_id", "name", "section")
+
+
+@query("category_styles", f" SELECT t.*, color, icon FROM (SELECT user_id, category_value AS category, CAST(sum(amount) AS BIGINT) AS total FROM txn WHERE included AND amount > 0 AND {IN_YEAR} GROUP BY 1, 2) t LEFT JOIN cat ON cat.user_id = t.user_id AND cat.name = t.category")
+def _(txn, categories):
+    return L.with_category_style(A.spending(txn, *YEAR), categories).select("user_id", "category", "total", "color", "icon")
+
+
+@query("account_types", " SELECT account_id, CASE WHEN type = 'investment' AND account_id % 2 = 0 THEN 'investment' WHEN account_id % 13 = 0 THEN 'depository' ELSE type END AS kind, CASE WHEN account_id % 3 = 0 THEN 'EUR' WHEN account_id % 3 = 1 THEN 'XBT' ELSE 'USD' END AS currency FROM account")
+def _(accounts):
+    told = F.when((F.col("type") == "investment") & (F.col("account_id") % 2 == 0), "brokerage").when(F.col("account_id") % 13 == 0, "other").otherwise(F.col("type"))
+    iso, other = F.when(F.col("account_id") % 3 == 0, "EUR"), F.when(F.col("account_id") % 3 < 2, "XBT")
+    return accounts.select("account_id", S.account_type(told).alias("kind"), S.currency(iso, other).alias("currency"))
+
+
+@query("account_by_id", " SELECT account_id, type FROM account WHERE account_id = 5")
+def _(accounts):
+    return L.by_id(accounts, "account_id", "5").union(L.by_id(accounts, "account_id", "not an id")).select("account_id", "type")
+
+
+@query("transactions_by_date", f" SELECT tx_id, date, amount FROM txn WHERE user_id = 3 AND NOT is_removed AND {IN_YEAR}")
 def _(txn):
-    return C.prompt_lines(txn.filter("category.status = 'needs_review'"))
+    return L.by_date(txn, 3, *YEAR).select("tx_id", "date", "amount")
+
+
+@query("syncable_connections", " SELECT user_id, connection_id FROM connection WHERE status = 'active'")
+def _(connections):
+    return L.syncable(connections).select("user_id", "connection_id")
+
+
+@query("connection_states", " SELECT connection_id, CASE connection_id % 6 WHEN 1 THEN 'login_required' WHEN 2 THEN 'error' ELSE status END AS status FROM connection")
+def _(connections):
+    """Connections after errors of several kinds: only two of them are terminal."""
+    code = F.element_at(F.array(*map(F.lit, ("RATE_LIMIT_EXCEEDED", "ITEM_LOCKED", "ITEM_NOT_SUPPORTED", "INVALID_CURSOR", "TRANSACTIONS_SYNC_MUTATION_DURING_PAGINATION", "OTHER"))), (F.col("connection_id") % 6 + 1).cast("int"))
+    errors = connections.select("connection_id", S.error_kind(F.lit(400), code, F.lit("ITEM_ERROR")).alias("kind"))
+    return L.after_errors(connections, errors).select("connection_id", "status")
+
+
+@query("webhook_kinds", """ SELECT connection_id, CASE connection_id % 8 WHEN 0 THEN 'sync' WHEN 1 THEN 'item_error:reauth_required' WHEN 2 THEN 'item_error:reauth_required' WHEN 3 THEN 'item_error:revoked' WHEN 4 THEN 'item_error:revoked' ELSE 'ignored' END AS kind FROM connection""")
+def _(connections):
+    kinds = [("TRANSACTIONS", "SYNC_UPDATES_AVAILABLE", ""), ("ITEM", "PENDING_EXPIRATION", ""), ("ITEM", "ERROR", "ITEM_LOCKED"), ("ITEM", "USER_PERMISSION_REVOKED", ""), ("ITEM", "ERROR", "ACCESS_NOT_GRANTED"), ("ITEM", "ERROR", "SOMETHING"), ("ITEM", "PENDING_DISCONNECT", ""), ("TRANSACTIONS", "DEFAULT_UPDATE", "")]
+    body = F.element_at(F.array(*(F.struct(F.lit(a).alias("webhook_type"), F.lit(b).alias("webhook_code"), F.struct(F.lit(c).alias("error_code")).alias("error")) for a, b, c in kinds)), (F.col("connection_id") % 8 + 1).cast("int"))
+    text = F.to_json(F.struct(body["webhook_type"].alias("webhook_type"), body["webhook_code"].alias("webhook_code"), body["error"].alias("error"), F.col("provider_item_id").alias("item_id")))
+    return connections.select("connection_id", S.webhook_kind(text).alias("kind"))
+
+
+@query("synced_labels", """ SELECT connection_id, CASE WHEN last_synced_at IS NULL THEN 'Never synced yet' WHEN m < 1 THEN 'Synced just now' WHEN m < 60 THEN 'Synced ' || m || 'm ago' WHEN m < 1440 THEN 'Synced ' || m // 60 || 'h ago' ELSE strftime(t, 'Synced %b %-d, %-I:%M %p') END AS label
+FROM (SELECT *, CAST(date_diff('second', t, TIMESTAMP '2001-08-01 10:30:00') AS BIGINT) // 60 AS m FROM (SELECT *, CAST(last_synced_at AS TIMESTAMP) + to_minutes(CAST(connection_id * 37 AS BIGINT)) AS t FROM connection WHERE connection_id < 17 OR last_synced_at < DATE '2001-08-01'))""")
+def _(connections):
+    seen = connections.filter("connection_id < 17 or last_synced_at < date'2001-08-01'")
+    at = F.col("last_synced_at").cast("timestamp") + F.make_dt_interval(mins=(F.col("connection_id") * 37).cast("int"))
+    return seen.select("connection_id", S.synced_ago(at, F.lit("2001-08-01 10:30:00").cast("timestamp")).alias("label"))
+
+
+@query("user_ids", " SELECT DISTINCT user_id FROM (SELECT user_id FROM account UNION ALL SELECT user_id FROM connection)")
+def _(accounts, connections):
+    return L.user_ids(accounts, connections)
+
+
+@query("user_counts", " SELECT user_id, CAST(sum(a) AS BIGINT) AS n_accounts, CAST(sum(c) AS BIGINT) AS n_connections, CAST(sum(t) AS BIGINT) AS n_transactions FROM (SELECT user_id, 1 AS a, 0 AS c, 0 AS t FROM account UNION ALL SELECT user_id, 0, 1, 0 FROM connection UNION ALL SELECT user_id, 0, 0, 1 FROM txn) GROUP BY 1")
+def _(accounts, connections, txn):
+    return A.counts(accounts=accounts, connections=connections, transactions=txn)
+
+
+@query("active_subscriptions", RECURRING + " SELECT user_id, merchant_norm FROM sub WHERE frequency IS NOT NULL")
+def _(txn):
+    """After a run over stored subscriptions, of which those not found any more have lapsed."""
+    rows = R.candidates(txn)
+    found = R.recurring(rows).select("user_id", "merchant_norm", "merchant_name", "amount")
+    stored = rows.groupBy("user_id", "merchant_norm").agg(F.max("merchant_name").alias("merchant_name"), F.max("amount").alias("amount")).withColumn("active", F.lit(True))
+    return R.active(R.reconcile(found, stored)).select("user_id", "merchant_norm")
+
+
+@query("notified", " SELECT 'sync' AS type, c.user_id, c.connection_id FROM connection c WHERE c.user_id = 3")
+def _(connections):
+    """Finished jobs of every connection, and of one that nobody has, as one user sees them."""
+    from .streaming.changefeed import notifications
+
+    jobs = connections.select(F.lit("sync").alias("type"), "connection_id").union(connections.sparkSession.sql("select 'sync' as type, -1L as connection_id"))
+    return notifications(jobs, connections, 3)
 
 
 @query("ledger_view", """ SELECT t.user_id, tx_id, date, amount, coalesce(merchant_override, merchant_name, merchant_norm) AS merchant, description, pending, category_value AS category, category_status AS status, category_tier AS tier, false AS is_transfer,
@@ -317,7 +454,15 @@ def _(txn, accounts):
     return L.wallet(accounts, cash)
 
 
-@query("money_labels", """ SELECT tx_id, CASE WHEN amount < 0 AND floor(abs(amount) / 100 + 0.5) > 0 THEN '-' ELSE '' END || '$' || format('{:,}', CAST(floor(abs(amount) / 100 + 0.5) AS BIGINT)) AS label, strftime(date, '%b %-d') AS day_label, strftime(date, '%b %y') AS month_label,
+@query("small_money", """ SELECT o_orderkey AS k, CASE WHEN c < 0 THEN '-' ELSE '' END || '$' || u AS plain, CASE WHEN c > 0 THEN '-' ELSE '' END || '$' || u AS flipped, CASE WHEN c < 0 THEN '+' WHEN c > 0 THEN '-' ELSE '' END || '$' || u AS explicit
+FROM (SELECT o_orderkey, c, CAST(floor(abs(c) / 100 + 0.5) AS BIGINT) AS u FROM (SELECT o_orderkey, o_orderkey % 301 - 150 AS c FROM orders))""")
+def _(spark, sf_dir):
+    """Amounts around nothing, whose sign stays when they round to $0."""
+    c = F.col("o_orderkey") % 301 - 150
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), *(S.dollars(c, x).alias(x) for x in ("plain", "flipped", "explicit")))
+
+
+@query("money_labels", """ SELECT tx_id, CASE WHEN amount < 0 THEN '-' ELSE '' END || '$' || format('{:,}', CAST(floor(abs(amount) / 100 + 0.5) AS BIGINT)) AS label, strftime(date, '%b %-d') AS day_label, strftime(date, '%b %y') AS month_label,
 CAST(date_trunc('week', date) AS DATE) AS week, last_day(date) AS month_end FROM txn""")
 def _(txn):
     d = F.col("date")
@@ -334,20 +479,20 @@ def _(txn):
     return L.erase_user({"txn": txn}, 3)["txn"].groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-@query("trigger_events", " SELECT event_type AS key, ts AS at FROM (SELECT *, date_diff('second', lag(ts) OVER (PARTITION BY event_type ORDER BY ts), ts) AS gap FROM events) WHERE gap IS NULL OR gap > 600")
+@query("trigger_events", " SELECT event_type AS key, min(ts) AS at FROM events GROUP BY event_type, CAST(floor(epoch(ts) / 600) AS BIGINT)")
 def _(spark, sf_dir):
     from .streaming.changefeed import queue_view
 
     return queue_view(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("key"), F.col("ts").alias("at")))
 
 
-@query("feed_applied", """, f AS (SELECT *, tx_id // 10 % 3 AS page FROM txn0 WHERE tx_id < 1000000000000)
+@query("feed_applied", """, f AS (SELECT * FROM txn0)
 SELECT CAST(tx_id AS VARCHAR) AS provider_tx_id, user_id, CASE WHEN tx_id % 50 = 0 THEN amount + 1 ELSE amount END AS amount, tx_id % 70 = 0 AS is_removed FROM f WHERE account_id % 11 <> 0""")
 def _(txn, accounts):
     """Added rows, later modified and removed ones, of which rows of unknown accounts change nothing."""
     from .streaming.changefeed import LEDGER, apply_feed
 
-    rows = txn.filter("tx_id < 1000000000000")
+    rows = txn
     base = [F.col("tx_id").alias("idx"), F.col("tx_id").cast("string").alias("provider_tx_id"), F.lit(None).cast("string").alias("pending_tx_id"), F.col("account_id").cast("string").alias("provider_account_id"), "date"]
     rest = [F.lit("USD").alias("currency"), "merchant_name", "description", F.lit(False).alias("pending"), "provider_category"]
     added = rows.select(F.lit(1).alias("page"), F.lit("added").alias("op"), *base, "amount", *rest)

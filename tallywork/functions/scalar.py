@@ -12,6 +12,10 @@ UNCATEGORIZED = (4, "Uncategorized", "needs_review")
 LIABILITIES = ("credit", "loan")
 PALETTE_SIZE = 8
 CONFIDENCE = 0.7
+#: Provider codes after which the user must log in again, after which an item must be linked anew, and of a cursor that is of no use.
+REAUTH_CODES = ("ITEM_LOGIN_REQUIRED", "ITEM_LOCKED")
+REVOKED_CODES = ("USER_PERMISSION_REVOKED", "USER_ACCOUNT_REVOKED", "ITEM_NOT_FOUND", "ACCESS_NOT_GRANTED")
+CURSOR_CODES = ("TRANSACTIONS_SYNC_INVALID_CURSOR", "INVALID_CURSOR", "TRANSACTIONS_SYNC_CURSOR_NOT_FOUND")
 
 
 def merchant_key(name: Column, description: Column) -> Column:
@@ -47,8 +51,8 @@ def dollars(cents: Column, sign: str = "plain") -> Column:
     c = -cents if sign != "plain" else cents
     units = F.floor(F.abs(c) / 100 + 0.5)
     body = F.concat(F.lit("$"), F.format_number(units, 0))
-    below = (c < 0) & (units > 0) if sign != "explicit" else c < 0
-    ahead = F.when(below, F.lit("-")).when(F.lit(sign == "explicit") & (c > 0), F.lit("+")).otherwise(F.lit(""))
+    # A sign stays where the amount rounds to 0.
+    ahead = F.when(c < 0, F.lit("-")).when(F.lit(sign == "explicit") & (c > 0), F.lit("+")).otherwise(F.lit(""))
     return F.concat(ahead, body)
 
 
@@ -98,30 +102,38 @@ def json_payload(content: Column) -> Column:
 
 
 def webhook_kind(body: Column) -> Column:
-    """sync, item_error:login_required, item_error:error or ignored, of a webhook's JSON text."""
-    kind, code = F.get_json_object(body, "$.webhook_type"), F.get_json_object(body, "$.webhook_code")
-    error = F.get_json_object(body, "$.error.error_code")
-    has_item = F.get_json_object(body, "$.item_id").isNotNull()
-    login = (code.isin("PENDING_EXPIRATION", "PENDING_DISCONNECT")) | (error == "ITEM_LOGIN_REQUIRED")
+    """sync, item_error:reauth_required, item_error:revoked or ignored, of a webhook's JSON text. An error's own code goes before the webhook's."""
+    field = lambda path: F.nullif(F.get_json_object(body, path), F.lit(""))
+    kind, code = field("$.webhook_type"), field("$.webhook_code")
+    what = F.coalesce(field("$.error.error_code"), code)
+    item = field("$.item_id").isNotNull()
     return (
-        F.when(~F.coalesce(has_item, F.lit(False)), "ignored")
-        .when((kind == "TRANSACTIONS") & (code == "SYNC_UPDATES_AVAILABLE"), "sync")
-        .when((kind == "ITEM") & code.isin("ERROR", "PENDING_EXPIRATION", "PENDING_DISCONNECT"), F.when(F.coalesce(login, F.lit(False)), "item_error:login_required").otherwise("item_error:error"))
+        F.when(item & (kind == "TRANSACTIONS") & (code == "SYNC_UPDATES_AVAILABLE"), "sync")
+        .when(item & (kind == "ITEM") & what.isin(*REAUTH_CODES, "PENDING_EXPIRATION"), "item_error:reauth_required")
+        .when(item & (kind == "ITEM") & what.isin(*REVOKED_CODES), "item_error:revoked")
         .otherwise("ignored")
     )
 
 
-def error_kind(status: Column, code: Column) -> Column:
-    """Rate limits come first, changes during paging before bad cursors."""
+def error_kind(status: Column, code: Column, error_type: Column | None = None) -> Column:
+    """Rate limits come first, changes during paging before bad cursors; null: an error that nothing treats specially."""
+    limited = F.coalesce(status == 429, F.lit(False)) | F.coalesce(code == "RATE_LIMIT_EXCEEDED", F.lit(False))
+    if error_type is not None:
+        limited |= F.coalesce(error_type == "RATE_LIMIT_EXCEEDED", F.lit(False))
     return (
-        F.when((status == 429) | (code == "RATE_LIMIT_EXCEEDED"), "rate_limit")
+        F.when(limited, "rate_limit")
+        .when(code.isin(*REAUTH_CODES), "reauth_required")
+        .when(code.isin(*REVOKED_CODES, "ITEM_NOT_SUPPORTED"), "revoked")
         .when(code == "TRANSACTIONS_SYNC_MUTATION_DURING_PAGINATION", "mutation_during_pagination")
-        .when(code == "INVALID_CURSOR", "invalid_cursor")
-        .when(code == "ITEM_LOGIN_REQUIRED", "login_required")
-        .otherwise("error")
+        .when(code.isin(*CURSOR_CODES), "invalid_cursor")
     )
 
 
+def terminal_status(kind: Column) -> Column:
+    """The status that an error leaves a connection in until its user acts; null: it may be tried again."""
+    return F.when(kind == "reauth_required", "login_required").when(kind == "revoked", "error")
+
+
 def retry_after_ms(seconds: Column) -> Column:
     value = seconds.try_cast("double")
     return F.when(value >= 0, value * 1000).cast("long")
@@ -158,10 +170,10 @@ def month_label(d: Column) -> Column:
 
 def synced_ago(at: Column, now: Column) -> Column:
     minutes = F.floor((F.unix_timestamp(now) - F.unix_timestamp(at)) / 60)
-    return (
-        F.when(at.isNull(), "never").when(minutes < 1, "just now").when(minutes < 60, F.concat(minutes, F.lit("m ago")))
-        .when(minutes < 1440, F.concat(F.floor(minutes / 60), F.lit("h ago"))).otherwise(F.concat(F.floor(minutes / 1440), F.lit("d ago")))
+    when = (
+        F.when(minutes < 1, "just now").when(minutes < 60, F.concat(minutes, F.lit("m ago"))).when(minutes < 1440, F.concat(F.floor(minutes / 60), F.lit("h ago"))).otherwise(F.date_format(at, "MMM d, h:mm a"))
     )
+    return F.when(at.isNull(), "Never synced yet").otherwise(F.concat(F.lit("Synced "), when))
 
 
 def frequency(gap: Column, monthly: float = 30, monthly_tol: float = 5, annual: float = 365, annual_tol: float = 20) -> Column:

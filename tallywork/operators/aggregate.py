@@ -39,11 +39,14 @@ def totals(txn: DataFrame, user_id=None, start=None, end=None, account_id=None)
 
 
 def spending(txn: DataFrame, start, end, income: bool = False) -> DataFrame:
-    """user_id, category, total of spending (or income, its sign turned), largest first."""
+    """user_id, category, total of spending (or income, its sign turned); by_total() sorts them for a reader."""
     sign = -F.col("amount") if income else F.col("amount")
     rows = txn.filter(included() & in_range(start, end) & (sign > 0))
-    out = rows.groupBy("user_id", F.col("category.value").alias("category")).agg(F.sum(sign).alias("total"))
-    return out.orderBy("user_id", F.desc("total"), "category")
+    return rows.groupBy("user_id", F.col("category.value").alias("category")).agg(F.sum(sign).alias("total"))
+
+
+def by_total(totals_: DataFrame) -> DataFrame:
+    return totals_.orderBy("user_id", F.desc("total"), "category")
 
 
 def spending_compared(txn: DataFrame, current, compare) -> DataFrame:
@@ -64,10 +67,10 @@ def account_deltas(txn: DataFrame, after) -> DataFrame:
     return rows.groupBy("account_id").agg(F.sum("amount").alias("delta"))
 
 
-def day_groups(txn: DataFrame) -> DataFrame:
-    """user_id, date, net (income positive), items, latest day first."""
-    items = F.array_sort(F.collect_list(F.struct("tx_id", "amount")))
-    return txn.groupBy("user_id", "date").agg((-F.sum("amount")).alias("net"), items.alias("items")).orderBy("user_id", F.desc("date"))
+def day_groups(txn: DataFrame, items: bool = False) -> DataFrame:
+    """user_id, date, net (income positive), n_items; with items, the day's rows too."""
+    listed = [F.array_sort(F.collect_list(F.struct("tx_id", "amount"))).alias("items")] if items else []
+    return txn.groupBy("user_id", "date").agg((-F.sum("amount")).alias("net"), F.count("*").alias("n_items"), *listed)
 
 
 def top_categories(totals_: DataFrame, top: int = 8) -> DataFrame:
@@ -102,3 +105,12 @@ def touched_buckets(txn: DataFrame) -> DataFrame:
 def hard_fallbacks(results: DataFrame) -> DataFrame:
     cond = (F.col("category") == "Uncategorized") & (F.col("confidence") == 0) & F.col("uncertain")
     return results.agg(F.count_if(cond).alias("n_fallbacks"), F.count("*").alias("n_results"))
+
+
+def counts(**tables: DataFrame) -> DataFrame:
+    """user_id and the number of its rows in each of the tables."""
+    rows = None
+    for name, df in tables.items():
+        one = df.select("user_id", F.lit(name).alias("name"))
+        rows = one if rows is None else rows.union(one)
+    return rows.groupBy("user_id").agg(*(F.count_if(F.col("name") == x).alias(f"n_{x}") for x in tables))

@@ -52,6 +52,25 @@ def account_list(accounts: DataFrame, connections: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.coalesce("status", F.lit("error"))).orderBy("institution_name", "subtype", "account_id")
 
 
+def syncable(connections: DataFrame) -> DataFrame:
+    """Connections that a poll should sync: a broken one waits for its user."""
+    return connections.filter("status = 'active'")
+
+
+def after_errors(connections: DataFrame, errors: DataFrame) -> DataFrame:
+    """connections after failed runs (connection_id, kind): terminal kinds set the status, others leave it."""
+    last = errors.select("connection_id", S.terminal_status(F.col("kind")).alias("__s")).filter("__s is not null").groupBy("connection_id").agg(F.max("__s").alias("__s"))
+    return connections.join(last, "connection_id", "left").withColumn("status", F.coalesce("__s", "status")).select(*connections.columns)
+
+
+def user_ids(*tables: DataFrame) -> DataFrame:
+    """Every user that a table names."""
+    rows = None
+    for df in tables:
+        rows = df.select("user_id") if rows is None else rows.union(df.select("user_id"))
+    return rows.distinct()
+
+
 def with_category_style(rows: DataFrame, categories: DataFrame) -> DataFrame:
     style = categories.select("user_id", F.col("name").alias("category"), "color", "icon")
     return rows.join(style, ["user_id", "category"], "left")

@@ -1,4 +1,4 @@
-"""Keyed tables on Parquet: latest-wins merges into versions, and rewrites of touched partitions.
+"""Keyed tables on Parquet: latest-wins merges into versions.
 
 A table is a folder of versions; each merge writes the next one whole and then moves the pointer, so readers see one
 version or the other, and a repeated batch id changes nothing.
@@ -6,10 +6,23 @@ version or the other, and a repeated batch id changes nothing.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df checkpointed in the folder that spark.checkpoint.dir names; a session on this machine alone may do without the setting."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not place and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(place or tempfile.mkdtemp(prefix="tallywork-"))
+    return df.checkpoint()
+
+
 def latest(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """The row of each key that is largest by order."""
     rest = [c for c in df.columns if c not in keys]
@@ -47,8 +60,15 @@ def patch(stored: DataFrame, changes: DataFrame, keys: list[str], clear: tuple[s
     return rows.select(*(value(x) for x in stored.columns))
 
 
-def insert_absent(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    return stored.unionByName(new.join(stored.select(*keys), keys, "left_anti"), allowMissingColumns=True)
+class DuplicateName(ValueError):
+    """A user's new category has the name of one that is there."""
+
+
+def insert_new(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """stored and new; DuplicateName if a key of new is there already."""
+    if not new.join(stored.select(*keys), keys, "left_semi").isEmpty():
+        raise DuplicateName(f"{', '.join(keys)} is there already")
+    return stored.unionByName(new, allowMissingColumns=True)
 
 
 class Table:
@@ -86,15 +106,13 @@ class Table:
         if n and batch and batch <= last:
             return False
         df.write.mode("overwrite").parquet(f"{self.place}/v{n + 1}-{batch}")
+        self.prune(n)
         return True
 
-    def append(self, df: DataFrame) -> None:
-        df.write.mode("append").parquet(f"{self.place}/appended")
-
-    def appended(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.place}/appended")
-
-
-def overwrite_touched(df: DataFrame, place: str, partition: str) -> None:
-    """Write df's partitions in place of the stored ones and leave the others."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(place)
+    def prune(self, oldest: int) -> None:
+        """Remove versions before oldest: the newest and the one that its writer read stay."""
+        fs, p = self._fs(self.place)
+        for s in fs.listStatus(p):
+            name = s.getPath().getName()
+            if name.startswith("v") and int(name[1:].split("-")[0]) < oldest:
+                fs.delete(s.getPath(), True)

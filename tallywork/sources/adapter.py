@@ -61,6 +61,13 @@ SELECT u.n_nationkey AS user_id, r.match_type, r.pattern, r.category, r.priority
 """
 
 
+CATEGORY = """
+SELECT CAST(n_nationkey AS BIGINT) AS user_id, c.name, c.ordinal, c.ordinal % 8 AS color, concat('icon-', lower(c.name)) AS icon, c.is_default, c.archived, c.kind FROM {nation} CROSS JOIN (
+  SELECT 'URGENT' AS name, 0 AS ordinal, true AS is_default, false AS archived, 'expense' AS kind UNION ALL SELECT 'HIGH', 1, true, false, 'income' UNION ALL SELECT 'MEDIUM', 2, true, false, CAST(NULL AS VARCHAR(9))
+  UNION ALL SELECT 'LOW', 3, false, CAST(NULL AS BOOLEAN), 'expense' UNION ALL SELECT 'Old', 4, true, true, 'expense' UNION ALL SELECT 'Subscriptions', 9, false, false, 'expense') c
+"""
+
+
 def load(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "orders", "nation", "supplier") if "{" + t + "}" in text}
     return spark.sql(text.replace("VARCHAR(9)", "STRING").replace("VARCHAR(20)", "STRING"), **tables)
@@ -78,6 +85,10 @@ def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, RULES)
 
 
+def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, CATEGORY)
+
+
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The transaction table with its nested category and merchant key."""
     from ..functions.scalar import merchant_key
@@ -89,8 +100,8 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql(text: str) -> str:
-    """A CTE list t(able) for DuckDB: account, connection, rule and txn, followed by text."""
-    plain = {k: v.format(customer="customer", orders="orders", nation="nation", supplier="supplier") for k, v in (("account", ACCOUNT), ("connection", CONNECTION), ("rule", RULES), ("txn0", TXN))}
+    """A CTE list t(able) for DuckDB: account, connection, rule, cat and txn, followed by text."""
+    plain = {k: v.format(customer="customer", orders="orders", nation="nation", supplier="supplier") for k, v in (("account", ACCOUNT), ("connection", CONNECTION), ("rule", RULES), ("cat", CATEGORY), ("txn0", TXN))}
     key = "trim(regexp_replace(lower(CASE WHEN length(trim(coalesce(merchant_name, ''))) > 0 THEN merchant_name ELSE description END), '[^a-z0-9]+', ' ', 'g'))"
     parts = [f"{k} AS ({v})" for k, v in plain.items()]
-    return "WITH " + ", ".join([*parts, f"txn AS (SELECT *, {key} AS merchant_norm, NOT is_removed AND NOT coalesce(exclude_from_cash_flow, false) AS included FROM txn0)"]) + text
+    return "WITH RECURSIVE " + ", ".join([*parts, f"txn AS (SELECT *, {key} AS merchant_norm, NOT is_removed AND NOT coalesce(exclude_from_cash_flow, false) AS included FROM txn0)"]) + text

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from ..streaming.changefeed import FEED
 
@@ -18,30 +18,36 @@ class Provider:
     def page(self, i: int) -> list[tuple]:
         raise NotImplementedError
 
-    def accounts(self) -> list[dict]:
-        raise NotImplementedError
+
+class Page(InputPartition):
+    def __init__(self, page: int):
+        self.page = page
 
 
-class Reader(SimpleDataSourceStreamReader):
-    def __init__(self, provider: Provider, pages_at_once: int):
-        self.provider, self.at_once = provider, pages_at_once
+class Reader(DataSourceStreamReader):
+    """Offsets count pages; a page is a partition, which an executor fetches."""
+
+    def __init__(self, provider: Provider):
+        self.provider = provider
 
     def initialOffset(self) -> dict:
         return {"page": 0}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        end = max(start["page"], min(self.provider.pages(), start["page"] + self.at_once))
-        return self.readBetweenOffsets(start, {"page": end}), {"page": end}
+    def latestOffset(self) -> dict:
+        return {"page": self.provider.pages()}
+
+    def partitions(self, start: dict, end: dict) -> list[Page]:
+        return [Page(i) for i in range(start["page"], end["page"])]
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([r for i in range(start["page"], end["page"]) for r in self.provider.page(i)])
+    def read(self, partition: Page) -> Iterator[tuple]:
+        return iter(self.provider.page(partition.page))
 
     def commit(self, end: dict) -> None:
         pass
 
 
 def source(provider: type[Provider], short_name: str = "changefeed") -> type[DataSource]:
-    """A data source class over provider, for spark.dataSource.register; option pagesAtOnce limits a batch."""
+    """A data source class over provider, for spark.dataSource.register."""
 
     class ChangeFeedSource(DataSource):
         @classmethod
@@ -51,7 +57,7 @@ def source(provider: type[Provider], short_name: str = "changefeed") -> type[Dat
         def schema(self) -> str:
             return FEED
 
-        def simpleStreamReader(self, schema) -> Reader:
-            return Reader(provider(), int(self.options.get("pagesAtOnce", "5")))
+        def streamReader(self, schema) -> Reader:
+            return Reader(provider())
 
     return ChangeFeedSource

@@ -71,6 +71,13 @@ def test_scalars(spark):
     assert not one(spark, S.similar(F.lit("abcdefghij"), F.lit("abcdefgxyz")))
     assert one(spark, S.dollars(F.lit(123456), "flipped")) == "-$1,235"
     assert one(spark, S.dollars(F.lit(-123456), "explicit")) == "+$1,235"
+    assert [one(spark, S.dollars(F.lit(30), x)) for x in ("plain", "flipped", "explicit")] == ["$0", "-$0", "-$0"]
+    assert one(spark, S.webhook_kind(F.lit('{"webhook_type":"ITEM","webhook_code":"USER_PERMISSION_REVOKED","item_id":"i"}'))) == "item_error:revoked"
+    assert one(spark, S.webhook_kind(F.lit('{"webhook_type":"ITEM","webhook_code":"ERROR","item_id":"i","error":{"error_code":"ITEM_LOGIN_REQUIRED"}}'))) == "item_error:reauth_required"
+    assert one(spark, S.webhook_kind(F.lit('{"webhook_type":"ITEM","webhook_code":"PENDING_EXPIRATION"}'))) == "ignored"
+    kinds = {"ITEM_LOCKED": "reauth_required", "ITEM_NOT_SUPPORTED": "revoked", "TRANSACTIONS_SYNC_MUTATION_DURING_PAGINATION": "mutation_during_pagination", "TRANSACTIONS_SYNC_CURSOR_NOT_FOUND": "invalid_cursor", "ELSE": None}
+    assert {c: one(spark, S.error_kind(F.lit(None).cast("int"), F.lit(c))) for c in kinds} == kinds
+    assert one(spark, S.error_kind(F.lit(400), F.lit(None).cast("string"), F.lit("RATE_LIMIT_EXCEEDED"))) == "rate_limit"
     assert one(spark, S.json_payload(F.lit('x ```json\n[1]\n``` y'))) == "[1]"
     assert one(spark, S.json_payload(F.lit('so: [{"a": 1}] ok'))) == '[{"a": 1}]'
     assert one(spark, S.webhook_kind(F.lit('{"webhook_type":"TRANSACTIONS","webhook_code":"SYNC_UPDATES_AVAILABLE","item_id":"i"}'))) == "sync"
@@ -80,7 +87,8 @@ def test_scalars(spark):
     assert one(spark, S.retry_after_ms(F.lit("soon"))) is None
     assert one(spark, S.days_requested(F.lit(None).cast("double"))) == 30
     assert one(spark, S.days_requested(F.lit(200.0))) == 90
-    assert one(spark, S.synced_ago(F.lit(dt.datetime(2024, 1, 1)), F.lit(dt.datetime(2024, 1, 1, 2, 5)))) == "2h ago"
+    assert one(spark, S.synced_ago(F.lit(dt.datetime(2024, 1, 1)), F.lit(dt.datetime(2024, 1, 1, 2, 5)))) == "Synced 2h ago"
+    assert one(spark, S.synced_ago(F.lit(dt.datetime(2024, 1, 1, 14, 5)), F.lit(dt.datetime(2024, 1, 9)))) == "Synced Jan 1, 2:05 PM"
 
 
 def test_ranges():
@@ -227,6 +235,82 @@ def test_stream_equals_batch(spark, tmp_path):
     assert stored == {(r["month"], r["income"], r["expenses"]) for r in full.filter("income != 0 or expenses != 0").collect()}
 
 
+def test_pattern_that_one_engine_knows(spark):
+    rows = spark.createDataFrame([(1, "Corner Shop"), (1, None)], "user_id int, description string")
+    rules = spark.createDataFrame([(1, "regex", p, c, n, n) for n, (p, c) in enumerate((("[", "Broken"), ("(?P<x>corner)", "Named"), ("shop", "Retail")))], "user_id int, match_type string, pattern string, category string, priority int, ordinal int")
+    assert {r["description"]: r["tier2"] for r in C.pattern_tier(rows, rules).collect()} == {"Corner Shop": "Named", None: None}
+
+
+def test_names_are_unique(spark):
+    stored = spark.createDataFrame([(1, "A")], "user_id int, name string")
+    assert store.insert_new(stored, spark.createDataFrame([(2, "A")], "user_id int, name string"), ["user_id", "name"]).count() == 2
+    with pytest.raises(store.DuplicateName):
+        store.insert_new(stored, stored, ["user_id", "name"])
+
+
+@pytest.mark.parametrize("stop", ["ledger", "rollup", "daily"])
+def test_a_stopped_batch_is_finished(spark, tmp_path, stop, monkeypatch):
+    """A batch that is killed before one of its writes leaves, after a retry, what an unbroken run leaves."""
+    accounts = spark.createDataFrame([("p1", 1, 1, "depository", 1000, D(2023, 1, 1))], "provider_account_id string, account_id long, user_id long, type string, current_balance long, linked_at date")
+    first = feed(spark, [(1, "added", i, f"t{i}", None, "p1", D(2024, 1, 1 + i), 10 + i, False) for i in range(3)] + [(1, "added", 9, "x", None, "nobody", D(2024, 1, 6), 1, False)])
+    second = feed(spark, [(2, "modified", 0, "t1", None, "p1", D(2024, 2, 1), 50, False), (3, "removed", 0, "t2", None, "p1", None, None, None)])
+
+    def tables(sync):
+        frames = (sync.ledger.read(), sync.rollup.read(), sync.daily.read(), sync.dead_letters(), sync.replay().drop("received_at"))
+        return [sorted(map(str, df.collect())) for df in frames]
+
+    whole = cf.Sync(spark, str(tmp_path / "whole"))
+    whole.batch(first, 0, accounts)
+    whole.batch(second, 1, accounts)
+    broken = cf.Sync(spark, str(tmp_path / "broken"))
+    broken.batch(first, 0, accounts)
+    replace = store.Table.replace
+
+    def dies(self, df, batch=0):
+        if self.place.endswith(stop):
+            raise KeyboardInterrupt
+        return replace(self, df, batch)
+
+    monkeypatch.setattr(store.Table, "replace", dies)
+    with pytest.raises(KeyboardInterrupt):
+        broken.batch(second, 1, accounts)
+    monkeypatch.setattr(store.Table, "replace", replace)
+    for _ in range(2):
+        broken.batch(second, 1, accounts)
+        assert tables(broken) == tables(whole)
+    assert len(whole.replay("t1").collect()) == 2 and [r["amount"] for r in whole.replay("t1").collect()] == [11, 50]
+    assert len(list((tmp_path / "whole" / "ledger").glob("v*"))) == 2
+
+
+def test_unknown_accounts_are_refreshed_once(spark, tmp_path):
+    none = spark.createDataFrame([], "provider_account_id string, account_id long, user_id long")
+    calls = []
+
+    def refresh():
+        calls.append(1)
+        return spark.createDataFrame([("p1", 1, 1)], none.schema)
+
+    sync = cf.Sync(spark, str(tmp_path / "s"))
+    sync.batch(feed(spark, [(1, "added", 0, "a", None, "p1", D(2024, 1, 5), 10, False), (1, "added", 1, "b", None, "p9", D(2024, 1, 5), 10, False)]), 0, none, refresh=refresh)
+    assert len(calls) == 1 and [r["provider_tx_id"] for r in sync.ledger.read().collect()] == ["a"] and [r["provider_tx_id"] for r in sync.dead_letters().collect()] == ["b"]
+    # A feed that touches nothing leaves no new rollup.
+    before = sync.rollup.version()
+    sync.batch(feed(spark, [(2, "removed", 0, "never", None, "p1", None, None, None)]), 1, none)
+    assert sync.rollup.version() == before and sync.ledger.version()[1] == 2
+
+
+def test_triggers_of_a_stream_are_those_of_a_batch(spark, tmp_path):
+    rows = [(k, dt.datetime(2024, 1, 1, h, m)) for k in "ab" for h in range(3) for m in range(0, 60, 7)]
+    events = spark.createDataFrame(rows, "key string, at timestamp")
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = cf.queue_view(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {tuple(r) for r in spark.read.schema(events.schema).parquet(str(tmp_path / "out")).collect()}
+    want = {tuple(r) for r in cf.queue_view(events).collect()}
+    # The last window stays open in a stream.
+    assert got <= want and all(t >= dt.datetime(2024, 1, 1, 2, 40) for _, t in want - got) and len(want) == 36
+
+
 def test_drain_restarts():
     calls = []
 
