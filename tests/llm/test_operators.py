@@ -91,6 +91,14 @@ def test_packing(request, which):
     assert seen == ids and not now
 
 
+def test_packing_keeps_the_order_of_windows(docs):
+    rows = packing.pack(docs, tokens.vocabulary("byte_bpe_50k.json"), window=F.col("doc_id") % 4).collect()
+    spans = collections.defaultdict(list)
+    for r in rows:
+        spans[r["doc_id"] % 4].append(r["sequence_id"] * 2048 + r["offset"])
+    assert all(max(spans[i]) < min(spans[i + 1]) for i in range(3))
+
+
 def test_packing_nothing(none):
     assert packing.pack(none, tokens.vocabulary("byte_bpe_50k.json")).count() == 0
 

@@ -7,7 +7,7 @@ import numpy as np
 import corpus_pipeline as pipe
 from tallywork.llm import mixing, quality, tokens
 
-from .test_operators import brute_components, normal, texts_of
+from .test_operators import ODD, brute_components, normal, texts_of
 
 
 def test_stages(spark, sf, tmp_path):
@@ -40,7 +40,33 @@ def test_stages(spark, sf, tmp_path):
             made.append((r["doc_id"], *now))
             now = []
     assert sorted(made) == ids
+    # The curriculum's order holds among its windows: no window begins before the one ahead of it has ended.
+    copies = collections.Counter(d for d, _ in texts[4])
+    window = {r["doc_id"]: r["file_name"] for r in kept[4].select("doc_id", "_metadata.file_name").collect()}
+    spans = collections.defaultdict(list)
+    for r in kept[5].collect():
+        if copies[r["doc_id"]] == 1:
+            spans[window[r["doc_id"]]].append(r["sequence_id"] * 2048 + r["offset"])
+    ordered = [spans[k] for k in sorted(spans)]
+    assert ordered and all(max(a) < min(b) for a, b in zip(ordered, ordered[1:], strict=False))
 
 
 def test_run(spark, sf):
     assert pipe.run(spark, sf).count() > 0 and pipe.ORACLE_SQL is None
+
+
+def test_odd_rows_and_empty_tables(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame([(*r, None) for r in ODD], docs.schema)
+    for name, df in (("odd", docs.limit(50).unionByName(odd).unionByName(odd)), ("none", docs.limit(0))):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        rows = pipe.run(spark, f"{tmp_path}/{name}").collect()
+        assert bool(rows) == (name == "odd")
+        held = collections.Counter()
+        for r in rows:
+            held[r["sequence_id"]] += r["length"]
+        assert all(held[s] == 2048 for s in held if s != max(held))
+    # Rows that don't come from files have no windows, and are packed all the same.
+    assert pipe.position_window(docs) is not None and pipe.position_window(odd) is None
+    assert pipe.pack_sequences(spark, odd, sf).agg({"length": "sum"}).first()[0] > 0
