@@ -2,6 +2,10 @@
 
 import datetime as dt
 import math
+import os
+import runpy
+import shutil
+import sys
 
 import duckdb
 import pytest
@@ -343,3 +347,15 @@ def test_provider_stream(spark, tmp_path):
         time.sleep(0.5)
     q.stop()
     assert spark.table("feed_rows").count() == 3
+
+
+def test_entry_lacks_only_optional_modules(tmp_path, monkeypatch):
+    path = shutil.copy(os.path.join(os.path.dirname(__file__), "..", "__spark_entry__.py"), tmp_path)
+    monkeypatch.syspath_prepend(str(tmp_path))
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    got = runpy.run_path(path)
+    assert "pipeline" not in got["queries"]() and "ledger_view" in got["queries"]()
+    monkeypatch.delitem(sys.modules, "corpus_pipeline")
+    (tmp_path / "corpus_pipeline.py").write_text("import module_that_is_absent\n")
+    with pytest.raises(ImportError, match="module_that_is_absent"):
+        runpy.run_path(path)
