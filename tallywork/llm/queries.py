@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, jaccard_join, mixing, ngram_lm, packing, quality, sstable, toxicity, warc
+from . import exact_dedup, fingerprints, jaccard_join, merkle, mixing, ngram_lm, packing, quality, sstable, toxicity, warc
 
 QUERIES = {
     "op1_hilbert_packing": packing.op1_hilbert_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_quality_classifier": quality.op10_quality_classifier,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
 }
 
 SQL = {
