@@ -29,8 +29,6 @@ from .common import materialize, read_table, run_dir
 #: Children of a parent, levels of a block, characters of a digest.
 FAN, DEPTH, HEX = 3, 6, 64
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
-#: The tree that has the sources' subroots as leaves.
-TOP = F.lit("").alias
 
 
 def field(value: Column) -> Column:
@@ -145,7 +143,7 @@ def manifest(leaves: DataFrame) -> DataFrame:
     nodes = ranked(leaves.select(tree_of(F.col("source")).alias("tree"), *rest), order, f"{place}/leaves")
     rounds, subroots = build(nodes.select("tree", "levels", "idx", F.col("leaf").alias("hash"), F.struct(*rest).alias("carry")), f"{place}/sources")
     # The tree of subroots; its nodes carry the names of their trees.
-    tops = ranked(subroots.select(TOP("tree"), F.col("tree").alias("name"), "hash"), ["name"], f"{place}/subroots")
+    tops = ranked(subroots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "hash"), ["name"], f"{place}/subroots")
     upper, root = build(tops.select("tree", "levels", "idx", "hash", F.col("name").alias("carry")), f"{place}/top")
     none = F.array().cast("array<struct<preimage:string,slot:int>>")
     above = ancestors(upper, root.select("tree", none.alias("path"), F.col("hash").alias("root")))
