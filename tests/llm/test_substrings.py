@@ -1,0 +1,109 @@
+"""Substring deduplication against windows in a dictionary."""
+
+import collections
+import hashlib
+import random
+
+import duckdb
+import numpy as np
+import pytest
+
+from tallywork.llm import substrings
+
+from .test_operators import docs, none, odd  # noqa: F401
+
+
+def ordered(rows):
+    return sorted(((d, (t or "").encode().split()) for d, t in rows), key=lambda x: (x[0] is None, x[0] or 0))
+
+
+def brute(rows, window):
+    """(doc_id, words, kept words) by rows in order of doc_id."""
+    seen, out = set(), []
+    for d, words in ordered(rows):
+        gone = set()
+        for i in range(len(words) - window + 1):
+            w = tuple(words[i : i + window])
+            if w in seen:
+                gone.update(range(i, i + window))
+            seen.add(w)
+        out.append((d, len(words), len(gone), b" ".join(x for i, x in enumerate(words) if i not in gone).decode()))
+    return sorted(out, key=str)
+
+
+def longest(rows, first):
+    best, length = collections.Counter(), 2 * first
+    rows = ordered(rows)
+    while True:
+        places = collections.defaultdict(list)
+        for r, (_, words) in enumerate(rows):
+            for i in range(len(words) - length + 1):
+                places[tuple(words[i : i + length])].append(r)
+        found = {r for rs in places.values() if len(rs) > 1 for r in rs}
+        if not found:
+            return sorted(((d, best[r]) for r, (d, _) in enumerate(rows)), key=str)
+        for r in found:
+            best[r] = length
+        length *= 2
+
+
+def got(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize("which", ["docs", "odd", "none"])
+def test_whole_query(request, spark, tmp_path, which):
+    df = request.getfixturevalue(which)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute([(r["doc_id"], r["text"]) for r in df.collect()], 20)
+    out = got(substrings.op12_substring_dedup(spark, str(tmp_path)))
+    assert [(r[0], r[1], r[2]) for r in out] == [r[:3] for r in want]
+    assert {r[3] for r in out} == {hashlib.sha256(r[3].encode()).hexdigest() for r in want}
+    if which == "docs":
+        c = duckdb.connect()
+        c.sql(f"create view documents as from '{tmp_path}/documents.parquet/*.parquet'")
+        assert sorted(map(str, c.sql(substrings.OP12_SQL).fetchall())) == sorted(map(str, out))
+
+
+@pytest.mark.parametrize("window,first", [(2, 1), (8, 2), (12, 3), (20, 10)])
+def test_many_segments(spark, monkeypatch, window, first):
+    """Small segments, few words, overlapping repeats, copies within a document and between documents, equal identifiers."""
+    rng = random.Random(window)
+    rows = [(rng.choice([None, *range(30)]), " ".join(rng.choice("abc") for _ in range(rng.randint(0, 40)))) for _ in range(40)]
+    rows = [*{(i, r[1]) for i, r in enumerate(rows)}, (99, "x y " * 60), (98, rows[3][1] + " " + rows[4][1]), (None, rows[5][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    cut = substrings.segments
+    monkeypatch.setattr(substrings, "segments", lambda d: cut(d, 200))
+    assert got(substrings.drop_repeats(df, window, first)) == brute(rows, window)
+    assert got(substrings.longest_repeats(df, first)) == longest(rows, first)
+
+
+def test_repeated_rows_keep_one(spark):
+    text = " ".join(map(str, range(50)))
+    out = got(substrings.drop_repeats(spark.createDataFrame([(7, text)] * 3 + [(None, text)], "doc_id long, text string").repartition(3)))
+    assert [r[0] for r in out if r[2] == 0] == [7] and sum(r[2] for r in out) == 150
+
+
+def test_no_candidate_ends_the_levels(spark, monkeypatch):
+    lengths = []
+    count = substrings.count_level
+    monkeypatch.setattr(substrings, "count_level", lambda segs, ls, *rest: lengths.append(ls[-1]) or count(segs, ls, *rest))
+    df = spark.createDataFrame([(1, " ".join(map(str, range(90)))), (2, "a b c")], "doc_id long, text string")
+    assert [r[2] for r in got(substrings.drop_repeats(df))] == [0, 0] and lengths == [10]
+    assert [r[1] for r in got(substrings.longest_repeats(df.union(df)))] == [80, 80, 0, 0]
+    assert lengths[1:] == [10, 20, 40, 80, 160]
+
+
+def test_window_must_be_doubled(spark):
+    for window, first in ((10, 10), (30, 10), (25, 10)):
+        with pytest.raises(ValueError):
+            substrings.drop_repeats(spark.createDataFrame([], "doc_id long, text string"), window, first)
+
+
+def test_word_hashes_over_chunks(monkeypatch):
+    body = np.frombuffer(b" ab cd\tab  " + b"z" * 500 + b" ab\n", np.uint8)
+    s, e = substrings.word_spans(body)
+    assert [body[a:b].tobytes() for a, b in zip(s, e, strict=True)] == body.tobytes().split()
+    whole = substrings.word_hashes(body, s, e)
+    monkeypatch.setattr(substrings, "CHUNK", 4)
+    assert (substrings.word_hashes(body, s, e) == whole).all() and len(set(whole.tolist())) == 3
