@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, jaccard_join, merkle, mixing, ngram_lm, packing, quality, sstable, substrings, toxicity, warc
+from . import exact_dedup, fingerprints, jaccard_join, merkle, mixing, negatives, ngram_lm, packing, quality, sstable, substrings, toxicity, warc
 
 QUERIES = {
     "op1_hilbert_packing": packing.op1_hilbert_packing,
@@ -17,10 +17,12 @@ QUERIES = {
     "op10_quality_classifier": quality.op10_quality_classifier,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op12_substring_dedup": substrings.op12_substring_dedup,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
 }
 
 SQL = {
     "op5_curriculum_mix": mixing.OP5_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op12_substring_dedup": substrings.OP12_SQL,
+    "op13_hard_negatives": negatives.OP13_SQL,
 }

@@ -1,0 +1,78 @@
+"""Hard negatives against all pairs."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tallywork.llm import negatives
+
+SCHEMA = "vec_id long, embedding array<float>, label int, score long, block int"
+
+
+def brute(rows, every=100, low=30, high=90, top=5, most=10):
+    """Of (vec_id, vector, label): rows of the result, sorted."""
+    used = [(v, [math.floor(256 * float(np.float32(x))) for x in e], la) for v, e, la in rows if v is not None and la is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=False))
+    out = []
+    for i, (v, e, la) in enumerate(used):
+        if v % every:
+            continue
+        scored = sorted((-dot(e, f), w, j, lb) for j, (w, f, lb) in enumerate(used) if j != i)
+        for s, w, _, _ in [x for x in scored if x[3] == la][:top]:
+            fit = [x for x in scored if x[3] != la and 30 * -s <= 100 * -x[0] <= 90 * -s][:most]
+            out += [(v, w, r + 1, x[1], -s, -x[0]) for r, x in enumerate(fit)]
+    return sorted(out)
+
+
+def found(df):
+    return sorted(tuple(r) for r in df.select("anchor_id", "positive_id", F.col("rank").cast("int"), "negative_id", "positive_score", "negative_score").collect())
+
+
+def moved(rows):
+    return [(v, e, (la + 1) % 10 if v is not None and la is not None and v % 7 == 0 else la) for v, e, la in rows]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_whole_table(spark, sf, monkeypatch, small):
+    if small:  # many tiles and chunks
+        monkeypatch.setattr(negatives, "ANCHORS", 2)
+        monkeypatch.setattr(negatives, "ROWS", 60)
+        monkeypatch.setattr(negatives, "DIMS", 10)
+    rows = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    got = found(negatives.op13_hard_negatives(spark, sf))
+    assert got == brute(moved(rows)) and len(got) > 100
+
+
+def test_odd_rows(spark, tmp_path, monkeypatch):
+    """Nulls, values that are not finite, vectors of other lengths, equal vectors, rows that repeat, negative scores, columns of clashing names."""
+    monkeypatch.setattr(negatives, "ROWS", 16)
+    monkeypatch.setattr(negatives, "DIMS", 3)
+    rng = random.Random(3)
+    rows = [(i * 20, [rng.choice([-1.0, 0.5, 1.0, 0.25]) for _ in range(rng.choice([0, 3, 4, 7]))], rng.randint(0, 2)) for i in range(60)]
+    rows += [(100, None, 1), (None, [1.0], 1), (200, [1.0], None), (300, [1.0, None], 1), (400, [float("nan")], 1), (500, [float("inf")], 1), rows[10], rows[10], rows[11], (1_000_000_000_000, [-0.5] * 4, 1)]
+    df = spark.createDataFrame([(*r, 0, 0) for r in rows], SCHEMA)
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert found(negatives.op13_hard_negatives(spark, str(tmp_path))) == brute(moved(rows))
+    for few in (df.limit(0), df.filter("vec_id = 20"), df.filter("vec_id = 0")):
+        assert found(negatives.mine(few.select("vec_id", "label", "embedding"), F.col("vec_id") % 100 == 0)) == []
+
+
+def test_products_are_exact():
+    rng = np.random.default_rng(1)
+    for most in (300, 1 << 26, 1 << 29):
+        a, b = (rng.integers(-most, most, (5, 8)) for _ in range(2))
+        assert negatives.product(a, b).tolist() == [[sum(int(x) * int(y) for x, y in zip(r, s, strict=True)) for s in b] for r in a]
+    assert negatives.smallest_kind(np.array([-(1 << 15)])) == "<i4" and negatives.smallest_kind(np.array([300])) == "<i2"
+    held = negatives.quantised([[1e300, -1e300, 0.999]], 4)
+    assert held.tolist() == [[int(np.nextafter(2.0**63, 0)), -(1 << 63), 255, 0]]
+
+
+def test_windows_take_both_ends(spark):
+    """Scores of exactly 30 and 90 percent belong to it."""
+    rows = [(0, [10.0], 0), (1, [10.0], 0), (2, [9.0], 1), (3, [3.0], 1), (4, [9.01], 1), (5, [2.99], 1), (6, [5.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = found(negatives.mine(df, F.col("vec_id") == 0))
+    assert [r[3] for r in got] == [2, 6, 3]
