@@ -7,6 +7,7 @@ Parquet and read again as the next one's docs. All but the last return the colum
 from __future__ import annotations
 
 import functools
+import warnings
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,21 +18,28 @@ from tallywork.llm.common import materialize, read_table, recorded, remove, run_
 from tallywork.llm.tokens import vocabulary
 
 
-_left: list[str] = []
+#: Documents of a window of training positions.
+WINDOW_ROWS = 1024
+#: Intermediate tables of the latest call of each stage but the last, by the stage's name.
+_left: dict[str, list[str]] = {}
 
 
 def stage(f):
-    """f as a stage: intermediate tables of the stages before it go, as their results have been written, unless docs still reads them."""
+    """f as a stage, which first removes the intermediate tables of the stage before it: that one's result has been written, as docs reads it.
+
+    Those of the last stage stay, as its result may be read at any later time, also after other runs.
+    """
 
     @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        read = docs.inputFiles()
-        done = [x for x in _left if not any(x.split(":", 1)[-1].lstrip("/") in y for y in read)]
-        remove(spark, done)
-        _left[:] = [x for x in _left if x not in done]
+        names = [g.__name__ for _, g in STAGES]
+        place = names.index(f.__name__)
+        if place:
+            remove(spark, _left.pop(names[place - 1], []))
         with recorded() as made:
             out = f(spark, docs, sf_dir)
-        _left.extend(made)
+        if place < len(names) - 1:
+            _left.setdefault(f.__name__, []).extend(made)
         return out
 
     return run_stage
@@ -62,13 +70,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def position_window(docs: DataFrame) -> Column | None:
-    """The part file of each row. The stage before writes its range-sorted rows one range a file, so a file is a window of training positions."""
-    name = F.col("_metadata.file_name")
+    """A name of each row's window, WINDOW_ROWS neighbours in training order; None, with a warning, for rows that are not read from Parquet.
+
+    The stage before writes its rows sorted by position, so the file's name and the row's place in it give the order,
+    whatever the number and the size of the files.
+    """
+    at = F.col("_metadata.row_index")
     try:
-        docs.select(name)
-    except AnalysisException:  # rows that don't come from files have no order
+        docs.select(at)
+    except AnalysisException:
+        warnings.warn("the documents are not read from Parquet: they have no training order", stacklevel=2)
         return None
-    return name
+    return F.concat_ws("/", F.col("_metadata.file_name"), F.lpad(F.expr(f"_metadata.row_index div {WINDOW_ROWS}").cast("string"), 12, "0"))
 
 
 @stage
@@ -90,8 +103,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs, place = read_table(spark, sf_dir, "documents"), run_dir(spark, "pipeline")
-    for i, (_, apply) in enumerate(STAGES[:-1]):
-        docs = materialize(apply(spark, docs, sf_dir), f"{place}/{i}")
+    """All stages over documents. Tables between stages go as soon as the next stage's result is written; those that the last result reads stay."""
+    docs, before = read_table(spark, sf_dir, "documents"), []
+    for _, apply in STAGES[:-1]:
+        place = run_dir(spark, "pipeline")
+        docs = materialize(apply(spark, docs, sf_dir), place)
+        remove(spark, before)
+        before = [place]
     return STAGES[-1][1](spark, docs, sf_dir)
