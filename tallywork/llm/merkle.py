@@ -140,7 +140,9 @@ def manifest(leaves: DataFrame) -> DataFrame:
     place = run_dir(leaves.sparkSession, "merkle")
     rest = [c for c in leaves.columns if c != "source"]
     order = ["doc_id", "leaf", *(c for c in rest if c not in ("doc_id", "leaf"))]
-    nodes = ranked(leaves.select(tree_of(F.col("source")).alias("tree"), *rest), order, f"{place}/leaves")
+    # The range sort reads its input twice; the digests are stored first, so that texts are hashed once.
+    thin = materialize(leaves.select(tree_of(F.col("source")).alias("tree"), *rest), f"{place}/digests")
+    nodes = ranked(thin, order, f"{place}/leaves")
     rounds, subroots = build(nodes.select("tree", "levels", "idx", F.col("leaf").alias("hash"), F.struct(*rest).alias("carry")), f"{place}/sources")
     # The tree of subroots; its nodes carry the names of their trees.
     tops = ranked(subroots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "hash"), ["name"], f"{place}/subroots")
