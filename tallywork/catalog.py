@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalar as S
@@ -57,6 +58,14 @@ def _(txn):
     return A.spending(txn, *YEAR, income=True)
 
 
+@query("largest_spending", f" SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY total DESC, category) AS INT) AS place, category, total FROM (SELECT user_id, category_value AS category, CAST(sum(amount) AS BIGINT) AS total FROM txn WHERE included AND amount > 0 AND {IN_YEAR} GROUP BY 1, 2)")
+def _(txn):
+    """The order of by_total(), made a column."""
+    order = Window.partitionBy("user_id").orderBy("__at")
+    rows = A.by_total(A.spending(txn, *YEAR)).withColumn("__at", F.monotonically_increasing_id())
+    return rows.select("user_id", F.row_number().over(order).alias("place"), "category", "total")
+
+
 @query(
     "spending_compared",
     f""" SELECT 'current' AS facet, user_id, category_value AS category, CAST(sum(amount) AS BIGINT) AS total FROM txn WHERE included AND amount > 0 AND {IN_YEAR} GROUP BY 2, 3
@@ -207,9 +216,9 @@ def _(txn, accounts):
 RECURRING = """, c AS (SELECT user_id, tx_id, merchant_norm, coalesce(merchant_name, merchant_norm) AS merchant_name, amount, date FROM txn WHERE included AND NOT pending AND amount > 0 AND length(merchant_norm) > 0),
 gaps AS (SELECT *, date_diff('day', lag(date) OVER w, date) AS gap FROM c WINDOW w AS (PARTITION BY user_id, merchant_norm ORDER BY date, tx_id)),
 g AS (SELECT user_id, merchant_norm, count(*) AS n, median(amount) AS med, min(amount) AS lo, max(amount) AS hi, avg(gap) AS gap, stddev_pop(gap) AS dev,
-  arg_max(merchant_name, date * 1) AS merchant_name, max(date) AS last_date, arg_max(amount, date_diff('day', DATE '1970-01-01', date) * 10000000000000 + tx_id) AS amount FROM (SELECT *, date_diff('day', DATE '1970-01-01', date) AS dn FROM gaps) GROUP BY 1, 2),
+  max(merchant_name) AS merchant_name, max(date) AS last_date, arg_max(amount, date_diff('day', DATE '1970-01-01', date) * 10000000000000 + tx_id) AS amount FROM (SELECT *, date_diff('day', DATE '1970-01-01', date) AS dn FROM gaps) GROUP BY 1, 2),
 sub AS (SELECT *, CASE WHEN abs(gap - 30) <= 5 THEN 'monthly' WHEN abs(gap - 365) <= 20 THEN 'annual' END AS frequency FROM g
-  WHERE n >= 3 AND med - lo <= CAST(0.15 AS DOUBLE) * med AND hi - med <= CAST(0.15 AS DOUBLE) * med AND dev <= 5)""".replace("arg_max(merchant_name, date * 1)", "max(merchant_name)")
+  WHERE n >= 3 AND med - lo <= CAST(0.15 AS DOUBLE) * med AND hi - med <= CAST(0.15 AS DOUBLE) * med AND dev <= 5)"""
 
 
 @query("recurring_charges", RECURRING + " SELECT user_id, merchant_norm, amount, CAST(floor(gap + 0.5) AS INT) AS interval_days, frequency, last_date, last_date + CAST(floor(gap + 0.5) AS INT) AS next_date, n AS n_charges FROM sub WHERE frequency IS NOT NULL")
@@ -246,7 +255,7 @@ aged AS (SELECT user_id, tx_id, 4 AS tier, category_value AS category, 'needs_re
 
 @query("transfer_matches", MATCHES + " SELECT * FROM m")
 def _(txn):
-    return X.greedy(X.edges(X.unmatched(txn)))
+    return X.match(X.unmatched(txn))
 
 
 @query("transfer_suggestions", EDGES + " SELECT user_id, anchor, rank, other, CAST(date_diff AS INT) AS date_diff, amount_diff FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id, anchor ORDER BY date_diff, amount_diff, other) AS INT) AS rank FROM e) WHERE rank <= 10")
@@ -257,25 +266,25 @@ def _(txn):
 
 @query("transfer_aging", MATCHES + " SELECT * FROM aged")
 def _(txn):
-    return X.aging(txn, X.greedy(X.edges(X.unmatched(txn))), AS_OF)
+    return X.aging(txn, X.match(X.unmatched(txn)), AS_OF)
 
 
 @query("transfer_counts", MATCHES + """ SELECT user_id, count(*) AS candidates, coalesce(any_value(n_m), 0) AS matched, coalesce(any_value(n_a), 0) AS aged FROM txn LEFT JOIN (SELECT user_id, count(*) AS n_m FROM m GROUP BY 1) USING (user_id)
 LEFT JOIN (SELECT user_id, count(*) AS n_a FROM aged GROUP BY 1) USING (user_id) WHERE NOT is_removed AND NOT pending GROUP BY 1""")
 def _(txn):
     pool = X.unmatched(txn)
-    pairs = X.greedy(X.edges(pool))
+    pairs = X.match(pool)
     return X.run_counts(pool, pairs, X.aging(txn, pairs, AS_OF))
 
 
 @query("transfer_links", MATCHES + " SELECT user_id, anchor AS tx_id, 'g-' || anchor AS transfer_group_id FROM m UNION ALL SELECT user_id, other, 'g-' || anchor FROM m")
 def _(txn):
-    return X.link(txn, X.greedy(X.edges(X.unmatched(txn)))).filter("transfer_group_id is not null").select("user_id", "tx_id", "transfer_group_id")
+    return X.link(txn, X.match(X.unmatched(txn))).filter("transfer_group_id is not null").select("user_id", "tx_id", "transfer_group_id")
 
 
 TIERS = """, o AS (SELECT user_id, tx_id, merchant_norm, description FROM txn WHERE category_tier = 4 AND category_value = 'Uncategorized' AND category_status = 'needs_review'),
 t1 AS (SELECT user_id, pattern AS merchant_norm, arg_max(category, ordinal) AS tier1 FROM rule WHERE match_type = 'exact' GROUP BY 1, 2),
-t2 AS (SELECT d.user_id, d.description, arg_min(r.category, r.priority * 1000 + r.ordinal) AS tier2 FROM (SELECT DISTINCT user_id, description FROM o) d JOIN (SELECT * FROM rule WHERE match_type = 'regex' AND pattern <> 'store (') r ON r.user_id = d.user_id AND regexp_matches(d.description, r.pattern, 'i') GROUP BY 1, 2),
+t2 AS (SELECT d.user_id, d.description, arg_min(r.category, r.priority * 1000 + r.ordinal) AS tier2 FROM (SELECT DISTINCT user_id, description FROM o) d JOIN (SELECT * FROM rule WHERE match_type = 'regex' AND pattern <> 'store (') r ON r.user_id = d.user_id AND regexp_matches(d.description, replace(r.pattern, '(?<', '(?P<'), 'i') GROUP BY 1, 2),
 cm AS (SELECT user_id, merchant_norm AS m, arg_min(category_value, tx_id) AS category, min(tx_id) AS ordinal FROM txn WHERE category_tier = 4 AND category_status = 'confirmed' AND length(merchant_norm) > 0 GROUP BY 1, 2),
 fz AS (SELECT user_id, merchant_norm, category AS fuzzy FROM (SELECT k.user_id, k.merchant_norm, cm.category, row_number() OVER (PARTITION BY k.user_id, k.merchant_norm ORDER BY 1 - levenshtein(k.merchant_norm, cm.m) / CAST(greatest(length(k.merchant_norm), length(cm.m)) AS DOUBLE) DESC, cm.ordinal) AS rn
   FROM (SELECT DISTINCT user_id, merchant_norm FROM o) k JOIN cm ON cm.user_id = k.user_id AND 5 * levenshtein(k.merchant_norm, cm.m) <= greatest(length(k.merchant_norm), length(cm.m))) WHERE rn = 1)"""
@@ -392,11 +401,26 @@ def _(connections):
 
 
 @query("synced_labels", """ SELECT connection_id, CASE WHEN last_synced_at IS NULL THEN 'Never synced yet' WHEN m < 1 THEN 'Synced just now' WHEN m < 60 THEN 'Synced ' || m || 'm ago' WHEN m < 1440 THEN 'Synced ' || m // 60 || 'h ago' ELSE strftime(t, 'Synced %b %-d, %-I:%M %p') END AS label
-FROM (SELECT *, CAST(date_diff('second', t, TIMESTAMP '2001-08-01 10:30:00') AS BIGINT) // 60 AS m FROM (SELECT *, CAST(last_synced_at AS TIMESTAMP) + to_minutes(CAST(connection_id * 37 AS BIGINT)) AS t FROM connection WHERE connection_id < 17 OR last_synced_at < DATE '2001-08-01'))""")
+FROM (SELECT *, CAST(date_diff('second', t, TIMESTAMP '2001-08-01 10:30:00') AS BIGINT) // 60 AS m FROM (SELECT *, CAST(last_synced_at AS TIMESTAMP) + to_minutes(CAST(connection_id * 37 AS BIGINT)) AS t FROM connection))""")
 def _(connections):
-    seen = connections.filter("connection_id < 17 or last_synced_at < date'2001-08-01'")
     at = F.col("last_synced_at").cast("timestamp") + F.make_dt_interval(mins=(F.col("connection_id") * 37).cast("int"))
-    return seen.select("connection_id", S.synced_ago(at, F.lit("2001-08-01 10:30:00").cast("timestamp")).alias("label"))
+    return connections.select("connection_id", S.synced_ago(at, F.lit("2001-08-01 10:30:00").cast("timestamp")).alias("label"))
+
+
+@query("user_by_email", " SELECT user_id, email FROM (SELECT DISTINCT user_id, concat('user', user_id, '@example.org') AS email FROM account) WHERE user_id = 7")
+def _(accounts):
+    users = accounts.select("user_id", F.concat(F.lit("user"), "user_id", F.lit("@example.org")).alias("email")).distinct()
+    return L.by_email(users, "User7@Example.ORG")
+
+
+@query("accounts_renamed", """ SELECT account_id, user_id, CASE WHEN account_id % 4 = 0 THEN concat('Account ', account_id) WHEN account_id % 10 <> 5 THEN nickname END AS nickname, CASE WHEN account_id % 3 = 0 THEN true ELSE archived END AS archived FROM account""")
+def _(accounts):
+    """Names set, names cleared, accounts archived; the same asked for by users who don't own them changes nothing."""
+    mine = F.when(F.col("account_id") % 4 == 0, F.concat(F.lit("Account "), "account_id")).alias("nickname")
+    own = accounts.filter("account_id % 4 = 0 or account_id % 10 = 5").select("user_id", "account_id", mine)
+    others = accounts.filter("account_id % 4 = 1 and account_id % 10 != 5").select((F.col("user_id") + 1).alias("user_id"), "account_id", F.lit("Not mine").alias("nickname"))
+    chosen = accounts.filter("account_id % 3 = 0").select("user_id", "account_id").union(accounts.filter("account_id % 3 = 1").select(F.col("user_id") + 1, "account_id"))
+    return L.archive_accounts(L.rename_accounts(accounts, own.union(others)), chosen).select("account_id", "user_id", "nickname", "archived")
 
 
 @query("user_ids", " SELECT DISTINCT user_id FROM (SELECT user_id FROM account UNION ALL SELECT user_id FROM connection)")
@@ -418,13 +442,13 @@ def _(txn):
     return R.active(R.reconcile(found, stored)).select("user_id", "merchant_norm")
 
 
-@query("notified", " SELECT 'sync' AS type, c.user_id, c.connection_id FROM connection c WHERE c.user_id = 3")
+@query("notified", " SELECT 'sync' AS type, c.user_id, c.connection_id FROM connection c")
 def _(connections):
-    """Finished jobs of every connection, and of one that nobody has, as one user sees them."""
+    """Finished jobs of every connection, and of one that nobody has, as each user sees them."""
     from .streaming.changefeed import notifications
 
     jobs = connections.select(F.lit("sync").alias("type"), "connection_id").union(connections.sparkSession.sql("select 'sync' as type, -1L as connection_id"))
-    return notifications(jobs, connections, 3)
+    return notifications(jobs, connections)
 
 
 @query("ledger_view", """ SELECT t.user_id, tx_id, date, amount, coalesce(merchant_override, merchant_name, merchant_norm) AS merchant, description, pending, category_value AS category, category_status AS status, category_tier AS tier, false AS is_transfer,
@@ -438,6 +462,12 @@ def _(txn):
     return L.page(txn, 3, 3, 25, status="confirmed", start=D(1996, 1, 1))[0].select("tx_id", "date", "amount")
 
 
+@query("pages_have_more", " SELECT n AS page, (SELECT count(*) FROM txn WHERE user_id = 3 AND NOT is_removed AND category_status = 'needs_review') > n * 40 AS has_more FROM unnest([1, 2, 3, 4, 5]) AS t(n)")
+def _(txn):
+    pages = [L.page(txn, 3, n, 40, status="needs_review")[1].select(F.lit(n).alias("page"), "has_more") for n in range(1, 6)]
+    return reduce(DataFrame.union, pages)
+
+
 @query("review_queue", " SELECT user_id, tx_id, amount FROM txn WHERE NOT is_removed AND category_status = 'needs_review'")
 def _(txn):
     return L.needs_review(txn).select("user_id", "tx_id", "amount")

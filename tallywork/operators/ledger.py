@@ -11,8 +11,27 @@ from .aggregate import in_range
 
 
 def by_id(df: DataFrame, column: str, value) -> DataFrame:
-    """The row of an id; none for a value that the column can't hold."""
-    return df.filter(F.col(column).cast("string") == str(value)).limit(1)
+    """The row of an id; none for a value that the column can't hold. The value is cast, not the column, so the filter reaches the scan."""
+    kind = df.schema[column].dataType
+    return df.filter(F.col(column) == F.lit(str(value)).try_cast(kind)).limit(1)
+
+
+def by_email(users: DataFrame, email: str) -> DataFrame:
+    """The user of an address; stored addresses are in lower case."""
+    return users.filter(F.col("email") == email.lower()).limit(1)
+
+
+def rename_accounts(accounts: DataFrame, changes: DataFrame) -> DataFrame:
+    """accounts with new nicknames (user_id, account_id, nickname; null clears it); those of another user's accounts change nothing."""
+    c = changes.select("user_id", "account_id", F.struct("nickname").alias("__c"))
+    rows = accounts.join(c, ["user_id", "account_id"], "left")
+    return rows.withColumn("nickname", F.when(F.col("__c").isNotNull(), F.col("__c.nickname")).otherwise(F.col("nickname"))).select(*accounts.columns)
+
+
+def archive_accounts(accounts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """accounts of which the chosen (user_id, account_id) are archived; another user's stay as they are."""
+    rows = accounts.join(chosen.select("user_id", "account_id", F.lit(True).alias("__c")).distinct(), ["user_id", "account_id"], "left")
+    return rows.withColumn("archived", F.coalesce("__c", "archived")).select(*accounts.columns)
 
 
 def by_date(txn: DataFrame, user_id, start, end, with_removed: bool = False) -> DataFrame:

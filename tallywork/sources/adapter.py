@@ -23,7 +23,7 @@ FROM {customer}
 CONNECTION = """
 SELECT CAST(s_suppkey AS BIGINT) AS connection_id, CAST(s_nationkey AS BIGINT) AS user_id, CASE WHEN s_suppkey % 5 = 0 THEN 'login_required' WHEN s_suppkey % 7 = 0 THEN 'error' ELSE 'active' END AS status,
   CASE WHEN s_suppkey % 3 > 0 THEN DATE '2001-08-01' - CAST(s_suppkey % 30 AS INT) END AS last_synced_at, s_name AS provider_item_id
-FROM {supplier} WHERE s_suppkey < 35
+FROM {supplier}
 """
 
 TXN = """
@@ -57,7 +57,8 @@ FROM everything
 RULES = """
 SELECT u.n_nationkey AS user_id, r.match_type, r.pattern, r.category, r.priority, r.ordinal FROM (SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey FROM {nation}) u CROSS JOIN (
   SELECT 'exact' AS match_type, 'sq shop 1' AS pattern, 'Groceries' AS category, 0 AS priority, 1 AS ordinal UNION ALL SELECT 'exact', 'sq shop 1', 'Dining', 0, 2 UNION ALL SELECT 'exact', 'sq shop 7', 'Travel', 0, 3
-  UNION ALL SELECT 'regex', 'store 1[0-9]', 'Home', 2, 4 UNION ALL SELECT 'regex', 'STORE 12', 'Garden', 1, 5 UNION ALL SELECT 'regex', 'store (', 'Broken', 0, 6 UNION ALL SELECT 'regex', '^purchase at store 3', 'Fuel', 1, 7) r
+  UNION ALL SELECT 'regex', 'store 1[0-9]', 'Home', 2, 4 UNION ALL SELECT 'regex', 'STORE 12', 'Garden', 1, 5 UNION ALL SELECT 'regex', 'store (', 'Broken', 0, 6 UNION ALL SELECT 'regex', '^purchase at store 3', 'Fuel', 1, 7
+  UNION ALL SELECT 'regex', concat('(?<place>store) (?:', chr(92), 'd|2', chr(92), 'd)$'), 'Numbered', 3, 8) r
 """
 
 

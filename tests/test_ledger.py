@@ -3,9 +3,11 @@
 import datetime as dt
 import math
 import os
+import random
 import runpy
 import shutil
 import sys
+import time
 
 import duckdb
 import pytest
@@ -14,6 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallywork import catalog
+from tallywork.functions import patterns as P
 from tallywork.functions import ranges
 from tallywork.functions import scalar as S
 from tallywork.operators import aggregate as A
@@ -165,7 +168,35 @@ def brute_pairs(rows, days=3, cents=100):
 def test_greedy_pairs(spark, raw):
     rows = [(1, i, acc, amt, D(2024, 1, 1) + dt.timedelta(day), sig) for i, (acc, amt, day, sig) in enumerate(raw)]
     df = spark.createDataFrame(rows, "user_id long, tx_id long, account_id long, amount long, date date, signal boolean")
-    assert sorted((r["anchor"], r["other"]) for r in X.greedy(X.edges(df)).collect()) == brute_pairs(rows)
+    assert sorted((r["anchor"], r["other"]) for r in X.match(df).collect()) == brute_pairs(rows)
+
+
+def test_equal_rows_are_paired_without_edges(spark):
+    """Thousands of rows alike: every turn looks at one kind of partner, and pairs go by id."""
+    n = 1200
+    rows = [(1, i, i % 2, 500 if i % 2 else -500, D(2024, 1, 1), i % 3 == 0) for i in range(n)]
+    df = spark.createDataFrame(rows, "user_id long, tx_id long, account_id long, amount long, date date, signal boolean")
+    assert sorted((r["anchor"], r["other"]) for r in X.match(df).collect()) == brute_pairs(rows)
+    top = X.suggestions(df, df)
+    assert top.count() == 10 * n and {r["anchor"]: r["other"] for r in top.filter("rank = 1 and anchor < 2").collect()} == {0: 1, 1: 0}
+    looked = []
+    sweep = X.Sweep(3, 100)
+    nearest = sweep.nearest
+    sweep.nearest = lambda *x: looked.append(1) or nearest(*x)
+    for _, tx, account, amount, _, signal in rows:
+        sweep.add(0, tx, account, amount, signal)
+    while sweep.turns:
+        sweep.settle()
+    assert len(looked) <= 4 * n
+
+
+def test_runs_are_independent(spark):
+    """Chains of amounts and dates over cell borders, several users, sides of one account, marks on either side."""
+    rng = random.Random(5)
+    rows = [(rng.randint(1, 3), i, rng.randint(1, 3), rng.choice([-1, 1]) * rng.choice([100, 150, 201, 202, 303, 404, 5000, 5100, 9999]), D(2024, 1, 1) + dt.timedelta(rng.choice([0, 1, 3, 4, 7, 8, 20, 23])), rng.random() < 0.6) for i in range(250)]
+    df = spark.createDataFrame(rows, "user_id long, tx_id long, account_id long, amount long, date date, signal boolean").repartition(3)
+    want = sorted(p for u in (1, 2, 3) for p in brute_pairs([r for r in rows if r[0] == u]))
+    assert sorted((r["anchor"], r["other"]) for r in X.match(df).collect()) == want and len(want) > 30
 
 
 def test_model_results(spark):
@@ -239,10 +270,71 @@ def test_stream_equals_batch(spark, tmp_path):
     assert stored == {(r["month"], r["income"], r["expenses"]) for r in full.filter("income != 0 or expenses != 0").collect()}
 
 
-def test_pattern_that_one_engine_knows(spark):
-    rows = spark.createDataFrame([(1, "Corner Shop"), (1, None)], "user_id int, description string")
-    rules = spark.createDataFrame([(1, "regex", p, c, n, n) for n, (p, c) in enumerate((("[", "Broken"), ("(?P<x>corner)", "Named"), ("shop", "Retail")))], "user_id int, match_type string, pattern string, category string, priority int, ordinal int")
-    assert {r["description"]: r["tier2"] for r in C.pattern_tier(rows, rules).collect()} == {"Corner Shop": "Named", None: None}
+PATTERNS = [
+    (r"(?<x>store)", "a STORE", True), (r"^\d+$", "\u0661\u0662", False), (r"^\d+$", "12\n", False), (r"(?P<x>a)", "a", None), (r"a++", "aa", None), (r"(a", "a", None), (r"\b\u00e9", "\u00e9", False),
+    (r"caf\b", "caf\u00e9", True), (r"a{,3}b", "a{,3}b", True), (r"[^]", "\n", True), (r"[]", "x", False), (r"x[\w-]+y", "xA-_y", True), (r"\u0041", "a", True), (r"(?<y>a)\k<y>", "xAa", True),
+    (r"(a)|b\1$", "b", True), (r".", "\u2028", False), (r"\s", "\ufeff", True), (r"[\S]", "\u3000", False), (r"UBER \*TRIP", "uber *trip", True), (r"\z", "z", True), (r"s", "\u017f", False), (r"[z-a]", "b", None),
+    (r"[[a]", "[", True), (r"a{2}{3}", "a", None), (r"(?=a)*b", "b", True), (r"x{2,1}", "xx", None), (r"\ca", "\x01", True), (r"\c1", "\\c1", True), (r"^*", "", None), (r"[\d-x]", "-", True), (r"]}", "]}", True), (r"(?i)a", "a", None), (r"(?<=a)*", "a", None),
+]
+
+
+@pytest.mark.parametrize("pattern,text,want", PATTERNS)
+def test_pattern_dialect(pattern, text, want):
+    found = P.translated(pattern)
+    assert (None if found is None else P.found_in(found[0], text)) is want
+
+
+def test_slow_pattern_is_given_up():
+    began = time.time()
+    assert not P.found_in(P.translated(r"^(\w+\s?)*$")[0], "a" * 50 + "!", 0.2) and time.time() - began < 5
+
+
+def test_required_texts():
+    want = {"store 1[0-9]": "store 1", "STORE \\d": "store ", "a|b": "", "(foo)?barbaz+qux": "barbaz", "x{0,2}yzw": "yzw", "(?!abc)d": "d", "ab?cde": "cde", "(?:abc)+": "abc", "x(?:abc|d)": "x", "(a(bcd))?e": "e", "(?<n>Shop) 7": "shop", "(?=abc)d": "d"}
+    assert {p: P.translated(p)[1] for p in want} == want
+
+
+def test_pattern_tier(spark):
+    rows = spark.createDataFrame([(1, "Corner Shop"), (1, None), (1, "a+b"), (2, "Corner Shop"), (1, "Caf\u00e9 SHOPPE 42")], "user_id int, description string")
+    rules = [("[", "Broken"), ("(?P<x>corner)", "Other dialect"), ("(?<x>corner)", "Named"), ("shop", "Retail"), (r"\+", "Plus"), (r"^.+\d{2}$", "Digits")]
+    r = spark.createDataFrame([(1, "regex", p, c, n, n) for n, (p, c) in enumerate(rules)], "user_id int, match_type string, pattern string, category string, priority int, ordinal int")
+    got = {(x["user_id"], x["description"]): x["tier2"] for x in C.pattern_tier(rows, r).collect()}
+    assert got == {(1, "Corner Shop"): "Named", (1, None): None, (1, "a+b"): "Plus", (2, "Corner Shop"): None, (1, "Caf\u00e9 SHOPPE 42"): "Retail"}
+    # Literals are looked up before any pattern is searched.
+    texts = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(1, "corner 7")], "user_id int, description string")
+    found = C.pattern_candidates(texts, C.pattern_rules(r.filter("pattern in ('(?<x>corner)', 'shop')")))
+    assert [(x["description"], x["category"]) for x in found.collect()] == [("corner 7", "Named")]
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_similar_merchants_without_all_pairs(spark):
+    rng = random.Random(9)
+    names = ["".join(rng.choice("abcdefghij ") for _ in range(rng.randint(1, 24))).strip() or "x" for _ in range(150)]
+    keys = names[:60]
+    for n in names[60:]:  # a few edits away
+        x = list(n)
+        for _ in range(rng.randint(0, 1 + len(x) // 5)):
+            at = rng.randrange(len(x) + 1)
+            x[at : at + rng.choice([0, 1])] = rng.choice(["", "z", "q"])
+        keys.append("".join(x) or "y")
+    pool = [(1, n, f"c{i}", i) for i, n in enumerate(names)]
+    got = {r["merchant_norm"]: r["fuzzy"] for r in C.similar_tier(spark.createDataFrame([(1, k) for k in set(keys)], "user_id int, merchant_norm string"), spark.createDataFrame(pool, "user_id int, normalized_merchant string, category string, ordinal int")).collect()}
+    for k in set(keys):
+        fits = [(-(1 - edits(k, n) / max(len(k), len(n))), i) for i, n in enumerate(names) if 5 * edits(k, n) <= max(len(k), len(n))]
+        assert got[k] == (f"c{min(fits)[1]}" if fits else None), k
+    assert sum(v is not None for v in got.values()) > 60
+    # What is looked at grows with the keys, not with their square.
+    many = [("".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(14)),) for _ in range(2000)]
+    frame = spark.createDataFrame(many, "name string").selectExpr("1 as user_id", "name as merchant_norm", "name as normalized_merchant")
+    assert C.similar_candidates(frame.select("user_id", "merchant_norm"), frame.select("user_id", "normalized_merchant")).count() < 3 * len(many)
 
 
 def test_names_are_unique(spark):
@@ -339,8 +431,6 @@ def test_provider_stream(spark, tmp_path):
 
     spark.dataSource.register(P.source(Fake))
     q = spark.readStream.format("changefeed").load().writeStream.format("memory").queryName("feed_rows").option("checkpointLocation", str(tmp_path)).start()
-    import time
-
     for _ in range(60):
         if spark.table("feed_rows").count() == 3:
             break
