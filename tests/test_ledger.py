@@ -407,38 +407,6 @@ def test_triggers_of_a_stream_are_those_of_a_batch(spark, tmp_path):
     assert got <= want and all(t >= dt.datetime(2024, 1, 1, 2, 40) for _, t in want - got) and len(want) == 36
 
 
-def test_drain_restarts():
-    calls = []
-
-    def pages(cursor):
-        calls.append(cursor)
-        if len(calls) == 2:
-            raise cf.MutationDuringPaging
-        return [cursor or 0], (cursor or 0) + 1, (cursor or 0) < 2
-
-    assert cf.drain(pages)(None) == ([0, 1, 2], 3)
-
-
-def test_provider_stream(spark, tmp_path):
-    from tallywork.sources import provider as P
-
-    class Fake(P.Provider):
-        def pages(self):
-            return 3
-
-        def page(self, i):
-            return [(i, "added", 0, f"t{i}", None, "p1", D(2024, 1, 1), 1, "USD", "m", "d", False, None)]
-
-    spark.dataSource.register(P.source(Fake))
-    q = spark.readStream.format("changefeed").load().writeStream.format("memory").queryName("feed_rows").option("checkpointLocation", str(tmp_path)).start()
-    for _ in range(60):
-        if spark.table("feed_rows").count() == 3:
-            break
-        time.sleep(0.5)
-    q.stop()
-    assert spark.table("feed_rows").count() == 3
-
-
 def test_entry_lacks_only_optional_modules(tmp_path, monkeypatch):
     path = shutil.copy(os.path.join(os.path.dirname(__file__), "..", "__spark_entry__.py"), tmp_path)
     monkeypatch.syspath_prepend(str(tmp_path))
