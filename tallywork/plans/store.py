@@ -6,12 +6,28 @@ version or the other, and a repeated batch id changes nothing.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_place(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the one that spark.checkpoint.dir names; on this machine alone, one of its own that goes with the process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="tallywork-")
+        atexit.register(shutil.rmtree, own, True)
+        base = own
+    return f"{base.rstrip('/')}/tallywork/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df checkpointed in the folder that spark.checkpoint.dir names; a session on this machine alone may do without the setting."""
     context = df.sparkSession.sparkContext
@@ -19,7 +35,7 @@ def cut(df: DataFrame) -> DataFrame:
         place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not place and context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(place or tempfile.mkdtemp(prefix="tallywork-"))
+        context.setCheckpointDir(place or shared_place(df.sparkSession, "checkpoints"))
     return df.checkpoint()
 
 

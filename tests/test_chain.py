@@ -1,0 +1,157 @@
+"""The chain from feed to rollups: steps, parts, stops and counters."""
+
+import datetime as dt
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallywork.operators import aggregate as A
+from tallywork.plans.parted import Parted
+from tallywork.streaming import changefeed as cf
+from tallywork.streaming.chain import Chain
+
+D = dt.date
+ACCOUNTS = [("p1", 1, 1), ("p2", 2, 1), ("q1", 3, 2)]
+
+
+@pytest.fixture(scope="module")
+def accounts(spark):
+    return spark.createDataFrame(ACCOUNTS, "provider_account_id string, account_id long, user_id long")
+
+
+def feed(spark, *rows):
+    """Rows: page, op, id, pending id, account, date, amount and what is not the usual: merchant, description, pending, category."""
+    full = []
+    for i, (page, op, tx, pend, acc, day, amount, *rest) in enumerate(rows):
+        more = {"merchant": None, "description": "d", "pending": False, "provider_category": None} | (rest[0] if rest else {})
+        full.append((page, op, i, tx, pend, acc, day, amount, "USD", more["merchant"], more["description"], more["pending"], more["provider_category"]))
+    return spark.createDataFrame(full, cf.FEED)
+
+
+def state(chain):
+    return {r["provider_tx_id"]: r for r in chain.ledger.read_all().collect()}
+
+
+def category(chain, tx):
+    c = state(chain)[tx]["category"]
+    return c["tier"], c["value"], c["status"]
+
+
+def files(place):
+    return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_ino for d, _, names in os.walk(place) for f in names if f.endswith(".parquet")}
+
+
+def test_tiers_at_ingestion(spark, tmp_path, accounts):
+    rules = spark.createDataFrame([(1, "exact", "uber", "Transportation", 0, 1), (1, "regex", "shop", "Retail", 0, 2), (1, "regex", "uber", "Not this", 0, 3)], "user_id long, match_type string, pattern string, category string, priority int, ordinal int")
+    corrected = spark.createDataFrame([(1, "aaaaaaaaaa", "Groceries", 1)], "user_id long, normalized_merchant string, category string, ordinal int")
+    chain = Chain(spark, str(tmp_path))
+    day = D(2024, 3, 15)
+    first = feed(
+        spark, (1, "added", "exact", None, "p1", day, 1, {"merchant": "Uber", "description": "UBER TRIP"}), (1, "added", "regex", None, "p1", day, 1, {"description": "Corner Shop #42"}),
+        (1, "added", "similar", None, "p1", day, 1, {"description": "aaaaaaaaab"}), (1, "added", "none", None, "p1", day, 1, {"description": "Totally unknown"}), (1, "added", "other", None, "q1", day, 1, {"merchant": "Uber"}),
+    )
+    chain.batch(first, 0, accounts, rules, corrected)
+    assert category(chain, "exact") == (1, "Transportation", "confirmed") and category(chain, "regex") == (2, "Retail", "confirmed")
+    assert category(chain, "similar") == (2, "Groceries", "confirmed") and category(chain, "none") == category(chain, "other") == (4, "Uncategorized", "needs_review")
+    assert chain.counters(0) == {"changed": 5, "removed": 0, "superseded": 0, "exact": 1, "similar": 2, "model": 0, "confirmed": 0, "paired": 0, "aged": 0}
+    # A category that is there stays when the row changes.
+    chain.batch(feed(spark, (2, "modified", "regex", None, "p1", day, 2, {"merchant": "Uber"})), 1, accounts, rules, corrected)
+    assert category(chain, "regex") == (2, "Retail", "confirmed") and state(chain)["regex"]["amount"] == 2
+
+
+def test_model_and_what_it_teaches(spark, tmp_path, accounts):
+    def model(batch):
+        return [{"tx_id": r["tx_id"], "category": "Dining", "confidence": 0.9 if r["merchant_norm"] == "cafe" else 0.1, "uncertain": False} for r in batch]
+
+    chain = Chain(spark, str(tmp_path), model, ["Dining"])
+    day = D(2024, 3, 15)
+    chain.batch(feed(spark, (1, "added", "a", None, "p1", day, 1, {"merchant": "Cafe"}), (1, "added", "b", None, "p1", day, 1, {"merchant": "Bar"})), 0, accounts)
+    assert category(chain, "a") == (3, "Dining", "confirmed") and category(chain, "b") == (3, "Dining", "needs_review")
+    assert chain.counters(0)["model"] == 2 and chain.counters(0)["confirmed"] == 1
+    chain.batch(feed(spark, (2, "added", "c", None, "p2", day, 1, {"merchant": "CAFE"}), (2, "added", "d", None, "q1", day, 1, {"merchant": "Cafe"})), 1, accounts)
+    assert category(chain, "c") == (1, "Dining", "confirmed") and category(chain, "d") == (3, "Dining", "confirmed") and chain.counters(1)["exact"] == 1
+
+
+def test_pending_met_batches_later_and_transfers_over_a_month_end(spark, tmp_path, accounts):
+    out, back = {"provider_category": "TRANSFER_OUT"}, {"provider_category": "TRANSFER_IN"}
+    chain = Chain(spark, str(tmp_path), as_of=D(2024, 4, 1))
+    chain.batch(feed(spark, (1, "added", "pend", None, "p1", D(2024, 1, 30), 70, {"pending": True, "merchant": "Uber"}), (1, "added", "t1", None, "p1", D(2024, 1, 31), 500, out), (1, "added", "lone", None, "p1", D(2024, 1, 5), 900, out)), 0, accounts, exact(spark))
+    assert not state(chain)["pend"]["is_removed"] and state(chain)["t1"]["transfer_group_id"] is None
+    chain.batch(feed(spark, (2, "added", "x", None, "q1", D(2024, 2, 9), 5)), 1, accounts)
+    chain.batch(feed(spark, (3, "added", "post", "pend", "p1", D(2024, 2, 2), 71), (3, "added", "t2", None, "p2", D(2024, 2, 3), -540, back)), 2, accounts)
+    now = state(chain)
+    assert now["pend"]["is_removed"] and category(chain, "post")[1] == "Rides"
+    assert now["t1"]["transfer_group_id"] == now["t2"]["transfer_group_id"] == "g-t1" and now["t1"]["exclude_from_cash_flow"]
+    assert chain.counters(2)["superseded"] == 1 and chain.counters(2)["paired"] == 2
+    want = {(r["user_id"], r["month"], r["income"], r["expenses"]) for r in A.monthly_rollup(chain.ledger.read_all()).collect()}
+    got = {(r["user_id"], r["month"], r["income"], r["expenses"]) for r in chain.rollup.read_all().collect()}
+    assert want <= got and all(r[2:] == (0, 0) for r in got - want)
+
+
+def exact(spark):
+    return spark.createDataFrame([(1, "exact", "uber", "Rides", 0, 1), (1, "regex", "^d$", "Misc", 0, 2)], "user_id long, match_type string, pattern string, category string, priority int, ordinal int")
+
+
+def test_a_month_is_read_and_written_alone(spark, tmp_path, accounts, monkeypatch):
+    chain = Chain(spark, str(tmp_path))
+    rows = [(1, "added", f"{acc}{m}{i}", None, acc, D(2024, m, 10 + i), 100 * m + i) for acc, _, _ in ACCOUNTS for m in range(1, 7) for i in range(3)]
+    chain.batch(feed(spark, *rows), 0, accounts)
+    before, read = files(f"{tmp_path}/ledger") | files(f"{tmp_path}/rollup"), []
+    plain = Parted.read
+    monkeypatch.setattr(Parted, "read", lambda self, parts: read.append((os.path.basename(self.place), tuple(parts))) or plain(self, parts))
+    chain.batch(feed(spark, (2, "modified", "p140", None, "p1", D(2024, 4, 15), 7), (2, "removed", "p141", None, None, None, None), (2, "removed", "never", None, None, None, None)), 1, accounts)
+    monkeypatch.undo()
+    after = files(f"{tmp_path}/ledger") | files(f"{tmp_path}/rollup")
+    gone, new = before.keys() - after.keys(), after.keys() - before.keys()
+    folders = {os.path.relpath(os.path.dirname(f), tmp_path) for f in gone | new}
+    month = next(f for f in folders if f.startswith("ledger")).split("=")[1]
+    assert folders == {f"ledger/part={month}", f"rollup/part={month}"} and month.endswith("2024-04")
+    assert all(after[f] == before[f] for f in before.keys() & after.keys())
+    assert {p for name, parts in read for p in parts if name in ("ledger", "rollup")} == {month}
+    check(chain, {"p140": (7, False), "p141": (401, True)})
+    # A batch that touches nothing writes neither.
+    chain.batch(feed(spark, (3, "removed", "never", None, None, None, None)), 2, accounts)
+    assert files(f"{tmp_path}/ledger") | files(f"{tmp_path}/rollup") == after
+    # A row that moves leaves its month; a month that is empty has zeros.
+    chain.batch(feed(spark, *[(4, "modified", f"q16{i}", None, "q1", D(2024, 12, 1), 5) for i in range(3)]), 3, accounts)
+    check(chain, {"q160": (5, False)})
+    assert [(r["income"], r["expenses"]) for r in chain.rollup.read_all().filter("user_id = 2 and month = date'2024-06-01'").collect()] == [(0, 0)]
+    assert chain.ledger.read_all().count() == len(rows)
+
+
+def check(chain, some):
+    now = state(chain)
+    assert {k: (now[k]["amount"], now[k]["is_removed"]) for k in some} == some
+    got = {(r["user_id"], r["month"]): (r["income"], r["expenses"]) for r in chain.rollup.read_all().collect()}
+    want = {(r["user_id"], r["month"]): (r["income"], r["expenses"]) for r in A.monthly_rollup(chain.ledger.read_all()).collect()}
+    assert {k: v for k, v in got.items() if v != (0, 0)} == {k: v for k, v in want.items() if v != (0, 0)}
+    homes = {r["provider_tx_id"]: r["home"] for r in chain.index.read_all().collect()}
+    assert homes == {k: r["part"] for k, r in now.items()}
+
+
+@pytest.mark.parametrize("stop", ["ledger", "index", "rollup"])
+def test_a_stopped_batch_is_finished(spark, tmp_path, accounts, monkeypatch, stop):
+    one = feed(spark, *[(1, "added", f"t{i}", None, "p1", D(2024, 1, 1 + 9 * i), 10 + i) for i in range(3)], (1, "added", "x", None, "nobody", D(2024, 1, 1), 1))
+    two = feed(spark, (2, "modified", "t1", None, "p1", D(2024, 2, 1), 50), (2, "removed", "t2", None, None, None, None))
+    whole, broken = Chain(spark, f"{tmp_path}/whole"), Chain(spark, f"{tmp_path}/broken")
+    for chain in (whole, broken):
+        chain.batch(one, 0, accounts)
+    whole.batch(two, 1, accounts)
+    replace = Parted.replace
+
+    def dies(self, rows, parts):
+        if self.place.endswith(stop):
+            replace(self, rows.limit(0), parts)  # what was there has gone already
+            raise KeyboardInterrupt
+        replace(self, rows, parts)
+
+    monkeypatch.setattr(Parted, "replace", dies)
+    with pytest.raises(KeyboardInterrupt):
+        broken.batch(two, 1, accounts)
+    monkeypatch.setattr(Parted, "replace", replace)
+    broken.batch(two, 1, accounts)
+    tables = [[sorted(map(str, t.read_all().collect())) for t in (c.ledger, c.index, c.rollup)] + [c.counters(1), c.dead_letters().count(), c.replay().drop("received_at").count()] for c in (whole, broken)]
+    assert tables[0] == tables[1] and broken.applied() == 1
+    broken.batch(one, 1, accounts)  # its number has been used
+    assert sorted(map(str, broken.ledger.read_all().collect())) == tables[0][0]
