@@ -233,22 +233,27 @@ def _(txn):
     return R.lapsed(R.recurring(rows), stored).select("user_id", "merchant_norm")
 
 
-EDGES = """, p AS (SELECT user_id, tx_id, account_id, amount, date, coalesce(starts_with(provider_category, 'TRANSFER_') OR provider_category = 'LOAN_PAYMENTS_CREDIT_CARD_PAYMENT', false) AS signal FROM txn WHERE NOT is_removed AND NOT pending AND amount <> 0),
+def edges_sql(rows: str) -> str:
+    return f""", p AS (SELECT user_id, tx_id, account_id, amount, date, coalesce(starts_with(provider_category, 'TRANSFER_') OR provider_category = 'LOAN_PAYMENTS_CREDIT_CARD_PAYMENT', false) AS signal FROM txn WHERE {rows} AND NOT pending AND amount <> 0),
 e AS (SELECT a.user_id, a.tx_id AS anchor, a.date AS ad, b.tx_id AS other, abs(date_diff('day', a.date, b.date)) AS date_diff, abs(abs(a.amount) - abs(b.amount)) AS amount_diff, a.signal OR b.signal AS signal
   FROM p a JOIN p b ON a.user_id = b.user_id AND a.account_id <> b.account_id AND sign(a.amount) = -sign(b.amount) AND abs(abs(a.amount) - abs(b.amount)) <= 100 AND abs(date_diff('day', a.date, b.date)) <= 3)"""
 
 
+EDGES = edges_sql("NOT is_removed")
+
+
 @query("transfer_edges", EDGES + " SELECT user_id, anchor, other, CAST(date_diff AS INT) AS date_diff, amount_diff FROM e WHERE signal")
 def _(txn):
     return X.edges(X.unmatched(txn)).drop("ad")
 
 
-MATCHES = EDGES + """, ordered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ad, anchor, date_diff, amount_diff, other) AS i FROM e WHERE signal),
+WALK = """, ordered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ad, anchor, date_diff, amount_diff, other) AS i FROM e WHERE signal),
 walk AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS anchor, CAST(NULL AS BIGINT) AS other FROM ordered
   UNION ALL SELECT w.user_id, o.i, CASE WHEN list_contains(w.used, o.anchor) OR list_contains(w.used, o.other) THEN w.used ELSE list_concat(w.used, [o.anchor, o.other]) END,
     CASE WHEN list_contains(w.used, o.anchor) OR list_contains(w.used, o.other) THEN NULL ELSE o.anchor END, CASE WHEN list_contains(w.used, o.anchor) OR list_contains(w.used, o.other) THEN NULL ELSE o.other END
   FROM walk w JOIN ordered o ON o.user_id = w.user_id AND o.i = w.i + 1),
-m AS (SELECT user_id, anchor, other FROM walk WHERE anchor IS NOT NULL),
+m AS (SELECT user_id, anchor, other FROM walk WHERE anchor IS NOT NULL)"""
+MATCHES = EDGES + WALK + """,
 aged AS (SELECT user_id, tx_id, 4 AS tier, category_value AS category, 'needs_review' AS status FROM txn WHERE NOT is_removed AND NOT pending AND (starts_with(provider_category, 'TRANSFER_') OR provider_category = 'LOAN_PAYMENTS_CREDIT_CARD_PAYMENT')
   AND category_status = 'confirmed' AND date <= DATE '2001-07-29' AND tx_id NOT IN (SELECT anchor FROM m UNION ALL SELECT other FROM m))"""
 
@@ -282,7 +287,8 @@ def _(txn):
     return X.link(txn, X.match(X.unmatched(txn))).filter("transfer_group_id is not null").select("user_id", "tx_id", "transfer_group_id")
 
 
-TIERS = """, o AS (SELECT user_id, tx_id, merchant_norm, description FROM txn WHERE category_tier = 4 AND category_value = 'Uncategorized' AND category_status = 'needs_review'),
+def tiers_sql(rows: str) -> str:
+    return f""", o AS (SELECT user_id, tx_id, merchant_norm, description FROM txn WHERE {rows}),
 t1 AS (SELECT user_id, pattern AS merchant_norm, arg_max(category, ordinal) AS tier1 FROM rule WHERE match_type = 'exact' GROUP BY 1, 2),
 t2 AS (SELECT d.user_id, d.description, arg_min(r.category, r.priority * 1000 + r.ordinal) AS tier2 FROM (SELECT DISTINCT user_id, description FROM o) d JOIN (SELECT * FROM rule WHERE match_type = 'regex' AND pattern <> 'store (') r ON r.user_id = d.user_id AND regexp_matches(d.description, replace(r.pattern, '(?<', '(?P<'), 'i') GROUP BY 1, 2),
 cm AS (SELECT user_id, merchant_norm AS m, arg_min(category_value, tx_id) AS category, min(tx_id) AS ordinal FROM txn WHERE category_tier = 4 AND category_status = 'confirmed' AND length(merchant_norm) > 0 GROUP BY 1, 2),
@@ -290,6 +296,9 @@ fz AS (SELECT user_id, merchant_norm, category AS fuzzy FROM (SELECT k.user_id,
   FROM (SELECT DISTINCT user_id, merchant_norm FROM o) k JOIN cm ON cm.user_id = k.user_id AND 5 * levenshtein(k.merchant_norm, cm.m) <= greatest(length(k.merchant_norm), length(cm.m))) WHERE rn = 1)"""
 
 
+TIERS = tiers_sql("category_tier = 4 AND category_value = 'Uncategorized' AND category_status = 'needs_review'")
+
+
 @query("categorized", TIERS + " SELECT o.user_id, o.tx_id, CASE WHEN tier1 IS NOT NULL THEN 1 WHEN coalesce(tier2, fuzzy) IS NOT NULL THEN 2 END AS tier, coalesce(tier1, tier2, fuzzy) AS category FROM o LEFT JOIN t1 ON t1.user_id = o.user_id AND t1.merchant_norm = o.merchant_norm LEFT JOIN t2 ON t2.user_id = o.user_id AND t2.description = o.description LEFT JOIN fz ON fz.user_id = o.user_id AND fz.merchant_norm = o.merchant_norm")
 def _(txn, rules):
     return C.resolve(txn, rules, C.corrected_merchants(txn))
@@ -318,19 +327,15 @@ def _(txn):
     return C.prompt_lines(txn.filter("category.status = 'needs_review'"), ["Dining", "Uncategorized"])
 
 
-@query("verdicts_merged", """ SELECT user_id, tx_id, CASE WHEN hit THEN 3 ELSE category_tier END AS tier, CASE WHEN hit THEN CASE WHEN tx_id % 20 > 0 THEN 'Dining' ELSE 'Uncategorized' END ELSE category_value END AS value,
-CASE WHEN hit THEN CASE WHEN tx_id % 20 = 0 OR tx_id // 10 % 5 = 0 OR CAST(tx_id // 10 % 100 AS DOUBLE) / 100 < CAST(0.7 AS DOUBLE) THEN 'needs_review' ELSE 'confirmed' END ELSE category_status END AS status
-FROM (SELECT *, category_status = 'needs_review' AND tx_id % 3 > 0 AS hit FROM txn)""")
+@query("verdicts_merged", """ SELECT user_id, tx_id, CASE WHEN by_hand THEN 4 WHEN open THEN 3 ELSE category_tier END AS tier, CASE WHEN by_hand THEN 'Mine' WHEN open THEN CASE WHEN tx_id % 20 > 0 THEN 'Dining' ELSE 'Uncategorized' END ELSE category_value END AS value,
+CASE WHEN by_hand THEN 'confirmed' WHEN open THEN CASE WHEN tx_id % 20 = 0 OR tx_id // 10 % 5 = 0 OR CAST(tx_id // 10 % 100 AS DOUBLE) / 100 < CAST(0.7 AS DOUBLE) THEN 'needs_review' ELSE 'confirmed' END ELSE category_status END AS status
+FROM (SELECT *, category_status = 'needs_review' AS open, category_status = 'needs_review' AND tx_id % 3 = 0 AS by_hand FROM txn)""")
 def _(txn):
-    """Verdicts for all rows that needed a review; of these, every third has been set by hand meanwhile."""
-    open_ = txn.filter("category.status = 'needs_review'").select("tx_id", "merchant_norm", "description", "amount")
-    verdicts = C.model_tier(open_, stub_model, ["Dining", "Uncategorized"])
-    by_hand = F.struct(F.col("category.tier"), F.col("category.value"), F.col("category.confidence"), F.lit("confirmed").alias("status"))
-    meanwhile = txn.withColumn("category", F.when((F.col("category.status") == "needs_review") & (F.col("tx_id") % 3 == 0), by_hand).otherwise(F.col("category")))
-    out = C.merge_verdicts(meanwhile, verdicts).select("user_id", "tx_id", "category.tier", "category.value", "category.status", F.col("tx_id") % 3 == 0)
-    # What was set by hand is shown as it was stored before.
-    back = txn.select("tx_id", F.col("category.status").alias("was"))
-    return out.join(back, "tx_id").select("user_id", "tx_id", "tier", "value", F.when((F.col("tx_id") % 3 == 0) & (F.col("was") == "needs_review"), F.col("was")).otherwise(F.col("status")).alias("status"))
+    """Verdicts for all rows that needed a review; of these, every third has been set by hand meanwhile, which stays."""
+    open_ = txn.filter("category.status = 'needs_review'")
+    verdicts = C.model_tier(open_.select("tx_id", "merchant_norm", "description", "amount"), stub_model, ["Dining", "Uncategorized"])
+    meanwhile = C.set_category(txn, open_.filter("tx_id % 3 = 0").select("user_id", "tx_id", F.lit("Mine").alias("value")))
+    return C.merge_verdicts(meanwhile, verdicts).select("user_id", "tx_id", "category.tier", "category.value", "category.status")
 
 
 @query("categories_set", " SELECT user_id, tx_id, CASE WHEN tx_id % 4 = 0 THEN 4 ELSE category_tier END AS tier, CASE WHEN tx_id % 4 = 0 THEN 'Mine' ELSE category_value END AS value, CASE WHEN tx_id % 4 = 0 THEN 'confirmed' ELSE category_status END AS status FROM txn")
@@ -504,9 +509,16 @@ def _(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), S.to_cents(F.col("o_totalprice")).alias("cents"))
 
 
-@query("erased", " SELECT user_id, count(*) AS n FROM txn WHERE user_id <> 3 GROUP BY 1")
-def _(txn):
-    return L.erase_user({"txn": txn}, 3)["txn"].groupBy("user_id").agg(F.count("*").alias("n"))
+@query("erased", """ SELECT 'txn' AS name, user_id, count(*) AS n FROM txn WHERE user_id <> 3 GROUP BY 2 UNION ALL SELECT 'accounts', user_id, count(*) FROM account WHERE user_id <> 3 GROUP BY 2
+UNION ALL SELECT 'connections', user_id, count(*) FROM connection WHERE user_id <> 3 GROUP BY 2 UNION ALL SELECT 'rules', user_id, count(*) FROM rule WHERE user_id <> 3 GROUP BY 2 UNION ALL SELECT 'categories', user_id, count(*) FROM cat WHERE user_id <> 3 GROUP BY 2""")
+def _(txn, accounts, connections, rules, categories):
+    """What all stored tables hold once a user has been erased from them."""
+    from .plans.store import Manifest, erase_user, shared_place
+
+    store = Manifest(txn.sparkSession, shared_place(txn.sparkSession, "erase"))
+    store.switch({"txn": txn.select("user_id", "tx_id"), "accounts": accounts.select("user_id", "account_id"), "connections": connections.select("user_id", "connection_id"), "rules": rules.select("user_id", "pattern"), "categories": categories.select("user_id", "name")})
+    erase_user(store, 3)
+    return reduce(DataFrame.union, [store.read(n).groupBy("user_id").count().select(F.lit(n).alias("name"), "user_id", F.col("count").alias("n")) for n in store.versions()])
 
 
 @query("trigger_events", " SELECT event_type AS key, min(ts) AS at FROM events GROUP BY event_type, CAST(floor(epoch(ts) / 600) AS BIGINT)")
@@ -516,18 +528,89 @@ def _(spark, sf_dir):
     return queue_view(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("key"), F.col("ts").alias("at")))
 
 
-@query("feed_applied", """, f AS (SELECT * FROM txn0)
-SELECT CAST(tx_id AS VARCHAR) AS provider_tx_id, user_id, CASE WHEN tx_id % 50 = 0 THEN amount + 1 ELSE amount END AS amount, tx_id % 70 = 0 AS is_removed FROM f WHERE account_id % 11 <> 0""")
+@query(
+    "feed_applied",
+    """, known AS (SELECT *, tx_id % 5 = 1 AS stored, tx_id % 20 = 10 AND tx_id < 1000000000000 AS posted FROM txn WHERE account_id % 11 <> 0),
+own AS (SELECT lpad(CAST(tx_id AS VARCHAR), 20, '0') AS provider_tx_id, user_id, CASE WHEN tx_id % 50 = 0 THEN amount + 1 ELSE amount END AS amount, tx_id % 70 = 0 AS is_removed,
+    CASE WHEN posted AND category_status = 'confirmed' THEN category_value WHEN stored AND NOT posted THEN category_value ELSE 'Uncategorized' END AS value FROM known)
+SELECT * FROM own UNION ALL SELECT 'p' || lpad(CAST(tx_id AS VARCHAR), 20, '0'), user_id, amount - 7, true, category_value FROM known WHERE posted""",
+)
 def _(txn, accounts):
-    """Added rows, later modified and removed ones, of which rows of unknown accounts change nothing."""
-    from .streaming.changefeed import LEDGER, apply_feed
-
-    rows = txn
-    base = [F.col("tx_id").alias("idx"), F.col("tx_id").cast("string").alias("provider_tx_id"), F.lit(None).cast("string").alias("pending_tx_id"), F.col("account_id").cast("string").alias("provider_account_id"), "date"]
-    rest = [F.lit("USD").alias("currency"), "merchant_name", "description", F.lit(False).alias("pending"), "provider_category"]
-    added = rows.select(F.lit(1).alias("page"), F.lit("added").alias("op"), *base, "amount", *rest)
-    modified = rows.filter("tx_id % 50 = 0").select(F.lit(1).alias("page"), F.lit("modified").alias("op"), *base, (F.col("amount") + 1).alias("amount"), *rest)
-    removed = rows.filter("tx_id % 70 = 0").select(F.lit(2).alias("page"), F.lit("removed").alias("op"), *base, "amount", *rest)
+    """A stored ledger with some of the rows and, of others, the pending ones; then pages of new, posted, changed and removed rows. Rows of unknown accounts change nothing.
+
+    A posted row removes the pending one that it names and takes over its category, unless that is none.
+    """
+    from .streaming.changefeed import FEED, LEDGER, apply_feed
+
+    spark = txn.sparkSession
+    tx, posted = F.lpad(F.col("tx_id").cast("string"), 20, "0"), "tx_id % 20 = 10 and tx_id < 1000000000000"
+    shape = spark.createDataFrame([], LEDGER)
+    mine = txn.filter("account_id % 11 != 0").withColumns({"provider_tx_id": tx, "pending_tx_id": F.lit(None).cast("string"), "currency": F.lit("USD"), "pending": F.lit(False), "is_removed": F.lit(False)})
+    stored = mine.filter(f"tx_id % 5 = 1 and not ({posted})").select(shape.columns)
+    waiting = mine.filter(posted).withColumns({"provider_tx_id": F.concat(F.lit("p"), tx), "amount": F.col("amount") - 7, "pending": F.lit(True)}).select(shape.columns)
+
+    def rows(of: DataFrame, page: int, op: str, more: int = 0) -> DataFrame:
+        named = F.when(F.expr(posted), F.concat(F.lit("p"), tx)).alias("pending_tx_id")
+        head = [F.lit(page).cast("long").alias("page"), F.lit(op).alias("op"), F.col("tx_id").alias("idx"), tx.alias("provider_tx_id"), named, F.col("account_id").cast("string").alias("provider_account_id")]
+        return of.select(*head, "date", (F.col("amount") + more).alias("amount"), F.lit("USD").alias("currency"), "merchant_name", "description", F.lit(False).alias("pending"), "provider_category")
+
+    feed = rows(txn, 1, "added").union(rows(txn.filter("tx_id % 50 = 0"), 1, "modified", 1)).union(rows(txn.filter("tx_id % 70 = 0"), 2, "removed")).to(spark.createDataFrame([], FEED).schema)
     known = accounts.filter("account_id % 11 != 0").select(F.col("account_id").cast("string").alias("provider_account_id"), "account_id", "user_id")
-    ledger, _, _ = apply_feed(txn.sparkSession.createDataFrame([], LEDGER), added.union(modified).union(removed), known)
-    return ledger.select("provider_tx_id", "user_id", "amount", "is_removed")
+    ledger, _, _ = apply_feed(stored.union(waiting), feed, known)
+    return ledger.select("provider_tx_id", "user_id", "amount", "is_removed", "category.value")
+
+
+def text_model(batch: list[dict]) -> list[dict]:
+    """stub_model for identifiers that are texts."""
+    return [r | {"tx_id": b["tx_id"]} for r, b in zip(stub_model([{"tx_id": int(b["tx_id"])} for b in batch]), batch, strict=True)]
+
+
+@query(
+    "chain_streamed",
+    tiers_sql("true") + edges_sql("true") + WALK + """,
+late AS (SELECT tx_id FROM txn WHERE tx_id >= 1000000000000 AND tx_id % 10 = 7 AND user_id % 2 = 0),
+modified AS (SELECT tx_id FROM txn WHERE tx_id % 30 = 0 AND user_id % 2 = 0),
+verdict AS (SELECT tx_id, CASE WHEN tx_id % 20 > 0 THEN 'Dining' ELSE 'Uncategorized' END AS value,
+  CASE WHEN tx_id % 20 = 0 OR tx_id // 10 % 5 = 0 OR CAST(tx_id // 10 % 100 AS DOUBLE) / 100 < CAST(0.7 AS DOUBLE) THEN 'needs_review' ELSE 'confirmed' END AS status FROM txn),
+known AS (SELECT o.user_id, o.tx_id, o.merchant_norm, tier1, coalesce(tier2, fuzzy) AS tier2 FROM o LEFT JOIN t1 ON t1.user_id = o.user_id AND t1.merchant_norm = o.merchant_norm
+  LEFT JOIN t2 ON t2.user_id = o.user_id AND t2.description = o.description LEFT JOIN fz ON fz.user_id = o.user_id AND fz.merchant_norm = o.merchant_norm),
+taught AS (SELECT DISTINCT user_id, merchant_norm FROM known JOIN verdict USING (tx_id) WHERE tier1 IS NULL AND tier2 IS NULL AND status = 'confirmed' AND length(merchant_norm) > 0 AND tx_id NOT IN (FROM late)),
+decided AS (SELECT k.user_id, k.tx_id, CASE WHEN tier1 IS NOT NULL OR by_rule THEN 1 WHEN tier2 IS NOT NULL THEN 2 ELSE 3 END AS tier, coalesce(tier1, CASE WHEN by_rule THEN 'Dining' END, tier2, v.value) AS value,
+  CASE WHEN tier1 IS NOT NULL OR by_rule OR tier2 IS NOT NULL THEN 'confirmed' ELSE v.status END AS status
+  FROM (SELECT *, tx_id IN (FROM late) AND (user_id, merchant_norm) IN (SELECT (user_id, merchant_norm) FROM taught) AS by_rule FROM known) k JOIN verdict v USING (tx_id)),
+sides AS (SELECT anchor AS tx_id, anchor AS g FROM m UNION ALL SELECT other, anchor FROM m),
+aging AS (SELECT d.*, v.value AS again, v.status AS again_status, g, amount, d.status = 'confirmed' AND NOT pending AND date <= DATE '2001-07-29' AND g IS NULL AND coalesce(starts_with(provider_category, 'TRANSFER_') OR provider_category = 'LOAN_PAYMENTS_CREDIT_CARD_PAYMENT', false) AS aged
+  FROM decided d JOIN txn USING (tx_id) JOIN verdict v USING (tx_id) LEFT JOIN sides USING (tx_id))
+-- A row that changes while it waits for a review is put to the model again.
+SELECT lpad(CAST(tx_id AS VARCHAR), 20, '0') AS provider_tx_id, user_id, amount, tx_id % 70 = 0 AS is_removed, CASE WHEN aged AND tx_id IN (FROM modified) AND again_status <> 'confirmed' THEN 3 WHEN aged THEN 4 ELSE tier END AS tier,
+  CASE WHEN aged AND tx_id IN (FROM modified) THEN again ELSE value END AS value, CASE WHEN aged THEN 'needs_review' ELSE status END AS status,
+  'g-' || lpad(CAST(g AS VARCHAR), 20, '0') AS transfer_group_id, g IS NOT NULL AS excluded, CASE WHEN tx_id IN (FROM modified) THEN 'EUR' ELSE 'USD' END AS currency FROM aging""",
+)
+def _(txn, accounts, rules):
+    """The ledger after a stream of three pages: new rows of half of the users; those of the others, with changed and further rows of the first; removed rows.
+
+    Every page is a run of its own from the stream's checkpoint, and the result is what one pass over all rows gives.
+    """
+    from .plans.store import shared_place
+    from .streaming.chain import Chain
+    from .streaming.changefeed import FEED
+
+    spark = txn.sparkSession
+    place = shared_place(spark, "chain")
+    tx = F.lpad(F.col("tx_id").cast("string"), 20, "0")
+
+    def rows(of: DataFrame, page: int, op: str, currency: str = "USD") -> DataFrame:
+        head = [F.lit(page).cast("long").alias("page"), F.lit(op).alias("op"), F.col("tx_id").alias("idx"), tx.alias("provider_tx_id"), F.lit(None).cast("string").alias("pending_tx_id"), F.col("account_id").cast("string").alias("provider_account_id")]
+        return of.select(*head, "date", "amount", F.lit(currency).alias("currency"), "merchant_name", "description", "pending", "provider_category")
+
+    even, late = "user_id % 2 = 0", "tx_id >= 1000000000000 and tx_id % 10 = 7"
+    more = rows(txn.filter(f"not ({even}) or {late}"), 1, "added").union(rows(txn.filter(f"{even} and tx_id % 30 = 0"), 1, "modified", "EUR"))
+    pages = [rows(txn.filter(f"{even} and not ({late})"), 0, "added"), more, rows(txn.filter("tx_id % 70 = 0"), 2, "removed")]
+    known = accounts.select(F.col("account_id").cast("string").alias("provider_account_id"), "account_id", "user_id")
+    chain = Chain(spark, f"{place}/tables", text_model, ["Dining", "Uncategorized"], AS_OF, user_buckets=2, slots=8)
+    for page in pages:
+        page.write.mode("append").parquet(f"{place}/feed")
+        run = chain.start(spark.readStream.schema(FEED).option("maxFilesPerTrigger", 1_000_000).parquet(f"{place}/feed"), known, rules, C.corrected_merchants(txn))
+        run.awaitTermination()
+    out = chain.ledger.read_all()
+    return out.select("provider_tx_id", "user_id", "amount", "is_removed", "category.tier", "category.value", "category.status", "transfer_group_id", F.col("exclude_from_cash_flow").alias("excluded"), "currency")

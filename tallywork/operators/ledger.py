@@ -127,8 +127,3 @@ def wallet(accounts: DataFrame, cash: DataFrame) -> DataFrame:
     total = accounts.groupBy("user_id").agg(F.sum("current_balance").alias("balance"))
     change = cash.groupBy("user_id").agg(F.sum(F.col("income") - F.col("expenses")).alias("change"))
     return total.join(change, "user_id", "left").select("user_id", "balance", F.coalesce("change", F.lit(0)).alias("change"))
-
-
-def erase_user(tables: dict[str, DataFrame], user_id) -> dict[str, DataFrame]:
-    """Every table without the user's rows."""
-    return {k: df.filter(~F.col("user_id").eqNullSafe(F.lit(user_id))) for k, df in tables.items()}

@@ -7,13 +7,16 @@ version or the other, and a repeated batch id changes nothing.
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .files import delete, folders, read_text, write_text
+
 
 def shared_place(spark: SparkSession, name: str) -> str:
     """A fresh folder below the one that spark.checkpoint.dir names; on this machine alone, one of its own that goes with the process."""
@@ -132,3 +135,40 @@ class Table:
             name = s.getPath().getName()
             if name.startswith("v") and int(name[1:].split("-")[0]) < oldest:
                 fs.delete(s.getPath(), True)
+
+
+class Manifest:
+    """Tables below a folder, of which one file names the current versions: a change of several tables is seen whole or not at all."""
+
+    def __init__(self, spark: SparkSession, place: str):
+        self.spark, self.place = spark, place.rstrip("/")
+
+    def versions(self) -> dict[str, str]:
+        """The folder of each table's version."""
+        return json.loads(read_text(f"{self.place}/current.json") or "{}")
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.place}/{name}/{self.versions()[name]}")
+
+    def switch(self, tables: dict[str, DataFrame]) -> None:
+        """Write new versions of tables, then name them all at once. What neither the new nor the old list names is removed, also of earlier changes that were stopped."""
+        old = self.versions()
+        new = old | {name: uuid.uuid4().hex for name in tables}
+        for name, df in tables.items():
+            df.write.parquet(f"{self.place}/{name}/{new[name]}")
+        write_text(f"{self.place}/current.json", json.dumps(new))
+        for name in new:
+            for version in folders(f"{self.place}/{name}") - {new[name], old.get(name)}:
+                delete(f"{self.place}/{name}/{version}")
+
+
+def erase_user(manifest: Manifest, user_id) -> dict[str, int]:
+    """Remove a user from every table at once; how many rows of each were the user's, counted on the way."""
+    seen, left = {}, {}
+    for name in manifest.versions():
+        df = manifest.read(name)
+        mine = F.col("user_id").eqNullSafe(F.lit(user_id))
+        seen[name] = Observation()
+        left[name] = df.observe(seen[name], F.count(F.when(mine, 1)).alias("n")).filter(~mine)
+    manifest.switch(left)
+    return {name: o.get["n"] for name, o in seen.items()}

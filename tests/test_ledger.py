@@ -337,6 +337,57 @@ def test_similar_merchants_without_all_pairs(spark):
     assert C.similar_candidates(frame.select("user_id", "merchant_norm"), frame.select("user_id", "normalized_merchant")).count() < 3 * len(many)
 
 
+def test_an_erase_is_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    m = store.Manifest(spark, str(tmp_path / "m"))
+    m.switch({n: spark.createDataFrame([(u, f"{n}{u}") for u in (1, 2, None)], "user_id long, v string") for n in ("a", "b", "c")})
+    before = m.versions()
+    done, kept = [], m.read("b")
+
+    def stops(place, text):
+        done.append(place)
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(store, "write_text", stops)
+    with pytest.raises(KeyboardInterrupt):
+        store.erase_user(m, 1)
+    monkeypatch.undo()
+    assert len(done) == 1 and m.versions() == before and all(m.read(n).count() == 3 for n in before)
+    assert store.erase_user(m, 1) == {"a": 1, "b": 1, "c": 1}
+    assert all({r["user_id"] for r in m.read(n).collect()} == {2, None} for n in before)
+    # A reader of the version before is not disturbed; what the stopped change had written has gone.
+    assert kept.count() == 3 and all(len(list((tmp_path / "m" / n).iterdir())) == 2 for n in before)
+
+
+def test_user_events(spark, tmp_path):
+    """Two users see their own events once, also after a batch that failed half-way and one that was repeated."""
+    from tallywork.streaming import sink
+
+    place = str(tmp_path / "out")
+    spark.dataSource.register(sink.UserEvents)
+    jobs = spark.createDataFrame([("sync", 1, 10), ("sync", 2, 20), ("rollup", 1, 11), ("sync", 3, 30)], sink.EVENT)
+
+    def run(df):
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = spark.readStream.schema(sink.EVENT).parquet(str(tmp_path / "in")).repartition(3).writeStream.format("user_events").option("path", place).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+
+    def seen(user, after=-1):
+        return sorted(tuple(r) for r in sink.events_of(spark, place, user, after).collect())
+
+    run(jobs)
+    assert seen(1) == [("rollup", 1, 11), ("sync", 1, 10)] and seen(2) == [("sync", 2, 20)] and seen(9) == []
+    w = sink.Writer(place, ["type", "user_id", "connection_id"])
+    half = w.write(iter([("sync", 1, 99), ("sync", 2, 98)]))
+    assert seen(1) == [("rollup", 1, 11), ("sync", 1, 10)]
+    w.abort([half, None], 1)
+    again = w.write(iter([("sync", 1, 10)]))
+    w.commit([again, None], 0)  # its list is there already
+    assert seen(1) == [("rollup", 1, 11), ("sync", 1, 10)] and not [f for m in (half, again) for _, f in m.files if (tmp_path / "out" / f).exists()]
+    run(jobs.filter("user_id = 2").selectExpr("type", "user_id", "connection_id + 1 as connection_id"))
+    assert seen(2) == [("sync", 2, 20), ("sync", 2, 21)] and seen(2, after=0) == [("sync", 2, 21)] and len(seen(1)) == 2
+
+
 def test_names_are_unique(spark):
     stored = spark.createDataFrame([(1, "A")], "user_id int, name string")
     assert store.insert_new(stored, spark.createDataFrame([(2, "A")], "user_id int, name string"), ["user_id", "name"]).count() == 2
