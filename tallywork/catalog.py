@@ -213,7 +213,8 @@ def _(txn, accounts):
     return W.latest_point(snaps(txn, accounts))
 
 
-RECURRING = """, c AS (SELECT user_id, tx_id, merchant_norm, coalesce(merchant_name, merchant_norm) AS merchant_name, amount, date FROM txn WHERE included AND NOT pending AND amount > 0 AND length(merchant_norm) > 0),
+def recurring_sql(rows: str) -> str:
+    return f""", c AS (SELECT user_id, tx_id, merchant_norm, coalesce(merchant_name, merchant_norm) AS merchant_name, amount, date FROM txn WHERE {rows} AND included AND NOT pending AND amount > 0 AND length(merchant_norm) > 0),
 gaps AS (SELECT *, date_diff('day', lag(date) OVER w, date) AS gap FROM c WINDOW w AS (PARTITION BY user_id, merchant_norm ORDER BY date, tx_id)),
 g AS (SELECT user_id, merchant_norm, count(*) AS n, median(amount) AS med, min(amount) AS lo, max(amount) AS hi, avg(gap) AS gap, stddev_pop(gap) AS dev,
   max(merchant_name) AS merchant_name, max(date) AS last_date, arg_max(amount, date_diff('day', DATE '1970-01-01', date) * 10000000000000 + tx_id) AS amount FROM (SELECT *, date_diff('day', DATE '1970-01-01', date) AS dn FROM gaps) GROUP BY 1, 2),
@@ -221,6 +222,10 @@ sub AS (SELECT *, CASE WHEN abs(gap - 30) <= 5 THEN 'monthly' WHEN abs(gap - 365
   WHERE n >= 3 AND med - lo <= CAST(0.15 AS DOUBLE) * med AND hi - med <= CAST(0.15 AS DOUBLE) * med AND dev <= 5)"""
 
 
+RECURRING = recurring_sql("true")
+
+
+
 @query("recurring_charges", RECURRING + " SELECT user_id, merchant_norm, amount, CAST(floor(gap + 0.5) AS INT) AS interval_days, frequency, last_date, last_date + CAST(floor(gap + 0.5) AS INT) AS next_date, n AS n_charges FROM sub WHERE frequency IS NOT NULL")
 def _(txn):
     return R.recurring(R.candidates(txn)).select("user_id", "merchant_norm", "amount", "interval_days", "frequency", "last_date", "next_date", F.size("tx_ids").cast("long").alias("n_charges"))
@@ -274,6 +279,24 @@ def _(txn):
     return X.aging(txn, X.match(X.unmatched(txn)), AS_OF)
 
 
+@query("transfers_aged_by_timer", MATCHES + " SELECT user_id, CAST(tx_id AS VARCHAR) AS item, 'aged' AS outcome FROM aged")
+def _(txn):
+    """The same rows by timers of a stream that has come to AS_OF: two pages of rows, then time alone goes on."""
+    from .plans.store import shared_place
+    from .streaming.timers import ITEM, outcomes, transfer_items
+
+    spark = txn.sparkSession
+    place = shared_place(spark, "timers")
+    items = transfer_items(txn, X.match(X.unmatched(txn))).filter(F.col("at") <= F.lit(AS_OF))
+    tick = spark.range(1).select(F.lit(-1).cast("long").alias("user_id"), F.lit("").alias("item"), F.lit("tick").alias("kind"), F.lit(AS_OF).cast("timestamp").alias("at"), F.lit(None).cast("string").alias("by"))
+    for page in (items.filter("at < '1998-01-01'"), items.filter("at >= '1998-01-01'"), tick):
+        page.write.mode("append").parquet(f"{place}/in")
+        made = outcomes(spark.readStream.schema(ITEM).option("maxFilesPerTrigger", 1_000_000).parquet(f"{place}/in"), X.DAYS)
+        run = made.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{place}/out").select("user_id", "item", "outcome")
+
+
 @query("transfer_counts", MATCHES + """ SELECT user_id, count(*) AS candidates, coalesce(any_value(n_m), 0) AS matched, coalesce(any_value(n_a), 0) AS aged FROM txn LEFT JOIN (SELECT user_id, count(*) AS n_m FROM m GROUP BY 1) USING (user_id)
 LEFT JOIN (SELECT user_id, count(*) AS n_a FROM aged GROUP BY 1) USING (user_id) WHERE NOT is_removed AND NOT pending GROUP BY 1""")
 def _(txn):
@@ -447,6 +470,25 @@ def _(txn):
     return R.active(R.reconcile(found, stored)).select("user_id", "merchant_norm")
 
 
+@query(
+    "nightly_subscriptions",
+    RECURRING + """, early AS (SELECT user_id, merchant_norm FROM (SELECT user_id, merchant_norm, count(*) AS n, median(amount) AS med, min(amount) AS lo, max(amount) AS hi, avg(gap) AS gap, stddev_pop(gap) AS dev
+  FROM (SELECT *, date_diff('day', lag(date) OVER (PARTITION BY user_id, merchant_norm ORDER BY date, tx_id), date) AS gap FROM c WHERE date <= DATE '1997-09-01') GROUP BY 1, 2)
+  WHERE n >= 3 AND med - lo <= CAST(0.15 AS DOUBLE) * med AND hi - med <= CAST(0.15 AS DOUBLE) * med AND dev <= 5 AND (abs(gap - 30) <= 5 OR abs(gap - 365) <= 20)),
+late AS (SELECT user_id, merchant_norm FROM sub WHERE frequency IS NOT NULL)
+SELECT user_id, merchant_norm, l.user_id IS NOT NULL AS active, CAST((SELECT count(*) FROM late) AS BIGINT) AS detected, CAST((SELECT count(*) FROM early ANTI JOIN late USING (user_id, merchant_norm)) AS BIGINT) AS lapsed
+FROM early e FULL JOIN late l USING (user_id, merchant_norm)""",
+)
+def _(txn):
+    """Stored subscriptions after two nights, the first over the rows up to a day; with the second run's counters."""
+    from .plans.store import Table, shared_place
+
+    table = Table(txn.sparkSession, shared_place(txn.sparkSession, "subscriptions"), R.SUBSCRIPTION)
+    R.nightly(table, txn.filter("date <= date'1997-09-01'"), 1)
+    n = R.nightly(table, txn, 2)
+    return table.read().select("user_id", "merchant_norm", "active", F.lit(n["detected"]).cast("long").alias("detected"), F.lit(n["lapsed"]).cast("long").alias("lapsed"))
+
+
 @query("notified", " SELECT 'sync' AS type, c.user_id, c.connection_id FROM connection c")
 def _(connections):
     """Finished jobs of every connection, and of one that nobody has, as each user sees them."""

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..plans.store import Table
+
+#: What a stored subscription holds.
+SUBSCRIPTION = "user_id long, merchant_norm string, merchant_name string, amount long, interval_days int, frequency string, last_date date, next_date date, active boolean"
 
 
 def candidates(txn: DataFrame) -> DataFrame:
@@ -40,6 +44,20 @@ def reconcile(detected: DataFrame, stored: DataFrame) -> DataFrame:
     return detected.withColumn("active", F.lit(True)).unionByName(gone, allowMissingColumns=True)
 
 
+def nightly(table: Table, txn: DataFrame, run: int) -> dict[str, int]:
+    """A run over all users that brings the stored subscriptions up to date; detected, lapsed (by this run) and stored rows, observed on the write.
+
+    run: the number of the run, above 0; one that is in place is not repeated.
+    """
+    stored, seen = table.read(), Observation()
+    found = recurring(candidates(txn)).drop("tx_ids").withColumn("fresh", F.lit(True))
+    before = stored.select("user_id", "merchant_norm", F.col("active").alias("was"))
+    now = reconcile(found, stored).join(before, ["user_id", "merchant_norm"], "left")
+    counts = F.count("fresh").alias("detected"), F.count(F.when(~F.col("active") & F.col("was"), 1)).alias("lapsed"), F.count("*").alias("stored")
+    written = table.replace(now.observe(seen, *counts).select(*stored.columns), run)
+    return seen.get if written else {}
+
+
 def lapsed(detected: DataFrame, stored: DataFrame) -> DataFrame:
     key = ["user_id", "merchant_norm"]
     return stored.filter("active").join(detected.select(*key), key, "left_anti")

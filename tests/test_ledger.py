@@ -388,6 +388,43 @@ def test_user_events(spark, tmp_path):
     assert seen(2) == [("sync", 2, 20), ("sync", 2, 21)] and seen(2, after=0) == [("sync", 2, 21)] and len(seen(1)) == 2
 
 
+def test_webhook_stream(spark, tmp_path):
+    sync = '{"webhook_type":"TRANSACTIONS","webhook_code":"SYNC_UPDATES_AVAILABLE","item_id":"%s"}'
+    broken = '{"webhook_type":"ITEM","webhook_code":"ERROR","item_id":"a","error":{"error_code":"ITEM_LOCKED"}}'
+    at = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    batches = [[(sync % "a", at(0)), (sync % "a", at(1)), ("{", at(1)), ("[1]", at(1)), (sync % "b", at(2)), ('{"webhook_type":"ITEM"}', at(2))], [(sync % "a", at(5)), (broken, at(6)), (None, at(6))], [(sync % "c", at(40))], [(sync % "a", at(41))]]
+    rows = spark.createDataFrame([(b, x) for b in batches for b, x in b], "body string, at timestamp")
+    for b in batches:
+        spark.createDataFrame(b, rows.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    good, bad = cf.webhooks(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    for name, df in (("good", good), ("bad", bad)):
+        df.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"c-{name}")).trigger(availableNow=True).start().awaitTermination(120)
+    got = sorted((r["at"].minute, r["kind"], r["item_id"]) for r in spark.read.parquet(str(tmp_path / "good")).collect())
+    assert got == [(0, "sync", "a"), (2, "sync", "b"), (6, "item_error:reauth_required", "a"), (40, "sync", "c"), (41, "sync", "a")]
+    assert sorted(str(r["body"]) for r in spark.read.parquet(str(tmp_path / "bad")).collect()) == ["None", "[1]", "{"]
+
+
+def test_open_items(spark, tmp_path):
+    """A pending row is met three batches later; a posted one may come first; an unmatched transfer ages by a timer, a matched one never."""
+    from tallywork.streaming import timers
+
+    day = lambda n: dt.datetime(2024, 1, n)
+    batches = [
+        [(1, "p", "pending", day(1), None), (1, "t", "transfer", day(1), None), (1, "m", "transfer", day(2), None), (2, "p", "pending", day(1), None)],
+        [(1, "m", "matched", day(3), None), (1, "late", "posted", day(3), "y")], [(1, "u", "transfer", day(5), None), (1, "t", "transfer", day(5), None)],
+        [(1, "p", "posted", day(6), "x"), (1, "late", "pending", day(6), None), (1, "p", "pending", day(6), None)], [(9, "", "tick", day(8), None)],
+    ]
+    seen = []
+    for b in batches:
+        spark.createDataFrame(b, timers.ITEM).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        made = timers.outcomes(spark.readStream.schema(timers.ITEM).parquet(str(tmp_path / "in")))
+        made.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+        now = sorted((r["user_id"], r["item"], r["outcome"], r["by"]) for r in spark.read.schema(timers.OUTCOME).parquet(str(tmp_path / "out")).collect())
+        seen.append([x for x in now if x not in sum(seen, [])])
+    assert sorted(sum(seen, []), key=str) == sorted(now, key=str) and (1, "t", "aged", None) in seen[2] and seen[3] == [(1, "late", "superseded", "y"), (1, "p", "superseded", "x")] and seen[4] == [(1, "u", "aged", None)]
+    assert len(now) == 4
+
+
 def test_names_are_unique(spark):
     stored = spark.createDataFrame([(1, "A")], "user_id int, name string")
     assert store.insert_new(stored, spark.createDataFrame([(2, "A")], "user_id int, name string"), ["user_id", "name"]).count() == 2
