@@ -54,18 +54,24 @@ SELECT tx_id, user_id, account_id, date, amount, pending, is_removed,
 FROM everything
 """
 
+#: Exact rules name shops that the user's orders have, some of them twice; patterns name stores, and a few go over many.
 RULES = """
-SELECT u.n_nationkey AS user_id, r.match_type, r.pattern, r.category, r.priority, r.ordinal FROM (SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey FROM {nation}) u CROSS JOIN (
-  SELECT 'exact' AS match_type, 'sq shop 1' AS pattern, 'Groceries' AS category, 0 AS priority, 1 AS ordinal UNION ALL SELECT 'exact', 'sq shop 1', 'Dining', 0, 2 UNION ALL SELECT 'exact', 'sq shop 7', 'Travel', 0, 3
-  UNION ALL SELECT 'regex', 'store 1[0-9]', 'Home', 2, 4 UNION ALL SELECT 'regex', 'STORE 12', 'Garden', 1, 5 UNION ALL SELECT 'regex', 'store (', 'Broken', 0, 6 UNION ALL SELECT 'regex', '^purchase at store 3', 'Fuel', 1, 7
-  UNION ALL SELECT 'regex', concat('(?<place>store) (?:', chr(92), 'd|2', chr(92), 'd)$'), 'Numbered', 3, 8) r
+WITH seen AS (SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS user_id, CAST(o_orderkey % 60 AS INT) AS shop, CAST(o_orderkey % 40 AS INT) AS store FROM {orders} JOIN {customer} ON o_custkey = c_custkey),
+shops AS (SELECT DISTINCT user_id, shop FROM seen WHERE shop % 6 = 1), stores AS (SELECT DISTINCT user_id, store FROM seen WHERE store % 8 = 4), users AS (SELECT DISTINCT user_id FROM seen)
+SELECT user_id, 'exact' AS match_type, concat('sq shop ', CAST(shop AS VARCHAR(9))) AS pattern, CASE shop % 4 WHEN 1 THEN 'Groceries' ELSE 'Travel' END AS category, 0 AS priority, shop AS ordinal FROM shops
+UNION ALL SELECT user_id, 'exact', concat('sq shop ', CAST(shop AS VARCHAR(9))), 'Dining', 0, 100 + shop FROM shops WHERE shop % 12 = 1
+UNION ALL SELECT user_id, 'regex', concat('store ', CAST(store AS VARCHAR(9)), '$'), concat('Store ', CAST(store AS VARCHAR(9))), store % 5, 200 + store FROM stores
+UNION ALL SELECT user_id, 'regex', r.pattern, r.category, r.priority, r.ordinal FROM users CROSS JOIN (
+  SELECT 'store 1[0-9]' AS pattern, 'Home' AS category, 2 AS priority, 304 AS ordinal UNION ALL SELECT 'STORE 12', 'Garden', 1, 305 UNION ALL SELECT 'store (', 'Broken', 0, 306 UNION ALL SELECT '^purchase at store 3', 'Fuel', 1, 307
+  UNION ALL SELECT concat('(?<place>store) (?:', chr(92), 'd|2', chr(92), 'd)$'), 'Numbered', 3, 308) r
 """
 
-
+#: The categories that a user's orders have, in order of their names.
 CATEGORY = """
-SELECT CAST(n_nationkey AS BIGINT) AS user_id, c.name, c.ordinal, c.ordinal % 8 AS color, concat('icon-', lower(c.name)) AS icon, c.is_default, c.archived, c.kind FROM {nation} CROSS JOIN (
-  SELECT 'URGENT' AS name, 0 AS ordinal, true AS is_default, false AS archived, 'expense' AS kind UNION ALL SELECT 'HIGH', 1, true, false, 'income' UNION ALL SELECT 'MEDIUM', 2, true, false, CAST(NULL AS VARCHAR(9))
-  UNION ALL SELECT 'LOW', 3, false, CAST(NULL AS BOOLEAN), 'expense' UNION ALL SELECT 'Old', 4, true, true, 'expense' UNION ALL SELECT 'Subscriptions', 9, false, false, 'expense') c
+SELECT user_id, name, ordinal, ordinal % 8 AS color, concat('icon-', lower(name)) AS icon, (user_id + ordinal) % 3 > 0 AS is_default, CASE WHEN (user_id + ordinal) % 5 = 0 THEN true WHEN (user_id + ordinal) % 7 > 0 THEN false END AS archived,
+  CASE (user_id + ordinal) % 4 WHEN 0 THEN 'income' WHEN 1 THEN 'expense' WHEN 2 THEN 'expense' END AS kind
+FROM (SELECT user_id, name, CAST(row_number() OVER (PARTITION BY user_id ORDER BY name) - 1 AS INT) AS ordinal
+  FROM (SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS user_id, substr(o_orderpriority, 3) AS name FROM {orders} JOIN {customer} ON o_custkey = c_custkey) n) c
 """
 
 
