@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 
 import pytest
 
@@ -21,8 +22,10 @@ class Ledgered(P.Provider):
         fault = state["faults"].get(key, ["", 0])
         hit = fault[1] > 0
         fault[1] -= 1
-        with open(self.file, "w") as f:
+        part = f"{self.file}.{os.getpid()}"  # tasks fetch pages at the same time
+        with open(part, "w") as f:
             json.dump(state, f)
+        os.replace(part, self.file)
         if hit:
             raise {"moved": P.MutationDuringPaging, "bad": P.BadCursor}[fault[0]](key)
         if key not in state["pages"]:
