@@ -168,7 +168,7 @@ def _(txn, accounts):
 
 @query("balance_snapshots", BALANCES + " SELECT user_id, date, assets, liabilities, net_worth, n AS n_accounts FROM net")
 def _(txn, accounts):
-    return snaps(txn, accounts).select("user_id", "date", "assets", "liabilities", "net_worth", F.size("accounts").cast("long").alias("n_accounts"))
+    return snaps(txn, accounts).select("user_id", "date", "assets", "liabilities", "net_worth", "n_accounts")
 
 
 @query("net_worth_series", BALANCES + """ SELECT n.user_id, c.date, n.net_worth, n.assets, n.liabilities FROM (SELECT CAST(unnest(generate_series(TIMESTAMP '1998-01-10', TIMESTAMP '1998-04-20', INTERVAL 1 DAY)) AS DATE) AS date) c
@@ -228,7 +228,7 @@ RECURRING = recurring_sql("true")
 
 @query("recurring_charges", RECURRING + " SELECT user_id, merchant_norm, amount, CAST(floor(gap + 0.5) AS INT) AS interval_days, frequency, last_date, last_date + CAST(floor(gap + 0.5) AS INT) AS next_date, n AS n_charges FROM sub WHERE frequency IS NOT NULL")
 def _(txn):
-    return R.recurring(R.candidates(txn)).select("user_id", "merchant_norm", "amount", "interval_days", "frequency", "last_date", "next_date", F.size("tx_ids").cast("long").alias("n_charges"))
+    return R.recurring(R.candidates(txn)).select("user_id", "merchant_norm", "amount", "interval_days", "frequency", "last_date", "next_date", F.col("n").alias("n_charges"))
 
 
 @query("lapsed_subscriptions", RECURRING + " SELECT DISTINCT user_id, merchant_norm FROM c ANTI JOIN (SELECT user_id, merchant_norm FROM sub WHERE frequency IS NOT NULL) s USING (user_id, merchant_norm)")

@@ -19,6 +19,13 @@ def candidates(txn: DataFrame) -> DataFrame:
     return rows.filter(F.length("merchant_norm") > 0).select("user_id", "tx_id", "merchant_norm", name.alias("merchant_name"), "amount", "date")
 
 
+def with_ids(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """found with tx_ids, the charges of each subscription by date: the ids of subscriptions alone are gathered, not those of every merchant."""
+    key = ["user_id", "merchant_norm"]
+    of = rows.join(found.select(*key), key, "left_semi").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("date", "tx_id"))).alias("__ids"))
+    return found.join(of, key).withColumn("tx_ids", F.transform("__ids", lambda x: x["tx_id"])).drop("__ids")
+
+
 def recurring(rows: DataFrame, least: int = 3, band: float = 0.15, spread: float = 5.0, monthly=(30, 5), annual=(365, 20)) -> DataFrame:
     """Subscriptions of user and merchant: at least `least` charges, all within band of their median, gaps of a monthly or annual mean and little spread.
 
@@ -29,12 +36,12 @@ def recurring(rows: DataFrame, least: int = 3, band: float = 0.15, spread: float
     gaps = rows.withColumn("gap", F.datediff("date", F.lag("date").over(order)))
     g = gaps.groupBy(*key).agg(
         F.count("*").alias("n"), F.percentile("amount", 0.5).alias("median"), F.min("amount").alias("low"), F.max("amount").alias("high"), F.avg("gap").alias("gap"), F.stddev_pop("gap").alias("dev"),
-        F.max_by(F.struct("merchant_name", "amount", "date"), F.struct("date", "tx_id")).alias("last"), F.transform(F.array_sort(F.collect_list(F.struct("date", "tx_id"))), lambda x: x["tx_id"]).alias("tx_ids"),
+        F.max_by(F.struct("merchant_name", "amount", "date"), F.struct("date", "tx_id")).alias("last"),
     )
     same = (F.col("median") - F.col("low") <= band * F.col("median")) & (F.col("high") - F.col("median") <= band * F.col("median"))
     g = g.filter((F.col("n") >= least) & same & (F.col("dev") <= spread)).withColumn("frequency", S.frequency(F.col("gap"), *monthly, *annual)).filter("frequency is not null")
     days = F.floor(F.col("gap") + 0.5).cast("int")
-    return g.select(*key, "last.merchant_name", "last.amount", days.alias("interval_days"), "frequency", F.col("last.date").alias("last_date"), F.date_add("last.date", days).alias("next_date"), "tx_ids")
+    return g.select(*key, "last.merchant_name", "last.amount", days.alias("interval_days"), "frequency", F.col("last.date").alias("last_date"), F.date_add("last.date", days).alias("next_date"), "n")
 
 
 def reconcile(detected: DataFrame, stored: DataFrame) -> DataFrame:
@@ -50,7 +57,7 @@ def nightly(table: Table, txn: DataFrame, run: int) -> dict[str, int]:
     run: the number of the run, above 0; one that is in place is not repeated.
     """
     stored, seen = table.read(), Observation()
-    found = recurring(candidates(txn)).drop("tx_ids").withColumn("fresh", F.lit(True))
+    found = recurring(candidates(txn)).drop("n").withColumn("fresh", F.lit(True))
     before = stored.select("user_id", "merchant_norm", F.col("active").alias("was"))
     now = reconcile(found, stored).join(before, ["user_id", "merchant_norm"], "left")
     counts = F.count("fresh").alias("detected"), F.count(F.when(~F.col("active") & F.col("was"), 1)).alias("lapsed"), F.count("*").alias("stored")

@@ -28,12 +28,13 @@ def balances(txn: DataFrame, accounts: DataFrame, days: DataFrame) -> DataFrame:
     return out.select("user_id", "account_id", "type", "day", (F.col("current_balance") + F.col("later")).alias("balance"))
 
 
-def snapshots(balances_: DataFrame) -> DataFrame:
-    """user_id, date, net_worth, assets, liabilities, accounts; what is owed is stored as a positive balance."""
+def snapshots(balances_: DataFrame, with_accounts: bool = False) -> DataFrame:
+    """user_id, date, net_worth, assets, liabilities, n_accounts and, where wanted, the accounts themselves; what is owed is stored as a positive balance."""
     owed = S.is_liability(F.col("type"))
-    out = balances_.groupBy("user_id", F.col("day").alias("date")).agg(
-        F.sum(F.when(owed, 0).otherwise(F.col("balance"))).alias("assets"), F.sum(F.when(owed, F.col("balance")).otherwise(0)).alias("liabilities"), F.array_sort(F.collect_list(F.struct("account_id", "balance"))).alias("accounts")
-    )
+    sums = [F.sum(F.when(owed, 0).otherwise(F.col("balance"))).alias("assets"), F.sum(F.when(owed, F.col("balance")).otherwise(0)).alias("liabilities"), F.count("*").alias("n_accounts")]
+    if with_accounts:
+        sums.append(F.array_sort(F.collect_list(F.struct("account_id", "balance"))).alias("accounts"))
+    out = balances_.groupBy("user_id", F.col("day").alias("date")).agg(*sums)
     return out.withColumn("net_worth", F.col("assets") - F.col("liabilities"))
 
 
@@ -82,8 +83,8 @@ def downsample(points: DataFrame, granularity: str) -> DataFrame:
 
 def flag_partial(snaps: DataFrame) -> DataFrame:
     """partial: fewer accounts than the series' most."""
-    n = F.size("accounts")
-    return snaps.withColumn("partial", n < F.max(n).over(Window.partitionBy("user_id")))
+    most = snaps.groupBy("user_id").agg(F.max("n_accounts").alias("__most"))
+    return snaps.join(most, "user_id").withColumn("partial", F.col("n_accounts") < F.col("__most")).drop("__most")
 
 
 def segments(flagged: DataFrame) -> DataFrame:

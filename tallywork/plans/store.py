@@ -12,7 +12,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .files import delete, folders, read_text, write_text
@@ -79,6 +79,21 @@ def patch(stored: DataFrame, changes: DataFrame, keys: list[str], clear: tuple[s
     return rows.select(*(value(x) for x in stored.columns))
 
 
+def places(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """rows with place, from 0 on by order among the rows of the same key.
+
+    Ranges of (key, order) are sorted and stored; for each key only the counts of its ranges are summed, so a key of very
+    many rows is spread over tasks.
+    """
+    at = rows.repartitionByRange(key, order).sortWithinPartitions(key, order).withColumns({"__n": F.monotonically_increasing_id(), "__range": F.spark_partition_id()})
+    at = cut(at)
+    runs = at.groupBy(key, "__range").agg(F.min("__n").alias("__first"), F.count("*").alias("__size"))
+    before = F.coalesce(F.sum("__size").over(Window.partitionBy(key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select(F.col(key).alias("__key"), F.col("__range").alias("__of"), "__first", before.alias("__before"))
+    out = at.join(runs, at[key].eqNullSafe(runs["__key"]) & (at["__range"] == runs["__of"]))
+    return out.withColumn("place", F.col("__n") - F.col("__first") + F.col("__before")).drop("__n", "__range", "__key", "__of", "__first", "__before")
+
+
 class DuplicateName(ValueError):
     """A user's new category has the name of one that is there."""
 

@@ -145,6 +145,8 @@ def test_recurrence(spark):
         return R.recurring(spark.createDataFrame(rows, "user_id long, tx_id long, merchant_norm string, merchant_name string, amount long, date date")).collect()
 
     assert run([0, 30, 60, 90], [1599] * 4)[0]["frequency"] == "monthly"
+    df = spark.createDataFrame([(1, i, "m", "M", 5, D(2024, 1, 1) + dt.timedelta(30 * (i % 4))) for i in (3, 0, 2, 1)] + [(1, 9, "other", "O", 5, D(2024, 1, 1))], "user_id long, tx_id long, merchant_norm string, merchant_name string, amount long, date date")
+    assert [(r["merchant_norm"], r["tx_ids"], r["n"]) for r in R.with_ids(R.recurring(df), df).collect()] == [("m", [0, 1, 2, 3], 4)]
     assert run([0, 365, 730], [13900] * 3)[0]["frequency"] == "annual"
     assert run([0, 30, 60], [1599, 1599, 1699])[0]["amount"] == 1699
     for days, amounts in (([0, 5, 65], [1] * 3), ([0, 7, 14, 21], [5] * 4), ([0, 30], [5] * 2), ([0, 30, 60, 90], [2000, 8000, 15000, 500])):
@@ -425,6 +427,15 @@ def test_open_items(spark, tmp_path):
     assert len(now) == 4
 
 
+def test_places_of_a_hot_key(spark):
+    rows = [(1 if i % 3 else None, (i * 37) % 1000, i) for i in range(1000)]
+    df = store.places(spark.createDataFrame(rows, "k long, o long, v long").repartition(5), "k", "o")
+    got = {r["v"]: r["place"] for r in df.collect()}
+    for k in (1, None):
+        mine = sorted((o, v) for x, o, v in rows if x == k)
+        assert [got[v] for _, v in mine] == list(range(len(mine)))
+
+
 def test_names_are_unique(spark):
     stored = spark.createDataFrame([(1, "A")], "user_id int, name string")
     assert store.insert_new(stored, spark.createDataFrame([(2, "A")], "user_id int, name string"), ["user_id", "name"]).count() == 2
