@@ -436,6 +436,15 @@ def test_places_of_a_hot_key(spark):
         assert [got[v] for _, v in mine] == list(range(len(mine)))
 
 
+def test_notifications_of_a_stream(spark, tmp_path):
+    c = spark.createDataFrame([(10, 1), (20, 2)], "connection_id long, user_id long")
+    jobs = spark.createDataFrame([("sync", 10), ("sync", 20), ("sync", 99)], "type string, connection_id long")
+    jobs.write.parquet(str(tmp_path / "in"))
+    out = cf.notifications(spark.readStream.schema(jobs.schema).parquet(str(tmp_path / "in")), c, 1)
+    out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("sync", 1, 10)]
+
+
 def test_names_are_unique(spark):
     stored = spark.createDataFrame([(1, "A")], "user_id int, name string")
     assert store.insert_new(stored, spark.createDataFrame([(2, "A")], "user_id int, name string"), ["user_id", "name"]).count() == 2
