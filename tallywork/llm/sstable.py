@@ -8,9 +8,10 @@ number of documents and ids, and a mark. A lookup reads the footer, the Bloom fi
 by bisection and scans one block (and the following ones, where a repeated key goes on).
 
 A writer holds one open block, the index and the keys; blocks go to the file as they close, and a range of documents goes
-on in a further file when one has `LIMIT` bytes. Repeated doc_ids stay as entries of their own, in order of their text's
-hash; null texts are empty and hold the end id alone. An empty table gives no files and no rows; further columns of docs
-are not read.
+on in a further file when one has `LIMIT` bytes, so a text may be of any length. Repeated doc_ids stay as entries of their
+own, in order of their text's hash, and rows without one come first; however many rows share an identifier, or have none,
+ranges are cut between their texts, so one key may go on in several shards. Null texts are empty and hold the end id alone.
+An empty table gives no files and no rows; further columns of docs are not read.
 """
 
 from __future__ import annotations
@@ -168,10 +169,10 @@ class ShardReader:
 def write_shards(docs: DataFrame, path: str, place: str, end_id: int = END_ID, limit: int = LIMIT) -> DataFrame:
     """Write docs' token ids as shards below place. One row a file: shard, piece, file, first, n_docs, n_ids; (shard, piece) ascend by key."""
     n = max(1, parts(docs.sparkSession))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, "doc_id")
-    rows = rows.sortWithinPartitions("doc_id", F.xxhash64("text")).withColumn("shard", F.spark_partition_id())
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h")
     # As text: a column of integers with nulls would reach pandas as floats.
-    rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))
+    rows = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.spark_partition_id().alias("shard"))
 
     def entries(batches, enc):
         """shard, doc_id and ids of each document."""
