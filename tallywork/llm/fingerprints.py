@@ -3,14 +3,15 @@
 A text's shingles are its runs of `width` lower-cased words (with fewer words: all of them as one; without words: none).
 Its sketch holds the k smallest distinct 64-bit hashes, ascending. Sketches of parts merge into the sketch of the whole.
 Two sketches estimate resemblance (Jaccard) and containment; one estimates the number of distinct shingles. Two empty
-sketches resemble each other fully. Null texts count as empty. Rows that share a doc_id follow one another in order of their
-text's hash, rows without one come first, and a table of one row follows itself. An empty table gives no rows; the query reads
-no further columns.
+sketches resemble each other fully. Null texts count as empty; a text of any length is worked on whole. Rows that share a
+doc_id follow one another in order of their text's hash, rows without one come first, and a table of one row follows itself.
+An empty table gives no rows; the query reads no further columns.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -78,28 +79,42 @@ def as_text(a: Column) -> Column:
 
 
 def order_buckets(docs: DataFrame, spread: int = 8):
-    """A Column that deals doc_id into contiguous ranges of about equal counts; nulls come first.
+    """A Column that deals (doc_id, h) into contiguous ranges of about equal counts; rows without a doc_id come first.
 
-    The bounds are approximate quantiles of the whole column, in two levels so that a row is compared with few of them.
+    The bounds are approximate quantiles of doc_id over the whole column, in two levels so that a row is compared with few
+    of them. A doc_id that is several quantiles at once, or the lack of one, is cut further, evenly by the text's hash h.
     """
     side = math.ceil(math.sqrt(spread * max(1, parts(docs.sparkSession))))
     n = side * side
-    got = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 4 * n).alias("q")).first()["q"] or []
-    cuts = sorted(set(got))
+    got = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 4 * n).alias("q"), F.count("*").alias("rows"), F.count("doc_id").alias("known")).first()
+    times = Counter(got["q"] or [])
+    cuts = sorted(times)
+    # Pieces of a doc_id: as many as it is quantiles, but no more than it has rows, about.
+    pieces = {v: min(m, m * got["known"] // n) for v, m in times.items()}
+    pieces = {v: m for v, m in pieces.items() if m > 1}
+    unknown = max(1, n * (got["rows"] - got["known"]) // max(1, got["rows"]))
     coarse = [cuts[i] for i in range(side - 1, len(cuts), side)]
     fine = [cuts[i : i + side - 1] for i in range(0, len(cuts), side)] or [[]]
     fine += [[]] * (len(coarse) + 1 - len(fine))
     longs = lambda xs: F.array(*map(F.lit, xs)).cast("array<bigint>")
     below = lambda xs: F.size(F.filter(xs, lambda b: b < F.col("doc_id")))
-    at = bound(below(longs(coarse)), lambda c: c * side + below(F.element_at(F.array(*map(longs, fine)), c + 1)))
-    return at.cast("int")
+    at = bound(below(longs(coarse)), lambda c: c * side + below(F.element_at(F.array(*map(longs, fine)), c + 1))) + 1
+    # The share of all hashes that lie below h, in m pieces: it grows with h.
+    cut = lambda m: F.least(F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * m), m - 1)
+    width = max([unknown, *(m + 1 for m in pieces.values())])
+    inside = F.lit(0).cast("long")
+    if pieces:
+        m = F.element_at(F.create_map(*(F.lit(x) for v in pieces.items() for x in v)), F.col("doc_id"))
+        inside = F.coalesce(cut(m) + 1, inside)
+    place = F.when(F.col("doc_id").isNull(), cut(F.lit(unknown))).otherwise(at * width + inside)
+    return place.cast("long")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, fp) with the text and fp of the next document by doc_id (after the last: the first).
 
-    Rows are dealt by contiguous ranges of doc_id, and the first row of each range is copied to the range before it as a
-    guard, so that no window spans all rows. Rows with the same doc_id are ordered by a hash of their text.
+    Rows are dealt by contiguous ranges of doc_id and the hash of the text, and the first row of each range is copied to the
+    range before it as a guard, so that no window spans all rows, or all of a doc_id.
     """
     at = docs.withColumn("h", F.xxhash64("text")).withColumn("bucket", order_buckets(docs))
     firsts = at.groupBy("bucket").agg(F.min(F.struct("doc_id", "h")).alias("f"))
