@@ -21,11 +21,13 @@ searched in that run. Every gram of the training texts is kept, and
 where a term of a gram that is not there is 0, and a context that is not there hands all its mass on. Each conditional
 distribution sums to 1 over the vocabulary and one unknown word.
 
-Counting takes two reads of the training texts: words, then (word, next word, third word) triples, from which the owner
-of a shard derives level 2 as well. What travels are sorted arrays of counts. The number of shards follows from the number
-of tokens, so what an owner holds doesn't grow with the corpus; the driver holds a row a shard and the few words that fill
-a large part of one. Null texts count as empty: they are one end. Words are told apart by 64-bit hashes. Without any
-training text every token is unknown and has P = 1.
+Counting takes three reads of the training texts: their bytes, words, then (word, next word, third word) triples, from which
+the owner of a shard derives level 2 as well. What travels are sorted arrays of counts. The number of owners of words follows
+from the bytes and that of shards from the tokens, so what an owner holds doesn't grow with the corpus; the driver holds a
+row for each and the few words that fill a large part of one. Null texts count as empty: they are one end. A text of any
+length is read whole. Repeated rows count, and are scored, each on its own. Words are told apart by 64-bit hashes. Without
+any training text every token is unknown and has P = 1; an empty table to score gives no rows. Further columns of either
+table are not read.
 """
 
 from __future__ import annotations
@@ -49,6 +51,8 @@ U64 = np.uint64
 END = U64(xxhash.xxh64_intdigest(b"\n"))
 #: Tokens that a task counts or scores at once; tokens of a shard.
 CHUNK, SHARD = 1_500_000, 2_000_000
+#: Bytes of training texts for each owner of words.
+SLICE = 1 << 28
 #: Quantised values: code c stands for 10 ** (-RANGE * c / 65535).
 RANGE = 12.0
 LEVELS = 10.0 ** (-RANGE * np.arange(65536) / 65535)
@@ -389,10 +393,11 @@ def write_shard(model: Model, s: int, keys: np.ndarray, nexts: np.ndarray, count
 
 
 def train(docs: DataFrame, d2: float = 0.8, d3: float = 0.9) -> Model:
-    """Count the words, then the triples of docs, and write the trie. Two reads of the texts, two shuffles of counts."""
+    """Count the words, then the triples of docs, and write the trie. Three reads of the texts, two shuffles of counts."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    model = Model(run_dir(spark, "lm"), max(1, parts(spark)), d2, d3)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    model = Model(run_dir(spark, "lm"), max(1, parts(spark), -(-size // SLICE)), d2, d3)
     count_words(docs, model)
     build_trie(docs, model)
     return model
