@@ -2,7 +2,8 @@
 
 A text is cut before each space that follows a character other than white space. No token of the two kinds of public
 vocabulary here crosses such a place, so the ids of the pieces, one after another, are the ids of the text. Pieces are
-looked up in a bounded store of encoded ones; new pieces are encoded many at a time. A text where a space follows other
+looked up in a bounded store of encoded ones; new pieces are encoded many at a time, and where the vocabulary's own rule
+always cuts between letters, digits, marks and white space, by these parts. A text where a space follows other
 white space, or that may name one of the vocabulary's special tokens, goes through the library whole, as it is loaded: the
 name of a special token inside a text is that token.
 """
@@ -16,8 +17,11 @@ import numpy as np
 
 #: Pieces kept in a worker: two generations of so many, about 200 bytes each. Characters that are looked at together.
 STORE, CHARS = 400_000, 3_000_000
-#: Letters with nothing to normalise, and marks at a word's end that make one more piece.
-PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,!?;:]*)")
+#: Runs of letters with nothing to normalise but their case, digits, and runs of marks: what words are cut to. An apostrophe
+#: makes other pieces, and < may begin a special token.
+PART = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+")
+#: Words that are such pieces and white space.
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:;=-@\[-`{-~\n\t]+")
 
 
 def tokenizer(path: str):
@@ -42,6 +46,9 @@ class Encoder:
         self.mark = np.zeros(self.size, bool)
         for x, i in vocab.items():
             self.mark[i] = x.endswith("</w>") if self.word_ends else x.startswith("Ġ")
+        # Whether pieces are cut as PART cuts them, white space being none.
+        probe = [x for x, _ in self.t.pre_tokenizer.pre_tokenize_str("ab$#12\nc.")]
+        self.cuts = self.word_ends and probe == ["ab", "$#", "1", "2", "c", "."]
         # How the names of special tokens begin.
         self.special = sorted({x.content[:2] for x in self.t.get_added_tokens_decoder().values() if x.special})
         self.young: dict[str, bytes | None] = {}
@@ -53,37 +60,42 @@ class Encoder:
     def learn(self, words: list[str]) -> dict[str, bytes | None]:
         """Ids of ` word` for each word; None where the next space doesn't begin a piece."""
         out: dict[str, bytes | None] = {}
-        joined, single = [], []
+        joined, single, cut = [], [], {}
         for w in words:
             if not w or w[-1].isspace():
                 out[w] = None
-            elif not self.word_ends or PLAIN.fullmatch(w):
+            elif not self.word_ends:
                 joined.append(w)
+            elif self.cuts and PLAIN.fullmatch(w):
+                cut[w] = PART.findall(w.lower())
             else:
                 single.append(w)
+        if cut:
+            # Parts are words themselves, many of which have been met before.
+            young, old = self.young, self.old
+            parts = {p: old.get(p) if (x := young.get(p)) is None else x for p in set().union(*cut.values())}
+            joined = [p for p, x in parts.items() if x is None]
         for at in range(0, len(joined), 500):
             some = joined[at : at + 500]
             (e,) = self.t.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)
             ids = np.array(e.ids, self.dtype)
             marks = np.flatnonzero(self.mark[ids])
+            if len(marks) != len(some):
+                single += some
+                continue
             if self.word_ends:
-                n = np.array([1 + (not w[-1].isalpha()) for w in some])
-                ends = np.cumsum(n)
-                if ends[-1] != len(marks):
-                    single += some
-                    continue
-                cuts = marks[ends - 1] + 1
+                cuts = marks + 1
                 starts = np.concatenate(([0], cuts[:-1]))
             else:
-                if len(marks) != len(some):
-                    single += some
-                    continue
                 starts, cuts = marks, np.append(marks[1:], len(ids))
             raw, b = ids.tobytes(), self.dtype.itemsize
             out.update(zip(some, (raw[s * b : c * b] for s, c in zip(starts.tolist(), cuts.tolist(), strict=True)), strict=True))
         for at in range(0, len(single), 4000):
             some = single[at : at + 4000]
             out.update(zip(some, self.ids([" " + w for w in some]), strict=True))
+        if cut:
+            parts.update((p, out[p]) for p in joined)
+            out.update((w, parts[x[0]] if len(x) == 1 else b"".join(map(parts.__getitem__, x))) for w, x in cut.items())
         return out
 
     def known(self, words: set[str]) -> dict[str, bytes | None]:

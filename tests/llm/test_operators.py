@@ -107,7 +107,7 @@ def test_packing_nothing(none):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(st.sampled_from("ab .,'\n\t Éé́1'<|>İ 　"), max_size=40), max_size=8))
+@given(st.lists(st.text(st.sampled_from("ab .,'\n\t Éé́1'<|>İ 　B$#_-2\rß~"), max_size=40), max_size=8))
 def test_words_once_is_whole_text(texts):
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         e = tokens.encoder(tokens.vocabulary(name))
