@@ -16,7 +16,7 @@ import re
 import numpy as np
 
 #: Pieces kept in a worker: two generations of so many, about 200 bytes each. Characters that are looked at together.
-STORE, CHARS = 400_000, 3_000_000
+STORE, CHARS = 600_000, 3_000_000
 #: Runs of letters with nothing to normalise but their case, digits, and runs of marks: what words are cut to. An apostrophe
 #: makes other pieces, and < may begin a special token.
 PART = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+")
@@ -49,6 +49,11 @@ class Encoder:
         # Whether pieces are cut as PART cuts them, white space being none.
         probe = [x for x, _ in self.t.pre_tokenizer.pre_tokenize_str("ab$#12\nc.")]
         self.cuts = self.word_ends and probe == ["ab", "$#", "1", "2", "c", "."]
+        # Parts have nothing left to normalise.
+        self.plain = self.t
+        if self.cuts:
+            self.plain = tokenizer(path)
+            self.plain.normalizer = None
         # How the names of special tokens begin.
         self.special = sorted({x.content[:2] for x in self.t.get_added_tokens_decoder().values() if x.special})
         self.young: dict[str, bytes | None] = {}
@@ -77,7 +82,7 @@ class Encoder:
             joined = [p for p, x in parts.items() if x is None]
         for at in range(0, len(joined), 500):
             some = joined[at : at + 500]
-            (e,) = self.t.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)
+            (e,) = self.plain.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)
             ids = np.array(e.ids, self.dtype)
             marks = np.flatnonzero(self.mark[ids])
             if len(marks) != len(some):
