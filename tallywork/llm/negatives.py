@@ -1,12 +1,12 @@
 """Hard-negative mining by a two-dimensional block matrix multiply.
 
 Scores are integer inner products of quantised vectors, each component floor(256 * x). Anchors and rows are dealt to blocks,
-dimensions to chunks. Panel (I, k) of the anchors is copied to every column of the grid, panel (J, k) of the rows to every
-line, and one equal join brings them together at (I, J, k), where their product is a partial score tile. Partial tiles are
-shuffled to (I, J) and added as 64-bit integers. From each stored tile the best rows of the anchor's own label are reduced to
-its positives; these give each (anchor, positive) a window of scores, and each tile's best rows of other labels in that
-window are reduced to the negatives. A tile has ANCHORS x ROWS scores, whatever the input's size; per anchor and tile only a
-top-k leaves it.
+dimensions to chunks; the panels of each block and chunk are stored. Panel (I, k) of the anchors is copied to every column of
+the grid, panel (J, k) of the rows to every line, and shuffled to their place (I, J). There the products of the chunks are
+partial scores, added as 64-bit integers. Scores are made twice and never leave their place: first the best rows of the
+anchor's own label are reduced to its positives; these give each (anchor, positive) a window of scores, and then each place's
+best rows of other labels in that window are reduced to the negatives. A place has a bounded number of anchors and of
+components, whatever the input's size, and scores SLICE anchors at a time; per anchor and place only a top-k leaves it.
 
 Higher scores come first, ties by smaller vec_id, then by the rows' stored number, so rows that repeat count each for
 itself; an anchor is never its own positive, another row of its vec_id may be. Rows with a null label, vector or component,
@@ -22,13 +22,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, run_dir
+from .common import materialize, parts, read_table, run_dir
 
 POSITIVES, NEGATIVES = 5, 10
 #: A negative's score in percent of the positive's, at least and at most.
 LOW, HIGH = 30, 90
-#: Rows of a tile, columns of a tile, dimensions of a chunk.
-ANCHORS, ROWS, DIMS = 128, 2048, 32
+#: Anchors and rows of a place of the grid at most, components of its rows at most, dimensions of a chunk.
+ANCHORS, ROWS, CELLS, DIMS = 1024, 16384, 1 << 20, 32
+#: Anchors of a place that are scored at a time.
+SLICE = 64
 SCALE = 256
 PANEL = "block long, k long, panel binary, kind string, ids binary, labels binary, numbers binary"
 HEADS = ("ids", "labels", "numbers")
@@ -53,6 +55,13 @@ def smallest_kind(x: np.ndarray) -> str:
     return "<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<i8"
 
 
+def grid(n_anchors: int, n: int, width: int, tasks: int) -> tuple[int, int]:
+    """Lines and columns: blocks of bounded size, smaller ones (of 2048 rows or more) as long as there are fewer places than tasks."""
+    lines = max(1, -(-n_anchors // ANCHORS))
+    most = max(1, min(ROWS, CELLS // max(1, width)))
+    return lines, max(1, -(-n // most), min(-(-n // 2048), -(-tasks // lines)))
+
+
 def panels(rows: DataFrame, n_blocks: int, n_chunks: int) -> DataFrame:
     """The rows (number, vec_id, label, vector) as PANEL: a row for each block and chunk of dimensions; the first chunk's names its rows, by vec_id."""
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -73,6 +82,8 @@ def panels(rows: DataFrame, n_blocks: int, n_chunks: int) -> DataFrame:
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a times the transpose of b in 64-bit integers; by floating point where that is exact."""
     most = [max(abs(int(x.min())), abs(int(x.max()))) if x.size else 0 for x in (a, b)]
+    if most[0] * most[1] * a.shape[1] < 1 << 24:
+        return (a.astype(np.float32) @ b.astype(np.float32).T).astype(np.int64)
     if most[0] * most[1] * a.shape[1] < 1 << 53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
     return a.astype(np.int64) @ b.astype(np.int64).T
@@ -82,92 +93,90 @@ def copies(n: int) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
 
 
-def partial_tiles(anchors: DataFrame, rows: DataFrame, n_lines: int, n_columns: int) -> DataFrame:
-    """line, col, k, tile and, with the first chunk, the names of the tile's anchors (a_) and rows (b_)."""
-    a = anchors.select(F.col("block").alias("line"), copies(n_columns).alias("col"), "k", *(F.col(c).alias(f"a_{c}") for c in ("panel", "kind", *HEADS)))
-    b = rows.select(copies(n_lines).alias("line"), F.col("block").alias("col"), "k", *(F.col(c).alias(f"b_{c}") for c in ("panel", "kind", *HEADS)))
-    names = [f"{s}_{c}" for s in "ab" for c in HEADS]
-
-    def multiplied(batches):
-        for pdf in batches:
-            for r in pdf.itertuples():
-                x, y = (np.frombuffer(p, kind).reshape(-1, DIMS) for p, kind in ((r.a_panel, r.a_kind), (r.b_panel, r.b_kind)))
-                yield pd.DataFrame([(r.line, r.col, r.k, product(x, y).tobytes(), *(getattr(r, c) for c in names))], columns=["line", "col", "k", "tile", *names])
-
-    return a.join(b, ["line", "col", "k"]).mapInPandas(multiplied, "line long, col long, k long, tile binary, " + ", ".join(f"{c} binary" for c in names))
-
-
-def added(partials: DataFrame) -> DataFrame:
-    """line, col, scores and the names: the sum of each place's partial tiles."""
-    names = [c for c in partials.columns if c[:2] in ("a_", "b_")]
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.frombuffer(pdf["tile"].iloc[0], "<i8").copy()
-        for t in pdf["tile"].iloc[1:]:
-            total += np.frombuffer(t, "<i8")
-        first = pdf.iloc[int(np.argmin(pdf["k"]))]
-        return pd.DataFrame([(first["line"], first["col"], total.tobytes(), *(first[c] for c in names))], columns=["line", "col", "scores", *names])
-
-    return partials.groupBy("line", "col").applyInPandas(add, "line long, col long, scores binary, " + ", ".join(f"{c} binary" for c in names))
+class Tile:
+    """The place of a block of anchors and a block of rows (by vec_id and number) in the grid: their names, and scores slice by slice."""
 
+    def __init__(self, a: pd.DataFrame, b: pd.DataFrame):
+        a, b = a.sort_values("k"), b.sort_values("k")
+        (self.a_ids, self.a_labels, self.a_numbers), (self.ids, self.labels, self.numbers) = ([np.frombuffer(x[c].iloc[0], "<i8") for c in HEADS] for x in (a, b))
+        self.a, self.b = ([np.frombuffer(p, kind).reshape(len(x["ids"].iloc[0]) // 8, -1) for p, kind in zip(x["panel"], x["kind"], strict=True)] for x in (a, b))
 
-class Tile:
-    """Scores of a block of anchors (lines) with a block of rows (columns, by vec_id and number), and their names."""
+    def lines(self, wanted=None):
+        """Number in the block and scores of each anchor (of those wanted); SLICE anchors are scored at a time, chunk by chunk, and the chunks' partial scores added."""
+        at = np.arange(len(self.a_ids)) if wanted is None else np.asarray(sorted(wanted), np.int64)
+        for some in (at[i : i + SLICE] for i in range(0, len(at), SLICE)):
+            total = product(self.a[0][some], self.b[0])
+            for x, y in zip(self.a[1:], self.b[1:], strict=True):
+                total += product(x[some], y)
+            yield from zip(some.tolist(), total, strict=True)
 
-    def __init__(self, r):
-        self.a_ids, self.a_labels, self.a_numbers, self.ids, self.labels, self.numbers = (np.frombuffer(getattr(r, f"{s}_{c}"), "<i8") for s in "ab" for c in HEADS)
-        self.scores = np.frombuffer(r.scores, "<i8").reshape(len(self.a_ids), len(self.ids))
 
-    def best(self, i: int, mask: np.ndarray) -> np.ndarray:
-        """Columns of mask by falling score; ties stay in their order."""
-        at = np.flatnonzero(mask)
-        return at[np.argsort(-self.scores[i, at], kind="stable")]
+def first(scores: np.ndarray, at: np.ndarray, top: int) -> np.ndarray:
+    """Of the columns at, the top by falling score; ties stay in their order."""
+    if len(at) > top:
+        some = scores[at]
+        at = at[some >= np.partition(some, len(at) - top)[len(at) - top]]
+    return at[np.argsort(-scores[at], kind="stable")][:top]
 
 
-def positives(tiles: DataFrame, top: int = POSITIVES) -> DataFrame:
+def positives(anchors: DataFrame, rows: DataFrame, n_lines: int, n_columns: int, top: int = POSITIVES) -> DataFrame:
     """line, number, positive_id, positive, positive_score: each anchor's top other rows of its label."""
-    def run(batches):
-        for pdf in batches:
-            for r in pdf.itertuples():
-                t, out = Tile(r), []
-                for i, (label, number) in enumerate(zip(t.a_labels, t.a_numbers, strict=True)):
-                    at = t.best(i, (t.labels == label) & (t.numbers != number))[:top]
-                    out += [(r.line, number, t.ids[j], t.numbers[j], t.scores[i, j]) for j in at]
-                yield pd.DataFrame(out, columns=["line", "number", "positive_id", "positive", "positive_score"])
-
-    rows = tiles.mapInPandas(run, "line long, number long, positive_id long, positive long, positive_score long")
+    columns = ["line", "number", "positive_id", "positive", "positive_score"]
+
+    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(a) and len(b):
+            t = Tile(a, b)
+            of = {la: np.flatnonzero(t.labels == la) for la in np.unique(t.a_labels)}
+            for i, scores in t.lines():
+                at = of[t.a_labels[i]]
+                at = first(scores, at[t.numbers[at] != t.a_numbers[i]], top)
+                out += zip([key[0]] * len(at), [t.a_numbers[i]] * len(at), t.ids[at], t.numbers[at], scores[at], strict=True)
+        return pd.DataFrame(out, columns=columns)
+
+    found = met(anchors, rows, n_lines, n_columns).applyInPandas(run, ", ".join(f"{c} long" for c in columns))
     order = Window.partitionBy("number").orderBy(F.desc("positive_score"), "positive_id", "positive")
-    return rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= top).drop("r")
+    return found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= top).drop("r")
 
 
-def negatives(tiles: DataFrame, chosen: DataFrame, top: int = NEGATIVES, low: int = LOW, high: int = HIGH) -> DataFrame:
+def negatives(anchors: DataFrame, rows: DataFrame, n_lines: int, n_columns: int, chosen: DataFrame, top: int = NEGATIVES, low: int = LOW, high: int = HIGH) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score and the numbers: the top rows of other labels in each pair's window."""
     # At most ANCHORS times the positives of one anchor.
     windows = chosen.groupBy("line").agg(F.collect_list(F.struct("number", "positive_id", "positive", "positive_score")).alias("pairs"))
     columns = ["anchor", "anchor_id", "positive", "positive_id", "positive_score", "negative", "negative_id", "negative_score"]
-
-    def run(batches):
-        for pdf in batches:
-            for r in pdf.itertuples():
-                t, out = Tile(r), []
-                place = {int(n): i for i, n in enumerate(t.a_numbers)}
-                by: dict[int, list] = {}
-                for p in r.pairs:
-                    by.setdefault(place[p["number"]], []).append(p)
-                for i, pairs in by.items():
-                    at = t.best(i, t.labels != t.a_labels[i])
-                    falling = -t.scores[i, at]
-                    for p in pairs:
-                        score = int(p["positive_score"])
-                        # low * score <= 100 * negative <= high * score, in integers.
-                        a = np.searchsorted(falling, -(high * score // 100))
-                        b = np.searchsorted(falling, -low * score // 100, side="right")
-                        out += [(t.a_numbers[i], t.a_ids[i], p["positive"], p["positive_id"], score, t.numbers[j], t.ids[j], t.scores[i, j]) for j in at[a : min(b, a + top)]]
-                yield pd.DataFrame(out, columns=columns)
-
-    rows = tiles.join(windows, "line").mapInPandas(run, ", ".join(f"{c} long" for c in columns))
+    # With the first chunk go the windows, as its names do.
+    anchors = anchors.join(windows.withColumnRenamed("line", "block"), "block").withColumn("pairs", F.when(F.col("k") == 0, F.col("pairs")))
+
+    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(a) and len(b):
+            t = Tile(a, b)
+            place = {int(n): i for i, n in enumerate(t.a_numbers)}
+            by: dict[int, list] = {}
+            for p in a["pairs"][a["k"] == 0].iloc[0]:
+                by.setdefault(place[int(p["number"])], []).append(p)
+            of = {la: np.flatnonzero(t.labels != la) for la in np.unique(t.a_labels)}
+            for i, scores in t.lines(by):
+                others = of[t.a_labels[i]]
+                other = scores[others]
+                for p in by[i]:
+                    score = int(p["positive_score"])
+                    # low * score <= 100 * negative <= high * score, in integers.
+                    at = first(scores, others[(other >= -(-low * score // 100)) & (other <= high * score // 100)], top)
+                    n = len(at)
+                    out += zip([t.a_numbers[i]] * n, [t.a_ids[i]] * n, [p["positive"]] * n, [p["positive_id"]] * n, [score] * n, t.numbers[at], t.ids[at], scores[at], strict=True)
+        return pd.DataFrame(out, columns=columns)
+
+    found = met(anchors, rows, n_lines, n_columns).applyInPandas(run, ", ".join(f"{c} long" for c in columns))
     order = Window.partitionBy("anchor", "positive").orderBy(F.desc("negative_score"), "negative_id", "negative")
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+
+
+def met(anchors: DataFrame, rows: DataFrame, n_lines: int, n_columns: int):
+    """The panels of every place of the grid, all chunks of its line's anchors and of its column's rows."""
+    a = anchors.select(F.col("block").alias("line"), copies(n_columns).alias("col"), *[c for c in anchors.columns if c != "block"])
+    b = rows.select(copies(n_lines).alias("line"), F.col("block").alias("col"), *[c for c in rows.columns if c != "block"])
+    return a.groupBy("line", "col").cogroup(b.groupBy("line", "col"))
 
 
 def mine(rows: DataFrame, is_anchor: Column, n_positives: int = POSITIVES, n_negatives: int = NEGATIVES, low: int = LOW, high: int = HIGH) -> DataFrame:
@@ -178,10 +187,11 @@ def mine(rows: DataFrame, is_anchor: Column, n_positives: int = POSITIVES, n_neg
     used = used.select(F.monotonically_increasing_id().alias("number"), F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("vector"))
     used = materialize(used, f"{place}/rows")
     n, n_anchors, width = used.agg(F.count("*"), F.count(F.when(is_anchor, 1)), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
-    lines, columns, chunks = (max(1, -(-x // size)) for x, size in ((n_anchors, ANCHORS), (n, ROWS), (width, DIMS)))
-    tiles = added(partial_tiles(panels(used.filter(is_anchor), lines, chunks), panels(used, columns, chunks), lines, columns))
-    tiles = materialize(tiles, f"{place}/tiles")
-    return negatives(tiles, positives(tiles, n_positives), n_negatives, low, high)
+    chunks = max(1, -(-width // DIMS))
+    lines, columns = grid(n_anchors, n, chunks * DIMS, parts(spark))
+    a, b = (materialize(panels(some, m, chunks), f"{place}/{name}") for some, m, name in ((used.filter(is_anchor), lines, "anchors"), (used, columns, "panels")))
+    chosen = materialize(positives(a, b, lines, columns, n_positives), f"{place}/positives")
+    return negatives(a, b, lines, columns, chosen, n_negatives, low, high)
 
 
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

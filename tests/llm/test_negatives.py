@@ -2,12 +2,13 @@
 
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallywork.llm import negatives
+from tallywork.llm import common, negatives
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score long, block int"
 
@@ -76,3 +77,17 @@ def test_windows_take_both_ends(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = found(negatives.mine(df, F.col("vec_id") == 0))
     assert [r[3] for r in got] == [2, 6, 3]
+
+
+def test_scores_stay_at_their_place(spark):
+    """What is stored grows with the rows, not with anchors times rows; places of the grid are bounded."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=8)], i % 3) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    with common.recorded() as made:
+        assert negatives.mine(df, F.col("vec_id") % 5 == 0, 1, 1).count() == 400
+    assert 0 < sum(p.stat().st_size for place in made for p in Path(place.removeprefix("file://")).rglob("*.parquet")) < 1_000_000
+    for n in (1, 50_000, 10_000_000):
+        for width in (32, 1024):
+            lines, columns = negatives.grid(n // 100, n, width, 8)
+            assert lines * negatives.ANCHORS >= n // 100 and columns * min(negatives.ROWS, negatives.CELLS // width) >= n
