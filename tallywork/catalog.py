@@ -283,15 +283,18 @@ def _(txn):
 def _(txn):
     """The same rows by timers of a stream that has come to AS_OF: two pages of rows, then time alone goes on."""
     from .plans.store import shared_place
-    from .streaming.timers import ITEM, outcomes, transfer_items
+    from .streaming.timers import BUCKETS, ITEM, ITEMS, outcomes, transfer_items
 
     spark = txn.sparkSession
     place = shared_place(spark, "timers")
-    items = transfer_items(txn, X.match(X.unmatched(txn))).filter(F.col("at") <= F.lit(AS_OF))
+    # Stored, as both pages are made from them.
+    transfer_items(txn, X.match(X.unmatched(txn))).filter(F.col("at") <= F.lit(AS_OF)).write.parquet(f"{place}/items")
+    items = spark.read.schema(ITEM).parquet(f"{place}/items")
+    buckets = max(BUCKETS, -(-items.count() // ITEMS))
     tick = spark.range(1).select(F.lit(-1).cast("long").alias("user_id"), F.lit("").alias("item"), F.lit("tick").alias("kind"), F.lit(AS_OF).cast("timestamp").alias("at"), F.lit(None).cast("string").alias("by"))
     for page in (items.filter("at < '1998-01-01'"), items.filter("at >= '1998-01-01'"), tick):
         page.write.mode("append").parquet(f"{place}/in")
-        made = outcomes(spark.readStream.schema(ITEM).option("maxFilesPerTrigger", 1_000_000).parquet(f"{place}/in"), X.DAYS)
+        made = outcomes(spark.readStream.schema(ITEM).option("maxFilesPerTrigger", 1_000_000).parquet(f"{place}/in"), X.DAYS, buckets=buckets)
         run = made.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
         run.awaitTermination()
     return spark.read.schema(made.schema).parquet(f"{place}/out").select("user_id", "item", "outcome")

@@ -2,60 +2,97 @@
 
 Items, a row each: user_id, item (a provider's identifier), kind, at (its time), by (what closes it). `pending` and `transfer` open
 an item; `posted` closes the pending item that it names, `matched` closes a transfer. A pending item may wait for any time. A
-transfer ages when event time has passed it by `days`; that is a timer on its state, which the watermark sets off, so no
-batch looks through the open items. What comes again, or closes an item that is not open, changes nothing.
+transfer ages when event time has passed it by `days`. Items are kept by bucket; a bucket's first due transfer is a timer on its
+state, which the watermark sets off, so a batch looks through the buckets of its rows and of what is due, not through all open
+items. What comes again, or closes an item that is not open, changes nothing.
 """
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ITEM = "user_id long, item string, kind string, at timestamp, by string"
 OUTCOME = "user_id long, item string, outcome string, by string"
-#: What state an item may be in; closed pending items are kept, so that a late pending row is superseded too.
-STATE = "kind string, due long, by string"
+#: The items of a bucket as JSON: user, item, kind, due, by. Closed pending items are kept, so that a late pending row is superseded too.
+STATE = "items string"
+#: Buckets of items by their hash. A call into Python costs as much as a thousand items, so a state holds a bucket of some
+#: thousands: a stream of very many items takes more buckets, once for its life.
+BUCKETS, ITEMS = 256, 2000
 DAY = 86_400_000
 
 
-def outcomes(items: DataFrame, days: int = 3, delay: str = "0 seconds") -> DataFrame:
+def outcomes(items: DataFrame, days: int = 3, delay: str = "0 seconds", buckets: int = BUCKETS) -> DataFrame:
     """A stream of user_id, item, outcome (superseded or aged) and by (the posted row) from a stream of items."""
     def step(key, frames, state):
-        made = []
-        if state.hasTimedOut:
-            made.append(("aged", None))
+        now = state.getCurrentWatermarkMs()
+        known = {(u, i): (kind, due, by) for u, i, kind, due, by in json.loads(state.get[0])} if state.exists else {}
+        made: list[tuple] = []
+        for one, kinds, at, by in grouped(frames):
+            was = known.get(one)
+            new, outcome = moved(was, kinds, at, by, now, days)
+            if outcome:
+                made.append((*one, *outcome))
+            if new != was:
+                known[one] = new
+        for one in [x for x, (kind, due, _) in known.items() if kind == "transfer" and due is not None and due < now]:
+            made.append((*one, "aged", None))
+            del known[one]
+        if known:
+            state.update((json.dumps([(*one, *x) for one, x in known.items()]),))
+            waiting = [due for kind, due, _ in known.values() if kind == "transfer" and due is not None]
+            if waiting:
+                state.setTimeoutTimestamp(max(min(waiting), now + 1))
+        elif state.exists:
             state.remove()
-        else:
-            rows = pd.concat(list(frames))
-            kinds = set(rows["kind"])
-            kind, due, by = tuple(state.get) if state.exists else (None, 0, None)
-            if "posted" in kinds and kind != "superseded":
-                by = min(rows["by"][rows["kind"] == "posted"])
-                waiting = kind == "pending" or "pending" in kinds
-                made += [("superseded", by)] if waiting else []
-                state.update(("superseded" if waiting else "posted", 0, by))
-            elif "pending" in kinds and kind != "superseded":
-                made += [("superseded", by)] if kind == "posted" else []
-                state.update(("superseded" if kind == "posted" else "pending", 0, by))
-            elif "matched" in kinds:
-                state.update(("matched", 0, None))
-            elif "transfer" in kinds and kind is None:
-                # Due when the watermark has reached at + days.
-                due = int(min(rows["at"]).timestamp() * 1000) + days * DAY - 1
-                if due < state.getCurrentWatermarkMs():
-                    made.append(("aged", None))
-                    state.update(("aged", 0, None))
-                else:
-                    state.update(("transfer", due, None))
-                    state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-            elif kind == "transfer":
-                state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(key[0], key[1], *x) for x in made], columns=["user_id", "item", "outcome", "by"])
+        if made:
+            yield pd.DataFrame([(None if u is None else int(u), *x) for u, *x in made], columns=["user_id", "item", "outcome", "by"])
 
     # A late item still counts: the watermark drives the timers, it drops nothing.
     timed = items.withWatermark("at", delay)
-    return timed.groupBy("user_id", "item").applyInPandasWithState(step, OUTCOME, STATE, "append", "EventTimeTimeout")
+    timed = timed.select(F.pmod(F.xxhash64("user_id", "item"), F.lit(buckets)).alias("bucket"), F.col("user_id").cast("string").alias("user"), "item", "kind", "at", "by")
+    return timed.groupBy("bucket").applyInPandasWithState(step, OUTCOME, STATE, "append", "EventTimeTimeout")
+
+
+def grouped(frames):
+    """(user, item), kinds, least time in milliseconds and least closing row of each item of the frames."""
+    found: dict[tuple, list] = {}
+    for pdf in frames:
+        times = pdf["at"].astype("datetime64[ms]")
+        for user, item, kind, at, none, by in zip(pdf["user"], pdf["item"], pdf["kind"], times.astype("int64").tolist(), times.isna(), pdf["by"], strict=True):
+            x = found.setdefault((user, item), [set(), None, None])
+            x[0].add(kind)
+            if not none and (x[1] is None or at < x[1]):
+                x[1] = at
+            if kind == "posted" and by is not None and (x[2] is None or by < x[2]):
+                x[2] = by
+    return [(one, *x) for one, x in found.items()]
+
+
+def moved(was: tuple | None, kinds: set, at: int | None, by: str | None, now: int, days: int) -> tuple:
+    """(kind, due, by) of an item after what has come for it, was before, and its outcome or None."""
+    kind, due, _ = was or (None, 0, None)
+    if "posted" in kinds and kind != "superseded":
+        waiting = kind == "pending" or "pending" in kinds
+        return ("superseded" if waiting else "posted", 0, by), ("superseded", by) if waiting else None
+    if "pending" in kinds and kind != "superseded":
+        by = was[2] if was else None
+        return ("superseded" if kind == "posted" else "pending", 0, by), ("superseded", by) if kind == "posted" else None
+    if "matched" in kinds:
+        return ("matched", 0, None), None
+    if "transfer" in kinds and kind is None:
+        # Due when the watermark has reached at + days; without a time, never.
+        due = None if at is None else at + days * DAY - 1
+        if due is not None and due < now:
+            return ("aged", 0, None), ("aged", None)
+        return ("transfer", due, None), None
+    if kind == "transfer" and due is not None:
+        # What has come for it in this batch goes before its timer.
+        return ("transfer", max(due, now + 1), None), None
+    return was, None
 
 
 def transfer_items(txn: DataFrame, pairs: DataFrame) -> DataFrame:

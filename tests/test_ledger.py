@@ -406,6 +406,25 @@ def test_webhook_stream(spark, tmp_path):
     assert sorted(str(r["body"]) for r in spark.read.parquet(str(tmp_path / "bad")).collect()) == ["None", "[1]", "{"]
 
 
+def test_many_items_share_few_states(spark, tmp_path):
+    """Timers of one bucket are of different days; each transfer ages when its own has come, and no item has a state of its own."""
+    from tallywork.streaming import timers
+
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    items = [(i % 3, f"t{i}", "transfer", day(i % 30), None) for i in range(2000)]
+    closed = [(i % 3, f"t{i}", "matched", day(i % 30), None) for i in range(0, 2000, 7)]
+    seen = set()
+    for page, wm in ((items + closed, 29), ([(-1, "", "tick", day(60), None)], 60)):
+        spark.createDataFrame(page, timers.ITEM).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        made = timers.outcomes(spark.readStream.schema(timers.ITEM).parquet(str(tmp_path / "in")))
+        run = made.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        run.awaitTermination()
+        seen |= {o["numRowsTotal"] for p in run.recentProgress for o in p["stateOperators"]}
+        got = sorted((r["user_id"], r["item"], r["outcome"]) for r in spark.read.schema(timers.OUTCOME).parquet(str(tmp_path / "out")).collect())
+        assert got == sorted((u, x, "aged") for u, x, _, at, _ in items if int(x[1:]) % 7 and at <= day(wm - 3))
+    assert 0 < max(seen) <= timers.BUCKETS
+
+
 def test_open_items(spark, tmp_path):
     """A pending row is met three batches later; a posted one may come first; an unmatched transfer ages by a timer, a matched one never."""
     from tallywork.streaming import timers
