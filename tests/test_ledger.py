@@ -339,6 +339,17 @@ def test_similar_merchants_without_all_pairs(spark):
     assert C.similar_candidates(frame.select("user_id", "merchant_norm"), frame.select("user_id", "normalized_merchant")).count() < 3 * len(many)
 
 
+def test_short_merchants_that_share_a_word_are_not_all_pairs(spark):
+    """Merchants of one form and many numbers: what they share makes no pairs, and none within a fifth of the length is lost."""
+    names = [f"sub {100_000 + 997 * i}" for i in range(500)] + ["abcde", "abcd", "abcdx", "xabcd", "ab", "abcdefghij", "abcdefgh", "bcdefghijk", "abxdefyhij", "abcdefghijkl", "aacdefghij", "abcdefghijklmn", "abcdefghijklmnopq"]
+    frame = spark.createDataFrame([(1, n, n) for n in names], "user_id long, merchant_norm string, normalized_merchant string")
+    keys, pool = frame.select("user_id", "merchant_norm"), frame.select("user_id", "normalized_merchant")
+    found = C.similar_candidates(keys, pool)
+    wanted = keys.join(pool, "user_id").filter(S.similar(F.col("merchant_norm"), F.col("normalized_merchant")))
+    assert wanted.join(found, wanted.columns, "left_anti").isEmpty() and wanted.count() > len(names)
+    assert found.count() < 10 * len(names)
+
+
 def test_an_erase_is_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch):
     m = store.Manifest(spark, str(tmp_path / "m"))
     m.switch({n: spark.createDataFrame([(u, f"{n}{u}") for u in (1, 2, None)], "user_id long, v string") for n in ("a", "b", "c")})
