@@ -350,6 +350,17 @@ def test_short_merchants_that_share_a_word_are_not_all_pairs(spark):
     assert found.count() < 10 * len(names)
 
 
+def test_rows_of_one_kind_are_looked_up_once(spark):
+    schema = "user_id long, tx_id long, merchant_norm string, description string, category struct<tier:int,value:string,confidence:double,status:string>"
+    none, set_ = (4, "Uncategorized", None, "needs_review"), (4, "Home", None, "confirmed")
+    rows = spark.createDataFrame([(1, 1, "uber", None, none), (1, 2, "uber", None, none), (1, 3, "bar", "corner shop", none), (1, 4, "bar", "corner shop", none), (2, 5, "uber", None, none), (1, 6, "uber", None, set_), (None, 7, "uber", None, none)], schema)
+    rules = spark.createDataFrame([(1, "exact", "uber", "Rides", 0, 1), (1, "regex", "shop", "Retail", 0, 2)], "user_id long, match_type string, pattern string, category string, priority int, ordinal long")
+    corrected = spark.createDataFrame([], "user_id long, normalized_merchant string, category string, ordinal long")
+    assert C.resolve_kinds(rows, rules, corrected).count() == 4
+    got = {r["tx_id"]: (r["tier"], r["category"]) for r in C.resolve(rows, rules, corrected).collect()}
+    assert got == {1: (1, "Rides"), 2: (1, "Rides"), 3: (2, "Retail"), 4: (2, "Retail"), 5: (None, None), 7: (None, None)}
+
+
 def test_an_erase_is_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch):
     m = store.Manifest(spark, str(tmp_path / "m"))
     m.switch({n: spark.createDataFrame([(u, f"{n}{u}") for u in (1, 2, None)], "user_id long, v string") for n in ("a", "b", "c")})
